@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import chat
+from . import chat, media, secrets, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,5 +62,44 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 FROM g
 """
 
-QUERIES: dict[str, Query] = {"op1_chat_formatting": op1_chat_formatting}
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan every distinct text under all rule versions with an empty ledger; join the findings to all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.findings_by_path(docs, secrets.scan_unseen(docs))
+    base = secrets.KINDS[:3]
+    n = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *(n(k).alias(f"n_{k}") for k in base),
+        F.sha2(secrets.spans_text("findings", base), 256).alias("base_sha256"),
+        secrets.spans_text("findings").alias("spans"),
+    )
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every text as lossless WebP samples, read the images back, and digest what they hold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.read_payloads(media.store_payloads(docs))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the token output; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids in ascending doc_id order and digest them as read back."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_output.read_digests(spark, token_output.write_tokens(docs, tokenizer_path()))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op3_secret_scans": op3_secret_scans,
+    "op6_media_columns": op6_media_columns,
+    "op9_token_output": op9_token_output,
+}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
