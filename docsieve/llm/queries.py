@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import chat, media, secrets, token_output
+from . import chat, language, media, mixing, quality, secrets, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,14 @@ FROM g
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn languages from three quarters of the documents and infer every document's mixture."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    train = docs.filter(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id")))
+    out = language.predict(docs, language.learn(train))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every distinct text under all rule versions with an empty ledger; join the findings to all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -77,6 +85,12 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document; labels of two thirds of the documents train."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.train_and_score(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as lossless WebP samples, read the images back, and digest what they hold."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,10 +110,19 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, token_output.write_tokens(docs, tokenizer_path()))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to the target weights; the words taken from each."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.taken_words(mixing.plan(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_language_id": op2_language_id,
     "op3_secret_scans": op3_secret_scans,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_media_columns": op6_media_columns,
     "op9_token_output": op9_token_output,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
