@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import chat, language, media, mixing, quality, secrets, token_output
+from . import chat, decontamination, language, media, mixing, quality, secrets, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,12 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds within the item's edit budget."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document; labels of two thirds of the documents train."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -120,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_language_id": op2_language_id,
     "op3_secret_scans": op3_secret_scans,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_media_columns": op6_media_columns,
     "op9_token_output": op9_token_output,
