@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import chat, decontamination, language, media, mixing, quality, secrets, token_output
+from . import chat, decontamination, jaccard, language, media, mixing, quality, secrets, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_components(docs, jaccard.Rule(n=4, num=85, den=100))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids in ascending doc_id order and digest them as read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_media_columns": op6_media_columns,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_token_output": op9_token_output,
     "op10_source_mixing": op10_source_mixing,
 }
