@@ -182,7 +182,8 @@ def taken_words(mix: Mix, *, block: int = BLOCK) -> DataFrame:
     )
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     keys = ["rank", "start", "doc_id", "size", "source_size", "target"]
-    joined = spread.select(*keys, "block", (high - low).alias("overlap")).join(times, ["rank", "block"], "left")
+    # The slots come from a small table of counts; without the hint their size is taken for that table's.
+    joined = spread.select(*keys, "block", (high - low).alias("overlap")).join(times.hint("merge"), ["rank", "block"], "left")
     taken = joined.groupBy(*keys).agg(F.coalesce(F.sum(F.col("overlap") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     none = docs.filter(F.col("size") == 0).select(*keys, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).drop("rank", "start")
