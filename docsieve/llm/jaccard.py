@@ -461,3 +461,10 @@ def _tree_pairs(buckets: DataFrame, names: DataFrame, sets: DataFrame, rule: Rul
         return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
 
     return members.groupBy("token", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The documents (all columns) that are the least of their component; rows without id stay."""
+    found = jaccard_components(docs, rule)
+    extra = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(extra, "doc_id", "left_anti")

@@ -18,6 +18,7 @@ ignored. The same input and seed give the same mix.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -187,3 +188,59 @@ def taken_words(mix: Mix, *, block: int = BLOCK) -> DataFrame:
     taken = joined.groupBy(*keys).agg(F.coalesce(F.sum(F.col("overlap") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     none = docs.filter(F.col("size") == 0).select(*keys, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).drop("rank", "start")
+
+
+def _parts_of(text: str, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text's taken words: pass by pass, slices of the text; None if nothing is taken."""
+    most = max((t for _, _, t in spans), default=0)
+    if not most:
+        return None
+    if all(t == most for _, _, t in spans):
+        return "\n".join([text] * most)
+    words = [m.span() for m in re.finditer(WORD, text)]
+    out = []
+    for turn in range(most):
+        run: list[list[int]] = []
+        for a, b, t in spans:
+            if t > turn:
+                if run and run[-1][1] == a:
+                    run[-1][1] = b
+                else:
+                    run.append([a, b])
+        out.append(" ".join(text[words[a][0] : words[b - 1][1]] for a, b in run))
+    return "\n".join(out)
+
+
+def mix_documents(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """The documents (same columns, ``n_chars`` renewed) with the words that the mix takes, repeats on new lines.
+
+    Documents of which nothing is taken go. Rows with one id and size take the same words.
+    """
+    columns = docs.columns
+    mix = plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), block=block)
+    names = mix.sources.select(F.col("source").alias("s"), "rank")
+    placed = mix.docs.filter(F.col("size") > 0).join(names, F.col("source").eqNullSafe(F.col("s")))
+    first = placed.groupBy("doc_id", "rank", "size").agg(F.min("start").alias("start"))
+    spread = first.withColumn(
+        "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
+    )
+    times = mix.slots.groupBy("rank", "block").agg(F.count("*").cast("int").alias("times"))
+    low = F.greatest("start", F.col("block") * block) - F.col("start")
+    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")
+    span = F.struct(low.cast("int").alias("a"), high.cast("int").alias("b"), F.coalesce("times", F.lit(0)).alias("t"))
+    spans = spread.join(times.hint("merge"), ["rank", "block"], "left").groupBy("doc_id", "size").agg(
+        F.sort_array(F.collect_list(span)).alias("spans")
+    )
+    sized = docs.withColumn("_size", word_count(F.col("text"))).filter(F.col("_size") > 0)
+    joined = sized.join(
+        spans.withColumnRenamed("doc_id", "_doc").withColumnRenamed("size", "_n"),
+        F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_size") == F.col("_n")),
+    ).filter(F.exists("spans", lambda s: s["t"] > 0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text = [_parts_of(t, [(s["a"], s["b"], s["t"]) for s in spans]) for t, spans in zip(b["text"], b["spans"], strict=True)]
+            yield b.assign(text=pd.Series(text, index=b.index, dtype=object))[columns]
+
+    out = joined.select(*columns, "spans").mapInPandas(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out

@@ -185,3 +185,20 @@ def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(stats, model).withColumn("held_out", held_out(F.col("doc_id"))).select(
         "doc_id", "held_out", "score", "predicted"
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents (all columns) that the classifier does not reject; they are scored where they are read."""
+    shared_folder(docs.sparkSession)
+    train = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
+        F.col("doc_id"), F.col("quality").alias("label")
+    )
+    stats = document_statistics(docs).checkpoint()
+    model = fit(stats.join(train, "doc_id").select("stats", "label").checkpoint())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b[model.score(np.array([statistics(x) for x in b["text"]])) >= 0.5]
+
+    return docs.mapInPandas(run, docs.schema)
