@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import chat, decontamination, jaccard, language, media, mixing, quality, secrets, token_output
+from . import chat, decontamination, jaccard, language, media, mixing, quality, secrets, suffix_dedup, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +116,11 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(docs, jaccard.Rule(n=4, num=85, den=100))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte covered by a 50-byte string that also starts in a document with a smaller id."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids in ascending doc_id order and digest them as read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -136,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_media_columns": op6_media_columns,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_token_output": op9_token_output,
     "op10_source_mixing": op10_source_mixing,
 }
