@@ -15,6 +15,7 @@ chunk.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from ..session import stage_path
 BLOCK = 1 << 15
 CHUNK_IDS = 1 << 20
 END_ID = 2
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 CHUNK = (
     "shard int, chunk int, first long, n_ids long, doc_ids array<long>, doc_offsets array<long>, "
     "plane_offsets array<int>, planes binary"
@@ -72,27 +74,86 @@ def unpack_block(data: bytes) -> np.ndarray:
     return raw.reshape(-1).view("<u4")
 
 
+_TAIL = "#$%&*!.,;:?|"
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This process's encoder for a vocabulary file; its words outlive a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class WordEncoder:
-    """A tokenizer whose tokens never span white space, with the words it has seen kept (``most`` at a time)."""
+    """A tokenizer whose tokens never span white space and keep letters and signs apart, with a store of its words.
 
-    def __init__(self, path: str, most: int = 400_000):
+    The store has two generations of at most ``most`` words each: words not met again are forgotten.
+    """
+
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: all words as one text, its tokens dealt back by their offsets."""
+        out = []
+        for k in range(0, len(words), 5000):
+            part = words[k : k + 5000]
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            first = np.array([a for a, _ in e.offsets], np.int64)
+            cuts = (4 * np.searchsorted(first, starts)).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    @staticmethod
+    def _core(word: str) -> tuple[str, str]:
+        """A word as letters and a tail of signs, if the tokenizer must cut there; ASCII letters are lower-cased as it does."""
+        core = word.rstrip(_TAIL)
+        tail = word[len(core) :]
+        if not core or not core[-1].isalpha() or core[-1] >= "\u0130":  # later letters may end in a sign when lower-cased
+            core, tail = word, ""
+        return (core.lower() if core.isascii() and "<" not in core else core), tail
+
+    def _learn(self, words: set[str]) -> None:
+        """Put words into the young generation."""
+        new = []
+        for w in words:
+            x = self.old.get(w)
+            if x is None:
+                new.append(w)
+            else:
+                self.young[w] = x
+        cut = [self._core(w) for w in new]
+        parts = {p for c in cut for p in c if p}
+        known = {p: x for p in parts if (x := self.young.get(p) or self.old.get(p)) is not None}
+        parts = [p for p in parts if p not in known]
+        made = dict(zip(parts, self._encode(parts), strict=True))
+        self.young.update(made)
+        known.update(made)
+        for w, (core, tail) in zip(new, cut, strict=True):
+            self.young[w] = known[core] + known[tail] if tail else known[core]
 
     def __call__(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.seen))
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-            new = list(dict.fromkeys(w for ws in words for w in ws))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+        words = [_split(t) for t in texts]
+        self._learn({w for ws in words for w in ws}.difference(self.young))
         end = b"" if end_id is None else struct.pack("<I", end_id)
-        get = self.seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)) + end, "<u4") for ws in words]
+        get = self.young.__getitem__
+        out = [np.frombuffer(b"".join(map(get, ws)) + end, "<u4") for ws in words]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return out
+
+
+def _split(text: str) -> list[str]:
+    """Words between white space, as the vocabulary's pattern sees it: the separators 1c to 1f are signs."""
+    return [w for w in re.split(r"[ \t\n\r\f\v]+", text) if w] if _SEPARATORS.search(text) else text.split()
 
 
 def write_tokens(
@@ -118,7 +179,7 @@ def write_tokens(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        shard, encode, first, chunk = TaskContext.get().partitionId(), WordEncoder(tokenizer_path), 0, 0
+        shard, encode, first, chunk = TaskContext.get().partitionId(), encoder(tokenizer_path), 0, 0
         ids, offsets, parts, held = [], [], [], 0
 
         def close() -> pd.DataFrame:
