@@ -7,14 +7,15 @@ Two documents link when the Jaccard similarity of their sets of word n-grams rea
    of their prefixes (size - ceil(threshold * size) + 1 tokens), so tokens are the buckets in which pairs can meet.
    Frequent tokens come from counts over all documents; the table of them is bounded by ``HEAVY`` entries and only
    orders tokens, so it has no part in what links.
-3. In each bucket every set is compared to the bucket's least one. That gives most links of a family in a number
-   of comparisons that grows with its size, and first components.
+3. In each bucket every set is compared to the bucket's least one by size and bitmap. That gives most links of a
+   family in a number of comparisons that grows with its size, and first components.
 4. Buckets whose sets still lie in more than one component are joined by signature trees. A tree's nodes hold the
    OR and AND of their sets' token bitmaps, their range of sizes and their component if it is one. Two trees (or a
    tree with itself) are traversed together; a pair of nodes is pruned if it is of one component, if its sizes
    cannot reach the threshold, or if its largest possible overlap is too small. Buckets of more than ``TREE`` sets
    are split into blocks, and each pair of blocks is a group of its own.
-5. What is left is verified on the whole sets, and components are taken over all links.
+5. What is left is verified on the whole sets, which are made for these documents alone. Where links did not hold,
+   the trees are asked once more with the true components. Components are then taken over all links.
 
 Defined results: null texts and texts without a word have an empty set, link with nothing and are their own
 component; null ids link only through equal sets; rows with one id count as that id; extra columns are ignored.
@@ -143,7 +144,7 @@ def _unsqueeze(data: bytes, kind: type) -> np.ndarray:
 
 
 SIGNATURES = (
-    "doc_id long, n long, s1 long, s2 long, part int, tokens binary, docs binary, token long"
+    "doc_id long, n long, s1 long, s2 long, bits binary, part int, tokens binary, docs binary, token long"
 )
 
 
@@ -159,7 +160,7 @@ def signatures(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray]
 
         def rows(**columns) -> pd.DataFrame:
             n = len(next(iter(columns.values())))
-            kinds = {"part": "Int32", "tokens": object, "docs": object}
+            kinds = {"part": "Int32", "bits": object, "tokens": object, "docs": object}
             return pd.DataFrame(
                 {c: columns[c] if c in columns else pd.array([None] * n, kinds.get(c, "Int64"))
                  for c in (x.split()[0] for x in SIGNATURES.split(", "))}
@@ -189,7 +190,10 @@ def signatures(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 ids = part["doc_id"].astype("Int64")
                 s12 = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield rows(doc_id=ids.array, n=np.array([len(s) for s in sets], np.int64), s1=s12[:, 0], s2=s12[:, 1])
+                yield rows(
+                    doc_id=ids.array, n=np.array([len(s) for s in sets], np.int64), s1=s12[:, 0], s2=s12[:, 1],
+                    bits=[bitmap(s) if len(s) else b"" for s in sets],
+                )
                 hot_t, hot_d = [], []
                 for doc, s, digest in zip(ids, sets, digests, strict=True):
                     if not len(s) or doc is pd.NA or digest in seen:  # an equal set of a lesser id speaks for it
@@ -362,9 +366,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def _may_link(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Of pairs (a, b) those that size and bitmap allow."""
-    light = sets.select("doc", "n", "bits")
+def _may_link(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
+    """Of pairs (a, b) those that size and bitmap (doc, n, bits) allow."""
     a = light.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     b = light.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     sized = pairs.join(b, "b").join(a, "a").filter(
@@ -404,34 +407,35 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     buckets = shared.unionByName(hot).join(copies, "doc", "left").select("token", F.coalesce("rep", "doc").alias("doc"))
     buckets = stage(buckets.distinct(), "buckets")
 
+    light = sig.filter(F.col("n") > 0).select(F.col("doc_id").alias("doc"), "n", "bits")
     hubs = buckets.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).filter("a != last").select("token", "a")
-    stars = buckets.join(hubs, "token").filter(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b"))
-    stars = stars.distinct().checkpoint()
-    wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    stars = buckets.join(hubs, "token").filter(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b")).distinct()
+    stars = _may_link(stars, light, rule).checkpoint()
+    # Components as they would be if all these links held: what else may link is looked for between them.
+    rest = _tree_pairs(buckets, connected_components(stars), light, rule)
+    pairs = stars.unionByName(rest).distinct().checkpoint()
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in _parts(b):
                 sets = shingle_sets(part["text"].tolist(), rule.n)
-                yield pd.DataFrame(
-                    {"doc": part["doc_id"].to_numpy(), "n": [len(s) for s in sets],
-                     "bits": [bitmap(s) for s in sets], "items": [s.tobytes() for s in sets]}
-                )
+                yield pd.DataFrame({"doc": part["doc_id"].to_numpy(), "items": [s.tobytes() for s in sets]})
 
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-    sets = stage(texts.mapInPandas(make_sets, "doc long, n long, bits binary, items binary"), "sets")
-
-    links = _verify(_may_link(stars, sets, rule), sets, rule).checkpoint()
+    sets = stage(texts.mapInPandas(make_sets, "doc long, items binary"), "sets")
+    links = _verify(pairs, sets, rule).checkpoint()
     names = connected_components(links)
-    rest = _tree_pairs(buckets, names, sets, rule)
-    more = _verify(rest, sets, rule).checkpoint()
+    # Links that did not hold may have hidden others between their sides, all of them among these documents.
+    known = buckets.join(sets.select("doc").distinct(), "doc", "left_semi")
+    more = _verify(_tree_pairs(known, names, light, rule).join(pairs, ["a", "b"], "left_anti"), sets, rule).checkpoint()
     if not more.isEmpty():
-        names = connected_components(names.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        names = connected_components(links.unionByName(more))
     out = named.join(names.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def _tree_pairs(buckets: DataFrame, names: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _tree_pairs(buckets: DataFrame, names: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of different components that meet in a bucket and may link, found by signature trees."""
     rows = buckets.join(names.withColumnRenamed("id", "doc"), "doc", "left").select(
         "token", "doc", F.coalesce("component", "doc").alias("component")
@@ -448,7 +452,7 @@ def _tree_pairs(buckets: DataFrame, names: DataFrame, sets: DataFrame, rule: Rul
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select(
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component"
-    ).join(sets.select("doc", "n", "bits"), "doc")
+    ).join(light, "doc")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = [
