@@ -119,9 +119,11 @@ def unit_hits(terms: DataFrame, blocks: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for k, text in zip(b.index, b["text"], strict=True):
-                if not text or pattern is None or not pattern.search(cmp := build_surface(text, False)[0]):
+                if not text or pattern is None:
+                    continue
+                cmp, os_, oe, cs, ce = build_surface(text, False)
+                if not pattern.search(cmp):
                     continue
-                _, os_, oe, cs, ce = build_surface(text, False)
                 begin, finish = dict(zip(cs, os_, strict=True)), dict(zip(ce, oe, strict=True))
                 for key, names in keys.items():
                     at = cmp.find(key)

@@ -211,9 +211,11 @@ def value_expression_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT unit AS literal, matched_text, 'exact' AS method, count(*) AS n FROM (
-  SELECT unnest(CASE l_linenumber % 6 WHEN 0 THEN ['kg'] WHEN 1 THEN ['°C', 'C'] WHEN 2 THEN ['%'] WHEN 3 THEN ['g'] WHEN 4 THEN ['rpm'] ELSE [] END) AS unit,
-    unit AS matched_text FROM lineitem) GROUP BY ALL"""
+    """WITH q AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber % 6 AS f, length(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS a,
+  CASE WHEN l_linenumber % 6 = 1 THEN length(CAST(CAST(l_quantity AS INTEGER) + 5 AS VARCHAR)) ELSE 0 END AS b FROM lineitem),
+s AS (SELECT DISTINCT l_orderkey, l_linenumber, a + b AS at, unnest(CASE f WHEN 0 THEN ['kg'] WHEN 1 THEN ['°C', 'C'] WHEN 2 THEN ['%'] WHEN 3 THEN ['g']
+  WHEN 4 THEN ['rpm'] ELSE [] END) AS unit FROM q)
+SELECT unit AS literal, unit AS matched_text, 'exact' AS method, count(*) AS n FROM s GROUP BY ALL"""
 )
 def unit_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of the fixed units, one for each span, the exact spelling first."""
