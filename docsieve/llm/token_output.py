@@ -91,7 +91,7 @@ class WordEncoder:
     The store has two generations of at most ``most`` words each: words not met again are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
