@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Phases of a job that still move, and those that do not.
-ACTIVE = ["UPLOADING", "QUEUED", "SUBMITTING", "OCR", "COLLECTING", "RENDERING"]
-TERMINAL = ["COMPLETED", "FAILED", "EXPIRED"]
+ACTIVE = ["QUEUED", "SUBMITTING", "OCR", "COLLECTING", "RENDERING"]
+TERMINAL = ["SUCCEEDED", "PARTIAL_SUCCESS", "FAILED"]
 
 
 def keyset_page(table: DataFrame, key: str, after, size: int) -> DataFrame:
