@@ -36,6 +36,8 @@ from ..session import shared_folder, stage
 from .components import connected_components
 
 HEAVY, HEAVY_LOCAL, HEAVY_LEAST, TREE, LEAF = 1 << 16, 4, 16, 512, 8
+#: Rows of small groups that one call handles.
+GROUPED = 20_000
 _STEP = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -349,6 +351,18 @@ def tree_join(rule: Rule, rows: list[tuple], cross: bool) -> set[tuple[int, int]
     return out
 
 
+def few_join(rule: Rule, rows: list[tuple], cross: bool) -> set[tuple[int, int]]:
+    """The same for a few sets, pair by pair in order of size."""
+    out, rows = set(), sorted(rows, key=lambda r: r[1])
+    for k, x in enumerate(rows):
+        for y in rows[k + 1 :]:
+            if rule.den * x[1] < rule.num * y[1]:
+                break
+            if x[4] != y[4] and not (cross and x[5] == y[5]) and x[0] != y[0] and can_link(rule, x[1:4], y[1:4]):
+                out.add((min(x[0], y[0]), max(x[0], y[0])))
+    return out
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Of pairs (a, b) those whose whole sets link."""
     one = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
@@ -447,28 +461,30 @@ def _tree_pairs(buckets: DataFrame, names: DataFrame, light: DataFrame, rule: Ru
     ).filter("low != high")
     # Buckets with the same documents are joined once.
     once = mixed.groupBy("n", "h1", "h2").agg(F.min("token").alias("token"))
-    blocks = once.select("token", F.ceil(F.col("n") / TREE).cast("int").alias("blocks"))
-    members = rows.join(blocks, "token").withColumn("block", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
+    blocks = once.select("token", "n", F.ceil(F.col("n") / TREE).cast("int").alias("blocks")).checkpoint()
+    total = blocks.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    bins = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // GROUPED)
+    members = rows.join(blocks.drop("n"), "token").withColumn("block", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select(
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component"
     ).join(light, "doc")
+    members = members.withColumn("bin", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bins)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [
-            (doc, n, 8 * len(bits), int.from_bytes(bits, "little"), component, block)
-            for doc, n, bits, component, block in zip(
-                group["doc"], group["n"], group["bits"], group["component"], group["block"], strict=True
-            )
-        ]
-        pairs = tree_join(rule, rows, bool(group["i"].iloc[0] != group["j"].iloc[0]))
+        """Many small groups (token, i, j) at a time."""
+        t, i, j = (group[c].to_numpy(np.int64) for c in ("token", "i", "j"))
+        by = np.lexsort((j, i, t))
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(t[by]) != 0) | (np.diff(i[by]) != 0) | (np.diff(j[by]) != 0)])).tolist()
+        docs, sizes, bits, names, sides = (group[c].tolist() for c in ("doc", "n", "bits", "component", "block"))
+        known: dict[int, tuple[int, int]] = {}
+        for d, x in zip(docs, bits, strict=True):
+            if d not in known:
+                known[d] = (8 * len(x), int.from_bytes(x, "little"))
+        cross, by, pairs = (i != j).tolist(), by.tolist(), set()
+        for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
+            some = [(docs[k], sizes[k], *known[docs[k]], names[k], sides[k]) for k in by[a:b]]
+            pairs |= tree_join(rule, some, cross[by[a]]) if len(some) > 3 * LEAF else few_join(rule, some, cross[by[a]])
         return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
 
-    return members.groupBy("token", "i", "j").applyInPandas(run, "a long, b long").distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The documents (all columns) that are the least of their component; rows without id stay."""
-    found = jaccard_components(docs, rule)
-    extra = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti")
+    return members.groupBy("bin").applyInPandas(run, "a long, b long").distinct()
