@@ -226,6 +226,7 @@ def repeated_windows(docs: np.ndarray, starts: np.ndarray, parts: list[bytes]) -
     owner = np.repeat(np.arange(len(sizes)), counts)
     within = np.arange(base[-1]) - base[owner]
     classes = equal_prefixes(text, at[owner] + within, WINDOW)
+    del text, within
     first = np.full(classes.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, classes, least[owner])
     limit = first[classes]  # for each window of a distinct segment, the least document that has its string
@@ -292,7 +293,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges, buckets = max(width, total >> 24), max(width, total >> 20)
+    ranges, buckets = max(width, total >> 24), max(width, total >> 18)
 
     keyed = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     least = keyed.groupBy("sha").agg(F.min("doc_id").alias("least"))

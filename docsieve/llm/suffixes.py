@@ -42,6 +42,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         names[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
+    del names, sample
 
     zero, one = np.arange(0, n, 3), one[one < n]
     both = np.concatenate([zero, one])
