@@ -58,7 +58,7 @@ def occurrences(hits: DataFrame, span: list[str] = SPAN) -> DataFrame:
     state = F.when(F.col("alternatives") > 0, "unresolved").otherwise(F.coalesce(ambiguity(F.col("attributes")), F.lit("none")))
     identity = F.sha2(F.concat_ws("|", *span, "component", "row_id", "literal"), 256)
     return chosen.select(
-        *span, *[c for c in ("page_number", "block_order") if c in chosen.columns], "component", "term_role", "source_table",
+        *span, *[c for c in ("page_number", "block_order") if c in chosen.columns and c not in span], "component", "term_role", "source_table",
         "source_field", "literal", "display_name", "row_id", F.element_at(F.array(*map(F.lit, METHODS)), F.col("rank").cast("int") + 1).alias("method"),
         state.alias("ambiguity"), F.concat(F.lit("dict-"), F.substring(identity, 1, 32)).alias("occurrence_id"),
     )
