@@ -108,6 +108,7 @@ class Mix:
     sources: DataFrame
     docs: DataFrame
     slots: DataFrame
+    block: int
 
 
 def plan(
@@ -171,11 +172,12 @@ def plan(
     table = spark.createDataFrame(runs, "rank int, shard int, first long, n long")
     parts = max(1, min(len(runs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     filled = table.repartition(parts).mapInPandas(fill, "rank int, shard int, slot long, block long")
-    return Mix(sources, placed, filled)
+    return Mix(sources, placed, filled, block)
 
 
-def taken_words(mix: Mix, *, block: int = BLOCK) -> DataFrame:
+def taken_words(mix: Mix) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
+    block = mix.block
     docs = mix.docs.join(mix.sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     times = mix.slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
     spread = docs.filter(F.col("size") > 0).withColumn(
