@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, stage
@@ -236,11 +236,11 @@ def _shared(packs: pd.DataFrame) -> pd.DataFrame:
 
 
 def _width(n: int) -> int:
-    return 1 << min(16, max(8, (2 * n - 1).bit_length()))
+    return 1 << min(18, max(8, (8 * n - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each token, about two bits of width for each token of the set."""
+    """A bit for each token; the width is eight to sixteen times the size of the set."""
     width = _width(len(s))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
@@ -382,11 +382,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def _may_link(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     """Of pairs (a, b) those that size and bitmap (doc, n, bits) allow."""
-    a = light.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    b = light.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    sized = pairs.join(b, "b").join(a, "a").filter(
-        (rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb"))
+    size = light.select("doc", "n")
+    sized = pairs.join(size.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+    sized = sized.join(size.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").filter(
+        rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb")
     )
+    bits = light.select("doc", "bits")
+    sized = sized.join(bits.select(F.col("doc").alias("b"), F.col("bits").alias("xb")), "b")
+    sized = sized.join(bits.select(F.col("doc").alias("a"), F.col("bits").alias("xa")), "a")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -468,7 +471,13 @@ def _tree_pairs(buckets: DataFrame, names: DataFrame, light: DataFrame, rule: Ru
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select(
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component"
-    ).join(light, "doc")
+    ).join(light.select("doc", "n"), "doc")
+    # Who has no neighbour of a like size in its group has no partner there.
+    w = Window.partitionBy("token", "i", "j").orderBy("n", "doc")
+    below = rule.num * F.col("n") <= rule.den * F.lag("n").over(w)
+    above = rule.num * F.lead("n").over(w) <= rule.den * F.col("n")
+    members = members.withColumn("like", F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False)))
+    members = members.filter("like").drop("like").join(light.select("doc", "bits"), "doc")
     members = members.withColumn("bin", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bins)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
