@@ -231,18 +231,18 @@ def mix_documents(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")
     span = F.struct(low.cast("int").alias("a"), high.cast("int").alias("b"), F.coalesce("times", F.lit(0)).alias("t"))
     spans = spread.join(times.hint("merge"), ["rank", "block"], "left").groupBy("doc_id", "size").agg(
-        F.sort_array(F.collect_list(span)).alias("spans")
+        F.sort_array(F.collect_list(span)).alias("_spans")
     )
     sized = docs.withColumn("_size", word_count(F.col("text"))).filter(F.col("_size") > 0)
     joined = sized.join(
         spans.withColumnRenamed("doc_id", "_doc").withColumnRenamed("size", "_n"),
         F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_size") == F.col("_n")),
-    ).filter(F.exists("spans", lambda s: s["t"] > 0))
+    ).filter(F.exists("_spans", lambda s: s["t"] > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text = [_parts_of(t, [(s["a"], s["b"], s["t"]) for s in spans]) for t, spans in zip(b["text"], b["spans"], strict=True)]
+            text = [_parts_of(t, [(s["a"], s["b"], s["t"]) for s in spans]) for t, spans in zip(b["text"], b["_spans"], strict=True)]
             yield b.assign(text=pd.Series(text, index=b.index, dtype=object))[columns]
 
-    out = joined.select(*columns, "spans").mapInPandas(run, docs.schema)
+    out = joined.select(*columns, "_spans").mapInPandas(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
