@@ -9,9 +9,9 @@ that equal strings meet and nothing else moves:
 3. Windows of neighbouring starts with one anchor make a segment of at most 80 bytes. Segments at shared anchors go
    to the bucket of their anchor; of equal segments in a batch only the least document's go, the others are repeated
    for certain. So a passage of many documents sends one segment for each batch.
-4. In a bucket the distinct segments are one text. Its suffixes are ordered by the difference-cover algorithm (see
-   ``suffixes``), neighbours' 50-byte prefixes are compared, and of each class of equal windows those of documents
-   above the least one are repeated.
+4. In a bucket the distinct segments are one text (an anchor's only segment needs no order). Its suffixes are ordered
+   by the difference-cover algorithm (see ``suffixes``), neighbours' 50-byte prefixes are compared, and of each class
+   of equal windows those of documents above the least one are repeated.
 5. A document's repeated windows are united to spans and cut out where the document is read.
 
 Defined results: null texts count as empty; texts of fewer than 50 bytes are kept; rows without id are kept and
@@ -29,6 +29,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .suffixes import equal_prefixes
 
@@ -186,7 +187,7 @@ def _send(buckets: int):
             bucket = bucket[by]
             for a, b in _cuts(bucket):
                 some = [sent[k] for k in by[a:b]]
-                place = np.array([(x[1], x[2]) for x in some], np.int64)
+                place = np.array([(x[1], x[2], x[0] & 0xFFFFFFFF) for x in some], np.int64)
                 sizes = np.array([len(x[3]) for x in some], np.uint8)
                 spans.append((2, bucket[a], None, _planes(place.reshape(-1)), sizes.tobytes(), _z(b"".join(x[3] for x in some))))
         if spans:
@@ -212,24 +213,37 @@ def _send(buckets: int):
     return run
 
 
-def repeated_windows(docs: np.ndarray, starts: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, window start) of every window in the segments whose string a smaller document has as well."""
+def repeated_windows(
+    docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray, parts: list[bytes]
+) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, window start) of every window in the segments whose string a smaller document has as well.
+
+    Equal windows have equal anchors, so the windows of an anchor's only segment are all its own; the distinct
+    segments of other anchors are put in suffix order together.
+    """
     index: dict[bytes, int] = {}
     which = np.array([index.setdefault(p, len(index)) for p in parts], np.int64)
     least = np.full(len(index), np.iinfo(np.int64).max)
     np.minimum.at(least, which, docs)
-    text = np.frombuffer(b"".join(index), np.uint8)
+    anchor = np.empty(len(index), np.int64)
+    anchor[which] = anchors
+    _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    alone = size[group] == 1
     sizes = np.array([len(p) for p in index], np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
     counts = sizes - WINDOW + 1
     base = np.concatenate([[0], np.cumsum(counts)])
-    owner = np.repeat(np.arange(len(sizes)), counts)
-    within = np.arange(base[-1]) - base[owner]
-    classes = equal_prefixes(text, at[owner] + within, WINDOW)
-    del text, within
-    first = np.full(classes.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, classes, least[owner])
-    limit = first[classes]  # for each window of a distinct segment, the least document that has its string
+    limit = np.repeat(least, counts)  # for each window of a distinct segment, the least document that has its string
+    if not alone.all():
+        text = np.frombuffer(b"".join(p for p, x in zip(index, alone, strict=True) if not x), np.uint8)
+        at = np.concatenate([[0], np.cumsum(sizes[~alone])])[:-1]
+        n = counts[~alone]
+        owner = np.repeat(np.flatnonzero(~alone), n)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        classes = equal_prefixes(text, np.repeat(at, n) + within, WINDOW)
+        del text
+        first = np.full(classes.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, classes, least[owner])
+        limit[base[owner] + within] = first[classes]
     n = counts[which]
     owner = np.repeat(np.arange(len(parts)), n)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -253,15 +267,16 @@ def _judge(group: pd.DataFrame) -> pd.DataFrame:
     out = [tuple(x) for x in group[group["kind"] == 3][["doc_id", "data"]].itertuples(index=False)]
     packs = group[group["kind"] == 2]
     if len(packs):
-        docs, starts, parts = [], [], []
+        docs, starts, anchors, parts = [], [], [], []
         for places, sizes, text in zip(packs["data"], packs["more"], packs["third"], strict=True):
-            place = _unplanes(places, np.int64).reshape(-1, 2)
+            place = _unplanes(places, np.int64).reshape(-1, 3)
             docs.append(place[:, 0])
             starts.append(place[:, 1])
+            anchors.append(place[:, 2])
             ends = np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64)).tolist()
             text = _unz(text)
             parts += [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        d, s = repeated_windows(np.concatenate(docs), np.concatenate(starts), parts)
+        d, s = repeated_windows(np.concatenate(docs), np.concatenate(starts), np.concatenate(anchors), parts)
         by = np.lexsort((s, d))
         d, s = d[by], s[by]
         for a, b in _cuts(d):
@@ -290,7 +305,9 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # A cast that does nothing would leave an alias in one plan and not in another, and cost the exchange's reuse.
+    ident = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    docs = docs.select(ident, F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges, buckets = max(width, total >> 24), max(width, total >> 18)
