@@ -114,9 +114,8 @@ def finding_id(*parts: Column) -> Column:
 
 def first_by_id(findings: DataFrame, order: list[str]) -> DataFrame:
     """The first finding of each id."""
-    return last_edit(findings.withColumn("_o", F.lit(0)), ["finding_id"], ["_o"]) if not order else (
-        findings.withColumn("_n", F.row_number().over(Window.partitionBy("finding_id").orderBy(*order))).filter("_n = 1").drop("_n")
-    )
+    w = Window.partitionBy("finding_id").orderBy(*order)
+    return findings.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def report(findings: DataFrame) -> DataFrame:

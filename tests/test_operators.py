@@ -153,3 +153,13 @@ def test_paging(spark):
     assert paging.disagreement(table, table).isEmpty()
     segments = review.highlight_segments(spark.createDataFrame([("p", 0, 5, "a"), ("p", 3, 8, "b"), ("p", 10, 12, "c")], "page string, start int, end int, finding_id string"), ["page"])
     assert sorted((r["from"], r["to"], r.finding_ids) for r in segments.collect()) == [(0, 3, ["a"]), (3, 5, ["a", "b"]), (5, 8, ["b"]), (10, 12, ["c"])]
+
+
+def test_projection_and_first(spark):
+    from docsieve.functions import text
+
+    df = spark.createDataFrame([("Straße  x",)], "t string").withColumn("s", text.surface("t", F.lit(True)))
+    r = df.select("s.cmp", text.project(F.col("s"), F.lit(0), F.lit(7)).alias("whole"), text.project(F.col("s"), F.lit(0), F.lit(5)).alias("cut")).first()
+    assert r.cmp == "strasse x" and tuple(r.whole) == (0, 6) and r.cut is None
+    two = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "finding_id string, o int")
+    assert sorted(map(tuple, review.first_by_id(two, ["o"]).collect())) == [("a", 1), ("b", 3)]
