@@ -236,11 +236,11 @@ def _shared(packs: pd.DataFrame) -> pd.DataFrame:
 
 
 def _width(n: int) -> int:
-    return 1 << min(18, max(8, (8 * n - 1).bit_length()))
+    return 1 << min(18, max(8, (4 * n - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each token; the width is eight to sixteen times the size of the set."""
+    """A bit for each token; the width is four to eight times the size of the set."""
     width = _width(len(s))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
