@@ -3,8 +3,8 @@
 Every version of a file is a blob, named by the SHA-256 of its text. The ledger holds one row for each
 (blob, rule version) pair that was scanned, with its findings. A scan takes only pairs that the ledger lacks,
 reads each such blob once, and joins the findings back to all paths that hold the blob, so copies and old
-versions cost nothing. The shuffle of ids is small; texts move once, dealt by their row's own id, so a group of
-copies does not meet in one task.
+versions cost nothing. The shuffle of ids is small; texts move once, dealt by their row's own id and blob, so a
+group of copies, or the versions of one path, do not meet in one task.
 
 Defined results: null texts count as empty; repeated rows each get their findings; empty tables give empty
 results; extra columns are ignored. Offsets are code points, ends exclusive; very long texts are scanned whole.
@@ -75,9 +75,10 @@ def scan_unseen(
     todo = one.withColumn("rule_version", F.explode(F.array(*map(F.lit, wanted))))
     if ledger is not None:
         todo = todo.join(ledger.select("blob_id", "rule_version").distinct(), ["blob_id", "rule_version"], "left_anti")
-    todo = todo.groupBy("path").agg(F.min("blob_id").alias("want"), F.collect_set("rule_version").alias("rules"))
+    # A path may stand for several blobs, its versions; each has its own rules to run.
+    todo = todo.groupBy("path", "blob_id").agg(F.collect_set("rule_version").alias("rules"))
     texts = versions.filter(F.col("path").isNotNull()).withColumn("blob_id", F.sha2("text", 256))
-    picked = texts.join(todo.hint("shuffle_hash"), "path").filter(F.col("blob_id") == F.col("want"))
+    picked = texts.join(todo.hint("shuffle_hash"), ["path", "blob_id"])
     nowhere = versions.filter(F.col("path").isNull()).select(
         "text", F.sha2("text", 256).alias("blob_id"), F.array(*map(F.lit, wanted)).alias("rules")
     )

@@ -116,6 +116,22 @@ def test_ledger_is_incremental(spark):
     assert secrets.findings_by_path(docs.filter("false"), ledger).count() == 0
 
 
+def test_versions_of_one_path(spark):
+    texts = ["token=abcdefgh", "passwd: 12345678", "clean", "AKIA" + "B" * 16, None]
+    docs = table(spark, texts + texts[:1], [7] * 5 + [8])
+    blob = {hashlib.sha256((t or "").encode()).hexdigest(): t or "" for t in texts}
+    new = secrets.scan_unseen(docs).checkpoint()
+    pairs = [(r.blob_id, r.rule_version) for r in new.collect()]
+    assert sorted(pairs) == sorted((b, v) for b in blob for v in secrets.RULES)
+    found = secrets.findings_by_path(docs, new).select("path", "blob_id", secrets.spans_text("findings", secrets.KINDS[:3]).alias("s"))
+    assert sorted((r.path, r.blob_id, r.s) for r in found.collect()) == sorted(
+        [(7, b, plain_spans(t)) for b, t in blob.items()] + [(8, next(iter(blob)), plain_spans(texts[0]))]
+    )
+    known = [next(iter(blob)), "base-1"]
+    rest = secrets.scan_unseen(docs, new.filter((F.col("blob_id") == known[0]) & (F.col("rule_version") == known[1])))
+    assert sorted((r.blob_id, r.rule_version) for r in rest.collect()) == sorted(p for p in pairs if list(p) != known)
+
+
 # --- 4 decontamination -----------------------------------------------------------------------------------------
 
 
