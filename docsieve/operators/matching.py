@@ -20,13 +20,16 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions.text import WORD_CLASS, arrow_function, build_surface, comparison_key
 from ..functions.values import unit_boundary
+from .fuzzy import LEAST_WORD
 from .terms import NATURAL_ROLES
 
 _HEAD = regex.compile(rf"[{WORD_CLASS}]+|[^{WORD_CLASS}\s]")
 _WORD = regex.compile(rf"[{WORD_CLASS}]")
+_LETTERS = regex.compile(rf"\p{{L}}{{{LEAST_WORD},}}")
 
 STARTS = "array<struct<at:int,head:string>>"
 FOUND = "array<struct<start:int,end:int,matched_text:string,key:string,boundary_hint:string>>"
+WORDS = "array<struct<start:int,end:int,matched_text:string,word:string>>"
 MOST_UNITS = 10_000
 
 
@@ -77,6 +80,25 @@ def verified(text: pd.Series, collapse: pd.Series, candidates: pd.Series) -> pd.
     return pd.Series(out, dtype=object)
 
 
+@arrow_function(WORDS)
+def letter_words(text: pd.Series) -> pd.Series:
+    """The words of letters alone in a text's collapsed surface that may be one edit from a term, as ranges of the text."""
+    out = []
+    for t in text:
+        cmp, os_, oe, cs, ce = build_surface(t or "", True)
+        begin, finish = dict(zip(cs, os_, strict=True)), dict(zip(ce, oe, strict=True))
+        words = []
+        for m in _HEAD.finditer(cmp):
+            start, end = begin.get(m.start()), finish.get(m.end())
+            if not _LETTERS.fullmatch(m.group()) or start is None or end is None:
+                continue
+            if _is_word(t[start - 1 : start] if start else "") or _is_word(t[end : end + 1]):
+                continue
+            words.append({"start": start, "end": end, "matched_text": t[start:end], "word": m.group()})
+        out.append(words)
+    return pd.Series(out, dtype=object)
+
+
 def exact_hits(terms: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every occurrence of every term: block columns, term columns, start, end, matched_text, method.
 

@@ -14,7 +14,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import comparison_key
 from ..functions.units import fixed_unit_table
 from ..functions.values import value_expressions
 from ..operators import aggregation, fuzzy, matching
@@ -70,12 +69,8 @@ def dictionary_hits(terms: DataFrame, blocks: DataFrame, with_fuzzy: bool) -> Da
     if not with_fuzzy:
         return hits
     keyed = matching.keyed_terms(terms).drop("head")
-    words = blocks.withColumn("s", F.explode(matching.starts("text", F.lit(True)))).filter(F.col("s.head").rlike(r"^\p{L}{5,}$"))
-    found = words.withColumn("word", F.col("s.head")).withColumn("start", F.col("s.at")).drop("s")
-    found = found.withColumn("end", F.col("start") + F.length("word"))
-    found = found.withColumn("matched_text", F.substring("text", F.col("start") + 1, F.length("word")))
-    same = comparison_key("matched_text", F.lit(True)) == F.col("word")  # offsets hold where folding keeps lengths
-    near = fuzzy.fuzzy_hits(keyed, found.filter(same)).drop("word", "edit_distance")
+    found = blocks.withColumn("w", F.explode(matching.letter_words("text"))).select(*blocks.columns, "w.*")
+    near = fuzzy.fuzzy_hits(keyed, found).drop("word", "edit_distance")
     return hits.unionByName(near.select(*hits.columns))
 
 

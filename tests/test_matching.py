@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.text import build_surface
 from docsieve.operators import aggregation, fuzzy, matching, terms
+from docsieve.plans import runner
 from docsieve.sources.schemas import CATALOGUE
 
 TERM = "literal string, component string, term_role string, source_table string, source_field string, row_id string, lexical_term_id string, boundary_hint string, fuzzy_allowed boolean, display_name string, attributes map<string,string>"
@@ -62,6 +63,19 @@ def test_fuzzy(spark):
     assert [r.row_id for r in fuzzy.fuzzy_hits(t, words).filter("word = 'filtr'").collect()] == ["1"]
 
 
+def test_fuzzy_spans_are_of_the_text(spark):
+    t = spark.createDataFrame([term("filter", "1", "equipment_type", fuzzy_ok=True), term("strasse", "2", "equipment_type", fuzzy_ok=True), term("crémer", "3", "equipment_type", fuzzy_ok=True)], TERM)
+    texts = ["filtr a  b \n\n filtr, Straße filtr", "cre\u0301me  Filtr cre\u0301mes x\u0302filtr filtr\u0302 filtr-", "Straßen  STRASE\tFIlTR", "ßßß falter", None, "  "]
+    b = spark.createDataFrame([("d", str(k), x) for k, x in enumerate(texts)], "doc_id string, node_id string, text string")
+    hits = runner.dictionary_hits(t, b, True).filter("method = 'fuzzy'").collect()
+    got = sorted((int(r.node_id), r.start, r.end, r.matched_text, r.row_id) for r in hits)
+    at = lambda k, word, row, after=0: (k, texts[k].index(word, after), texts[k].index(word, after) + len(word), word, row)
+    assert got == sorted([
+        at(0, "filtr", "1"), at(0, "filtr", "1", 5), at(0, "filtr", "1", 20), at(1, "cre\u0301me", "3"), at(1, "Filtr", "1"), at(1, "cre\u0301mes", "3"),
+        at(2, "Straßen", "2"), at(2, "STRASE", "2"), at(2, "FIlTR", "1"), at(3, "falter", "1"),
+    ])
+
+
 def test_terms_of_catalogue(spark):
     def table(name, *rows):
         cols = CATALOGUE[name]
