@@ -35,17 +35,20 @@ def depths(edges: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
     return out
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
-    """(root, node) for every node below each root (column node), by a recursive query."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_edges")
-    roots.select("node").createOrReplaceTempView("_roots")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE below(root, node, depth) AS (
-          SELECT node, node, 0 FROM _roots
-          UNION ALL
-          SELECT b.root, e.child, b.depth + 1 FROM below b JOIN _edges e ON e.parent = b.node WHERE b.depth < {most}
-        ) SELECT DISTINCT root, node FROM below WHERE depth > 0
-        """
-    )
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) for every node below each root (column node), however deep; a root in a cycle is below itself.
+
+    The frontier of new pairs moves one edge a round and is checkpointed, until there are no new pairs.
+    """
+    shared_folder(edges.sparkSession)
+    edges = edges.select("parent", "child").distinct()
+    front = roots.select(F.col("node").alias("root"), "node").distinct()
+    found = None
+    while True:
+        front = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
+        if found is not None:
+            front = front.join(found, ["root", "node"], "left_anti")
+        front = front.checkpoint()
+        if found is not None and front.isEmpty():
+            return found
+        found = front if found is None else found.unionByName(front)

@@ -127,6 +127,14 @@ def test_graph_cycle(spark):
         graph.depths(spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a")], "parent string, child string"))
 
 
+def test_descendants_below_64_edges(spark):
+    rows = [(f"n{k}", f"n{k + 1}") for k in range(70)] + [("x", "y"), ("y", "x"), ("y", "n68"), (None, "n0")]
+    edges = spark.createDataFrame(rows, "parent string, child string")
+    roots = spark.createDataFrame([("n0",), ("x",), ("n70",), ("n0",)], "node string")
+    got = sorted((r.root, r.node) for r in graph.descendants(edges, roots).collect())
+    assert got == sorted([("n0", f"n{k}") for k in range(1, 71)] + [("x", n) for n in ("x", "y", "n68", "n69", "n70")])
+
+
 def test_run_isolates_failures(spark):
     blocks = spark.createDataFrame([("d", "n1", 1, 0, "charge 2.5 kg of Water"), ("d", "n2", 2, 0, "sieving done")], "doc_id string, node_id string, page_number int, block_order int, text string")
     cols = {n: ", ".join(f"`{c}` string" for c in CATALOGUE[n]) for n in CATALOGUE}
