@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 14
 PENALTY = 12.0
 ROUNDS = 15
-#: A language below this share in the fit with all of them is not considered.
-SMALLEST = 0.02
 _LETTERS = re.compile(r"[^\W\d_]")
 _GAPS = re.compile(r"[\W\d_]+")
 
@@ -85,13 +83,9 @@ class Languages:
                 break
         order = np.argsort(-share, kind="stable").tolist()
         chosen = order[:1]
-        if k == 1 or share[order[1]] < SMALLEST:
-            return chosen, np.ones(1)
         best = fit(chosen, np.ones(1))
         cost = PENALTY * np.log(total)
         for m in range(2, k + 1):
-            if share[order[m - 1]] < SMALLEST:
-                break
             start = share[order[:m]]
             more = fit(order[:m], start / start.sum())
             if more[1] - best[1] <= cost:

@@ -84,6 +84,17 @@ def test_language_held_out_and_mixture(spark, sf_dir):
     assert language.predict(table(spark, ["abc"]), none).first().lang_pred == "und"
 
 
+def test_small_share_of_a_long_text(spark):
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choice(some) for _ in range(rng.randint(3, 9))) for _ in range(400)] for lang, some in (("aa", "aeiounrst"), ("bb", "бвгдежзик"), ("cc", "αβγδεζηθι"))}
+    some = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    model = language.learn(spark.createDataFrame([(some(lang, 3000), lang) for lang in words], "text string, lang string"))
+    long = some("aa", 20_000) + " " + some("bb", 300)
+    rows = {r.doc_id: r for r in language.predict(table(spark, [long, some("aa", 20_000)]), model).collect()}
+    assert rows[0].langs == ["aa", "bb"] and 0.97 < rows[0].score < 1 and 0 < rows[0].shares[1] < 0.02
+    assert rows[1].langs == ["aa"] and rows[1].score == 1
+
+
 # --- 3 secrets -------------------------------------------------------------------------------------------------
 
 
