@@ -120,12 +120,16 @@ def plan(
     seed: int = 11,
     weights: list[float] | None = None,
 ) -> Mix:
-    """Plan a mix of ``docs`` (doc_id, source, size); ``shards`` is the least number of output shards."""
+    """Plan a mix of ``docs`` (doc_id, source, size); ``shards`` is the least number of output shards.
+
+    A column ``row`` of ``docs``, if there is one, orders rows with one id and size and is kept in the plan's ``docs``.
+    """
     spark = docs.sparkSession
     shared_folder(spark)
     weights = weights or WEIGHTS
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
-    sized = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), chunk.alias("chunk")).checkpoint()
+    row = [c for c in docs.columns if c == "row"]
+    sized = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), *row, chunk.alias("chunk")).checkpoint()
     sums = sized.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     found = sums.groupBy("source").agg(F.sum("words").alias("n")).collect()  # one row for each source
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
@@ -144,11 +148,11 @@ def plan(
     before = sums.select(
         F.col("source").alias("s"), F.col("chunk").alias("c"), (F.sum("words").over(total) - F.col("words")).alias("before")
     )
-    inner = Window.partitionBy("source", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "chunk").orderBy("doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         sized.withColumn("upto", F.sum("size").over(inner))
         .join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-        .select("doc_id", "source", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
+        .select("doc_id", "source", "size", *row, (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
     )
     # Slots are numbered in a source over all shards: a row for each source and shard, filled on the executors.
     ends = np.cumsum(counts, 1)
@@ -216,28 +220,31 @@ def _parts_of(text: str, spans: list[tuple[int, int, int]]) -> str | None:
 def mix_documents(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """The documents (same columns, ``n_chars`` renewed) with the words that the mix takes, repeats on new lines.
 
-    Documents of which nothing is taken go. Rows with one id and size take the same words.
+    Documents of which nothing is taken go. Rows are told apart by all their columns, and equal rows are numbered, so
+    each row takes the blocks of its own place.
     """
     columns = docs.columns
-    mix = plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), block=block)
+    sized = docs.withColumn("_row", F.xxhash64(*columns)).withColumn("_size", word_count(F.col("text")))
+    mix = plan(sized.select("doc_id", "source", F.col("_size").alias("size"), F.col("_row").alias("row")), block=block)
     names = mix.sources.select(F.col("source").alias("s"), "rank")
     placed = mix.docs.filter(F.col("size") > 0).join(names, F.col("source").eqNullSafe(F.col("s")))
-    first = placed.groupBy("doc_id", "rank", "size").agg(F.min("start").alias("start"))
-    spread = first.withColumn(
+    spread = placed.select("row", "size", "rank", "start").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     )
     times = mix.slots.groupBy("rank", "block").agg(F.count("*").cast("int").alias("times"))
     low = F.greatest("start", F.col("block") * block) - F.col("start")
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")
     span = F.struct(low.cast("int").alias("a"), high.cast("int").alias("b"), F.coalesce("times", F.lit(0)).alias("t"))
-    spans = spread.join(times.hint("merge"), ["rank", "block"], "left").groupBy("doc_id", "size").agg(
-        F.sort_array(F.collect_list(span)).alias("_spans")
+    spans = spread.join(times.hint("merge"), ["rank", "block"], "left").groupBy("row", "size", "rank", "start").agg(
+        F.sort_array(F.collect_list(span)).alias("spans")
+    )
+    # A place in a source is one row's; equal rows share a list of their places and take them by number.
+    lists = spans.groupBy(F.col("row").alias("_row"), F.col("size").alias("_size")).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "start", "spans"))).alias("_places")
     )
-    sized = docs.withColumn("_size", word_count(F.col("text"))).filter(F.col("_size") > 0)
-    joined = sized.join(
-        spans.withColumnRenamed("doc_id", "_doc").withColumnRenamed("size", "_n"),
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_size") == F.col("_n")),
-    ).filter(F.exists("_spans", lambda s: s["t"] > 0))
+    number = F.row_number().over(Window.partitionBy("_row", "_size").orderBy("_row"))
+    joined = sized.filter(F.col("_size") > 0).withColumn("_nth", number).join(lists, ["_row", "_size"])
+    joined = joined.withColumn("_spans", F.element_at("_places", F.col("_nth"))["spans"]).filter(F.exists("_spans", lambda s: s["t"] > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -28,3 +28,32 @@ def test_stages(spark, sf_dir):
     out = pipeline.STAGES[-1][1](spark, docs, sf_dir).toPandas()
     assert set(out.doc_id) == set(frames[4].doc_id) and out.n_tokens.sum() == out.start.max() + out.loc[out.start.idxmax()].n_tokens
     assert queries.QUERIES
+
+
+def test_mix_gives_each_row_its_own_words(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from docsieve.llm import mixing
+
+    keys = [(None, "a"), (None, "b"), (7, "a"), (7, "b"), (7, None)]
+    rows = [(*keys[k % 5], f"r{k}", " ".join(f"r{k}w{i}" for i in range(20)), 0) for k in range(60)]
+    rows += [rows[0], rows[0], rows[1], (8, "a", "none", None, 0)]  # equal rows, and one without words
+    docs = spark.createDataFrame(rows, "doc_id long, source string, name string, text string, n_chars long")
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    plan = mixing.plan(sized, block=8)
+    taken = mixing.taken_words(plan)
+    names = {r["rank"]: r["source"] for r in plan.sources.collect()}
+    want = Counter({s: 0 for s in names.values()})
+    for r in plan.slots.collect():
+        size = sum(20 for x in rows if x[1] == names[r["rank"]] and x[3])
+        want[names[r["rank"]]] += min(8, size - 8 * r["block"])
+    out = mixing.mix_documents(docs, block=8).collect()
+    got = Counter()
+    for r in out:
+        words = r.text.split()
+        assert len(words) <= 3 * 20 and {w.split("w")[0] for w in words} == {r["name"]}
+        got[r.source] += len(words)
+    assert got == want
+    assert sorted(len(r.text.split()) for r in out) == sorted(r.taken for r in taken.collect() if r.taken)
