@@ -15,23 +15,24 @@ chunk.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage_path
+from .batches import parts, table_of
 
 BLOCK = 1 << 15
 CHUNK_IDS = 1 << 20
 END_ID = 2
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 CHUNK = (
     "shard int, chunk int, first long, n_ids long, doc_ids array<long>, doc_offsets array<long>, "
     "plane_offsets array<int>, planes binary"
@@ -74,7 +75,10 @@ def unpack_block(data: bytes) -> np.ndarray:
     return raw.reshape(-1).view("<u4")
 
 
-_TAIL = "#$%&*!.,;:?|"
+#: Letters (which stay single letters when normalised) with signs behind them, where the tokenizer cuts.
+_PARTED = r"^(?P<core>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<tail>[#$%&*!.,;:?|]*)$"
+#: Python's and Arrow's white space that the tokenizer takes for signs.
+_SEPARATORS = "[\x1c-\x1f]"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -85,75 +89,125 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _by_words(path: str) -> bool:
+    """Whether a vocabulary file makes tokens of lower-cased runs of letters, digits and runs of signs, one by one.
+
+    Then no token spans white space, and letters and the signs behind them may be encoded apart.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    rules = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if rules != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"]:
+        return False
+    pattern = cuts[0].get("pattern", {}).get("Regex", "")
+    white = spec["normalizer"]["normalizers"][1]
+    runs = [x for x in pattern.split("|") if not x.startswith("'")]
+    return (
+        (white.get("pattern"), white.get("content")) == ({"Regex": r"\s+"}, " ")
+        and runs == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
+        and (cuts[0].get("behavior"), cuts[0].get("invert")) == ("Removed", True)
+        and not cuts[1].get("add_prefix_space")
+        and not cuts[1].get("use_regex")
+        and spec["model"].get("type") == "BPE"
+        and bool(spec["model"].get("end_of_word_suffix"))
+        and all("<" in x["content"] for x in spec.get("added_tokens", []))
+    )
+
+
 class WordEncoder:
-    """A tokenizer whose tokens never span white space and keep letters and signs apart, with a store of its words.
+    """A tokenizer with a store of its words, for files whose tokens never span white space; else it encodes whole texts.
 
     The store has two generations of at most ``most`` words each: words not met again are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.young: dict[str, bytes] = {}
+        self.by_words = _by_words(path)
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word: all words as one text, its tokens dealt back by their offsets."""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.by_words:
+            with open(path, encoding="utf-8") as f:
+                suffix = json.load(f)["model"]["end_of_word_suffix"]
+            self.ends[[k for x, k in vocabulary.items() if x.endswith(suffix)]] = True
+
+    def _encode(self, words: list[str], plain: bool) -> list[bytes]:
+        """The ids of each word: many words as one text. Plain ones are letters and have one end token each."""
         out = []
         for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            first = np.array([a for a, _ in e.offsets], np.int64)
-            cuts = (4 * np.searchsorted(first, starts)).tolist()
+            some = words[k : k + 5000]
+            if plain:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(some):
+                    return out + self._encode(words[k:], False)
+                cuts = [0, *(4 * stops).tolist()]
+            else:  # tokens are dealt back by their offsets
+                starts = np.cumsum([0, *(len(w) + 1 for w in some)])
+                e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                ids = np.array(e.ids, "<u4")
+                cuts = (4 * np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), starts)).tolist()
             data = ids.tobytes()
             out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
-    @staticmethod
-    def _core(word: str) -> tuple[str, str]:
-        """A word as letters and a tail of signs, if the tokenizer must cut there; ASCII letters are lower-cased as it does."""
-        core = word.rstrip(_TAIL)
-        tail = word[len(core) :]
-        if not core or not core[-1].isalpha() or core[-1] >= "\u0130":  # later letters may end in a sign when lower-cased
-            core, tail = word, ""
-        return (core.lower() if core.isascii() and "<" not in core else core), tail
-
-    def _learn(self, words: set[str]) -> None:
-        """Put words into the young generation."""
+    def _ids(self, words: list[str], plain: bool) -> list[bytes]:
+        """The ids of distinct words, from the store where it has them."""
+        young = self.young
+        found = [young.get(w) for w in words]
+        missed = [k for k, x in enumerate(found) if x is None]
         new = []
-        for w in words:
-            x = self.old.get(w)
+        for k in missed:
+            found[k] = x = self.old.get(words[k])
             if x is None:
-                new.append(w)
-            else:
-                self.young[w] = x
-        cut = [self._core(w) for w in new]
-        parts = {p for c in cut for p in c if p}
-        known = {p: x for p in parts if (x := self.young.get(p) or self.old.get(p)) is not None}
-        parts = [p for p in parts if p not in known]
-        made = dict(zip(parts, self._encode(parts), strict=True))
-        self.young.update(made)
-        known.update(made)
-        for w, (core, tail) in zip(new, cut, strict=True):
-            self.young[w] = known[core] + known[tail] if tail else known[core]
-
-    def __call__(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-        words = [_split(t) for t in texts]
-        self._learn({w for ws in words for w in ws}.difference(self.young))
-        end = b"" if end_id is None else struct.pack("<I", end_id)
-        get = self.young.__getitem__
-        out = [np.frombuffer(b"".join(map(get, ws)) + end, "<u4") for ws in words]
+                new.append(k)
+        for k, x in zip(new, self._encode([words[k] for k in new], plain), strict=True):
+            found[k] = x
+        young.update([(words[k], found[k]) for k in missed])
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (without null), and the n + 1 offsets of the texts in them."""
+        apart = bool(len(texts)) and pc.any(pc.match_substring_regex(texts, _SEPARATORS)).as_py()
+        if not self.by_words or apart:
+            made = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4") for x in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *made]), np.cumsum([0, *map(len, made)])
+        words = pc.utf8_split_whitespace(texts)
+        places = words.offsets.to_numpy().astype(np.int64)
+        coded = words.values.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        # A distinct word is letters and a tail where the tokenizer must cut there, else one piece.
+        parted = pc.extract_regex(coded.dictionary, _PARTED)
+        plain = parted.is_valid()
+        cores = pc.utf8_lower(pc.struct_field(parted.filter(plain), "core")).dictionary_encode()
+        others = pa.concat_arrays([
+            coded.dictionary.filter(pc.invert(plain)), pc.struct_field(parted.filter(plain), "tail")
+        ]).dictionary_encode()
+        made = self._ids(cores.dictionary.to_pylist(), True) + self._ids(others.dictionary.to_pylist(), False) + [b""]
+        plain, other = plain.to_numpy(zero_copy_only=False), others.indices.to_numpy() + len(cores.dictionary)
+        pieces = np.full((len(plain), 2), len(made) - 1)
+        pieces[plain, 0] = cores.indices.to_numpy()
+        pieces[plain, 1] = other[len(plain) - plain.sum() :]
+        pieces[~plain, 0] = other[: len(plain) - plain.sum()]
+        store, sizes = np.frombuffer(b"".join(made), "<u4"), np.array([len(x) for x in made], np.int64) // 4
+        ids, sizes = _gather(store, sizes, pieces.reshape(-1))
+        ids, sizes = _gather(ids, sizes.reshape(-1, 2).sum(1), codes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
         if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        return out
+            self.old, self.young = self.young, {"": b""}
+        return ids, upto[places - places[0]]
 
 
-def _split(text: str) -> list[str]:
-    """Words between white space, as the vocabulary's pattern sees it: the separators 1c to 1f are signs."""
-    return [w for w in re.split(r"[ \t\n\r\f\v]+", text) if w] if _SEPARATORS.search(text) else text.split()
+def _gather(store: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items that lie end to end in ``store``, in the order ``which``, and the size of each."""
+    starts, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    stops = np.cumsum(n)
+    total = int(stops[-1]) if len(n) else 0
+    return store[np.repeat(starts - stops + n, n) + np.arange(total)], n
 
 
 def write_tokens(
@@ -176,36 +230,36 @@ def write_tokens(
         F.col("doc_id").asc_nulls_first(), "text"
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, encode, first, chunk = TaskContext.get().partitionId(), encoder(tokenizer_path), 0, 0
-        ids, offsets, parts, held = [], [], [], 0
+        names, offsets, held, n = [], [], [], 0
+        end = np.array([end_id], "<u4")
 
-        def close() -> pd.DataFrame:
-            nonlocal ids, offsets, parts, held, first, chunk
-            flat = np.concatenate(parts)
+        def close() -> pa.RecordBatch:
+            nonlocal names, offsets, held, n, first, chunk
+            flat = np.concatenate(held)
             blocks = [pack_block(flat[k : k + block], unit) for k in range(0, len(flat), block)]
-            ends = np.cumsum([0, *map(len, blocks)]).astype(np.int32)
-            row = (shard, chunk, first, len(flat), ids, offsets, ends, b"".join(blocks))
-            first, chunk, ids, offsets, parts, held = first + len(flat), chunk + 1, [], [], [], 0
-            return pd.DataFrame([row], columns=[x.split()[0] for x in CHUNK.split(", ")])
-
-        for b in batches:
-            names = [None if pd.isna(x) else int(x) for x in b["doc_id"]]
-            for k in range(0, len(b), 200):
-                texts = b["text"].iloc[k : k + 200].tolist()
-                for name, x in zip(names[k : k + 200], encode(texts, end_id), strict=True):
-                    ids.append(name)
-                    offsets.append(held)
-                    parts.append(x)
-                    held += len(x)
-                    if held >= chunk_ids:
-                        yield close()
-        if ids:
+            stops = np.cumsum([0, *map(len, blocks)])
+            row = ([shard], [chunk], [first], [len(flat)], [names], [offsets], [stops], [b"".join(blocks)])
+            first, chunk, names, offsets, held, n = first + len(flat), chunk + 1, [], [], [], 0
+            return table_of(CHUNK, row)
+
+        for b in parts(batches, 1 << 22, 1 << 14):
+            ids, upto = encode(b.column("text"))
+            for name, x, y in zip(b.column("doc_id").to_pylist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                names.append(name)
+                offsets.append(n)
+                held += (ids[x:y], end)
+                n += y - x + 1
+                if n >= chunk_ids:
+                    yield close()
+            held = [x.copy() if len(x) > 1 else x for x in held]  # the batch's ids may go
+        if names:
             yield close()
 
-    ranged.mapInPandas(run, CHUNK).write.parquet(path)
+    ranged.mapInArrow(run, CHUNK).write.parquet(path)
     return path
 
 
@@ -218,12 +272,12 @@ def read_chunk(plane_offsets: np.ndarray, planes: bytes) -> np.ndarray:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Read a dataset back: doc_id, start (global), n_tokens, ids."""
-    return _read(spark, path, "ids array<int>", lambda x: x.astype(np.int32))
+    return _read(spark, path, "ids array<int>", lambda x: x.view(np.int32))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Read a dataset back: doc_id, start (global), n_tokens, ids_crc32."""
-    return _read(spark, path, "ids_crc32 long", lambda x: zlib.crc32(x.astype("<u4").tobytes()))
+    return _read(spark, path, "ids_crc32 long", lambda x: zlib.crc32(x))
 
 
 def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
@@ -233,24 +287,15 @@ def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
     before = totals.select(
         "shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before")
     )
-    name = column.split()[0]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, before, doc_ids, offsets, plane_offsets, planes in zip(
-                b["first"], b["before"], b["doc_ids"], b["doc_offsets"], b["plane_offsets"], b["planes"], strict=True
-            ):
-                ids = read_chunk(plane_offsets, planes)
-                ends = [*offsets[1:], len(ids)]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if pd.isna(x) else int(x) for x in doc_ids], "Int64"),
-                        "start": np.asarray(offsets, np.int64) + first + before,
-                        "n_tokens": np.asarray(ends, np.int64) - np.asarray(offsets, np.int64),
-                        name: [value(ids[s:e]) for s, e in zip(offsets, ends, strict=True)],
-                    }
-                )
+            for k in range(b.num_rows):
+                first, before, names, offsets, stops, planes = (x[0] for x in b.slice(k, 1).to_pydict().values())
+                ids = read_chunk(stops, planes)
+                at = np.array([*offsets, len(ids)], np.int64)
+                values = [value(ids[x:y]) for x, y in zip(offsets, at[1:].tolist(), strict=True)]
+                yield table_of(f"doc_id long, start long, n_tokens long, {column}", (names, at[:-1] + (first + before), np.diff(at), values))
 
     joined = chunks.join(F.broadcast(before), "shard")
-    spark_batch = joined.select("first", "before", "doc_ids", "doc_offsets", "plane_offsets", "planes")
-    return spark_batch.mapInPandas(run, f"doc_id long, start long, n_tokens long, {column}")
+    rows = joined.select("first", "before", "doc_ids", "doc_offsets", "plane_offsets", "planes")
+    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
