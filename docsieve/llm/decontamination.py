@@ -19,10 +19,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import parts, table_of
+
 PIECE = 16
 GROUP_CHARS = 8_000_000
 HITS = "doc_id long, item_id long, distance int, end_at int, item_chars int"
@@ -146,18 +148,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for group in item_groups(benchmark):
 
-        def run(batches: Iterator[pd.DataFrame], group=group) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(group)
-            for b in batches:
-                found = [
-                    (None if pd.isna(d) else int(d), *hit)
-                    for d, text in zip(b["doc_id"], b["text"], strict=True)
-                    for hit in matcher.search(text)
-                ]
-                hits = pd.DataFrame(found, columns=[x.split()[0] for x in HITS.split(", ")])
-                yield hits.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        part = rows.mapInPandas(run, HITS)
+            for b in parts(batches):
+                both = zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
+                found = [(d, *hit) for d, text in both for hit in matcher.search(text)]
+                if found:
+                    yield table_of(HITS, zip(*found, strict=True))
+
+        part = rows.mapInArrow(run, HITS)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], HITS) if out is None else out
 
@@ -169,10 +168,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     for group in groups:
 
-        def run(batches: Iterator[pd.DataFrame], group=group) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(group)
-            for b in batches:
-                yield b[[not matcher.search(x) for x in b["text"]]]
+            for b in parts(batches):
+                yield b.filter(pa.array([not matcher.search(x) for x in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInPandas(run, schema)
+        docs = docs.mapInArrow(run, schema)
     return docs

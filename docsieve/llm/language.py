@@ -21,20 +21,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import parts, table_of
+
 BUCKET_BITS = 14
 PENALTY = 12.0
 ROUNDS = 15
+COUNTS = "lang string, bucket int, n long"
+MIXTURES = "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>"
 _LETTERS = re.compile(r"[^\W\d_]")
 _GAPS = re.compile(r"[\W\d_]+")
 
 
 def ngrams(text: str | None) -> np.ndarray | None:
     """The bucket of each n-gram of a text; None if it has no letter."""
-    if not text or not _LETTERS.search(text):
+    # Signs such as fractions and Roman numerals pass the pattern, but are no letters.
+    if not text or not any(m.group().isalpha() for m in _LETTERS.finditer(text)):
         return None
     c = np.frombuffer((" " + _GAPS.sub(" ", text.lower()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     one = c * np.uint32(0x9E3779B1)
@@ -98,10 +104,10 @@ class Languages:
 def learn(labelled: DataFrame, smoothing: float = 0.5) -> Languages:
     """Learn from rows ``text, lang``: all of them."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
-            for text, lang in zip(b["text"], b["lang"], strict=True):
+        for b in parts(batches):
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 grams = ngrams(text)
                 if grams is not None:
                     if lang not in sums:
@@ -109,40 +115,35 @@ def learn(labelled: DataFrame, smoothing: float = 0.5) -> Languages:
                     sums[lang] += np.bincount(grams, minlength=1 << BUCKET_BITS)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": total[at]})
+            yield table_of(COUNTS, ([lang] * len(at), at, total[at]))
 
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sums = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = sums.toPandas()  # languages times buckets at most
-    names = sorted(counts["lang"].unique())
+    sums = rows.mapInArrow(count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = sums.toArrow()  # languages times buckets at most
+    names = sorted(counts.column("lang").unique().to_pylist())
     table = np.full((1 << BUCKET_BITS, len(names)), smoothing)
     for k, name in enumerate(names):
-        part = counts[counts["lang"] == name]
-        table[part["bucket"], k] += part["n"]
+        part = counts.filter(pc.equal(counts.column("lang"), name))
+        table[part.column("bucket").to_numpy(), k] += part.column("n").to_numpy()
     return Languages(names, table / table.sum(0) if names else table)
 
 
 def predict(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the language's share) and the mixture as parallel arrays."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
             rows = []
-            for text in b["text"]:
+            for text in b.column("text").to_pylist():
                 grams = ngrams(text) if model.names else None
                 if grams is None:
                     rows.append(("und", 0.0, [], []))
                 else:
                     which, share = model.mixture(grams)
                     rows.append((model.names[which[0]], float(min(1.0, share[0])), [model.names[i] for i in which], share.tolist()))
-            out = pd.DataFrame(rows, columns=["lang_pred", "score", "langs", "shares"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>"
-    )
+            yield table_of(MIXTURES, (b.column("doc_id"), *zip(*rows, strict=True)))
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, MIXTURES)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -23,15 +23,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .batches import parts, table_of
 
 BLOCK, CHUNKS, SHARDS, MOST = 64, 512, 64, 3
 SHARD_WORDS = 1 << 24
 WEIGHTS = [5, 2, 1]
+SLOTS = "rank int, shard int, slot long, block long"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -164,18 +166,18 @@ def plan(
     ]
     seeds = [[_key(s, turn, seed) for turn in range(MOST)] for s in names]
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rank, shard, first, n in zip(b["rank"], b["shard"], b["first"], b["n"], strict=True):
+            for rank, shard, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for at in range(first, first + n, 1 << 16):
                     slot = np.arange(at, min(first + n, at + (1 << 16)))
                     key = np.array(seeds[rank], np.uint64)[slot // blocks[rank]]
                     got = permute(slot % blocks[rank], np.full(len(slot), blocks[rank]), key)
-                    yield pd.DataFrame({"rank": rank, "shard": shard, "slot": slot, "block": got})
+                    yield table_of(SLOTS, (np.full(len(slot), rank), np.full(len(slot), shard), slot, got))
 
     table = spark.createDataFrame(runs, "rank int, shard int, first long, n long")
-    parts = max(1, min(len(runs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    filled = table.repartition(parts).mapInPandas(fill, "rank int, shard int, slot long, block long")
+    tasks = max(1, min(len(runs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    filled = table.repartition(tasks).mapInArrow(fill, SLOTS)
     return Mix(sources, placed, filled, block)
 
 
@@ -224,8 +226,12 @@ def mix_documents(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     each row takes the blocks of its own place.
     """
     columns = docs.columns
-    sized = docs.withColumn("_row", F.xxhash64(*columns)).withColumn("_size", word_count(F.col("text")))
-    mix = plan(sized.select("doc_id", "source", F.col("_size").alias("size"), F.col("_row").alias("row")), block=block)
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in columns):  # no name of ours is one of theirs
+        mark += "_"
+    key, size, nth, held = f"{mark}row", f"{mark}size", f"{mark}nth", f"{mark}spans"
+    sized = docs.withColumn(key, F.xxhash64(*columns)).withColumn(size, word_count(F.col("text")))
+    mix = plan(sized.select("doc_id", "source", F.col(size).alias("size"), F.col(key).alias("row")), block=block)
     names = mix.sources.select(F.col("source").alias("s"), "rank")
     placed = mix.docs.filter(F.col("size") > 0).join(names, F.col("source").eqNullSafe(F.col("s")))
     spread = placed.select("row", "size", "rank", "start").withColumn(
@@ -239,17 +245,21 @@ def mix_documents(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
         F.sort_array(F.collect_list(span)).alias("spans")
     )
     # A place in a source is one row's; equal rows share a list of their places and take them by number.
-    lists = spans.groupBy(F.col("row").alias("_row"), F.col("size").alias("_size")).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "start", "spans"))).alias("_places")
+    lists = spans.groupBy(F.col("row").alias(key), F.col("size").alias(size)).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "start", "spans"))).alias(held)
     )
-    number = F.row_number().over(Window.partitionBy("_row", "_size").orderBy("_row"))
-    joined = sized.filter(F.col("_size") > 0).withColumn("_nth", number).join(lists, ["_row", "_size"])
-    joined = joined.withColumn("_spans", F.element_at("_places", F.col("_nth"))["spans"]).filter(F.exists("_spans", lambda s: s["t"] > 0))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [_parts_of(t, [(s["a"], s["b"], s["t"]) for s in spans]) for t, spans in zip(b["text"], b["_spans"], strict=True)]
-            yield b.assign(text=pd.Series(text, index=b.index, dtype=object))[columns]
-
-    out = joined.select(*columns, "_spans").mapInPandas(run, docs.schema)
+    number = F.row_number().over(Window.partitionBy(key, size).orderBy(key))
+    joined = sized.filter(F.col(size) > 0).withColumn(nth, number).join(lists, [key, size])
+    joined = joined.withColumn(held, F.element_at(held, F.col(nth))["spans"]).filter(F.exists(held, lambda s: s["t"] > 0))
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            both = zip(b.column("text").to_pylist(), b.column(held).to_pylist(), strict=True)
+            text = [_parts_of(t, [(s["a"], s["b"], s["t"]) for s in spans]) for t, spans in both]
+            kept = [b.column(k) for k in range(len(columns))]
+            kept[at] = pa.array(text, b.schema.field(at).type)
+            yield pa.record_batch(kept, names=columns)
+
+    out = joined.select(*columns, held).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out

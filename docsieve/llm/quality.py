@@ -19,17 +19,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .batches import matrix, parts, table_of
 
 STATISTICS = [
     "log_bytes", "log_words", "word_length", "upper", "digits", "spaces", "symbols", "stops", "marks", "pipes",
     "bangs", "same_next", "distinct", "same_lines", "top_word", "long_words", "lines",
 ]
 N_FEATURES, N_BINS = 160, 400
+STATS = "doc_id long, stats array<double>"
+SCORES = "doc_id long, score double, predicted int"
 
 _CLASS = np.zeros((256, 9))
 for _i, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\r", "#$%&*@^~_+=<>{}[]\\/", ".,;:", "|", "!?")):
@@ -61,13 +64,11 @@ def statistics(text: str | None) -> list[float]:
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its statistics as an array; one pass over the texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "stats": [statistics(x) for x in b["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            yield table_of(STATS, (b.column("doc_id"), [statistics(x) for x in b.column("text").to_pylist()]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, stats array<double>"
-    )
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STATS)
 
 
 @dataclass
@@ -128,45 +129,45 @@ def fit(labelled: DataFrame, *, n_features: int = N_FEATURES, width: float = 4.0
     model = Model(mean, np.sqrt(np.maximum(var, 1e-12)) + 1e-6, weights, offsets, none, none, none)
     size = 1 + d + n_features
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size + 1))
         for b in batches:
-            if len(b):
-                x = model.features(np.array(b["stats"].tolist()))
-                total += x.T @ np.column_stack([x, b["label"].to_numpy()])
+            if b.num_rows:
+                x = model.features(matrix(b.column("stats"), d))
+                total += x.T @ np.column_stack([x, b.column("label").to_numpy()])
         if total.any():
-            yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
+            yield table_of("i int, row array<double>", (np.arange(size), list(total)))
 
-    parts = rows.mapInPandas(partial, "i int, row array<double>")
+    summed = rows.mapInArrow(partial, "i int, row array<double>")
     # Partitions' sums meet in one row for each feature: entry by entry, folded on the map side.
-    cells = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    cells = summed.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
     system = np.zeros((size, size + 1))
     for i, j, v in cells.collect():  # size * (size + 1) numbers, whatever the corpus
         system[i, j] = v
     model.ridge = np.linalg.solve(system[:, :-1] + ridge * n * np.eye(size), system[:, -1])
 
-    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = model.raw(np.array(b["stats"].tolist())) if len(b) else np.zeros(0)
+            raw = model.raw(matrix(b.column("stats"), d)) if b.num_rows else np.zeros(0)
             at = np.clip(np.rint((raw + 0.5) * n_bins / 2), 0, n_bins).astype(np.int32)
-            yield pd.DataFrame({"bin": at, "label": b["label"].to_numpy()})
+            yield table_of("bin int, label double", (at, b.column("label")))
 
-    curve = rows.mapInPandas(bins, "bin int, label double").groupBy("bin").agg(F.count("label").alias("n"), F.avg("label").alias("m"))
-    curve = curve.toPandas().sort_values("bin")  # at most n_bins + 1 rows
-    model.knots = curve["bin"].to_numpy() * 2 / n_bins - 0.5
-    model.values = isotonic(curve["n"].to_numpy(float), curve["m"].to_numpy(float))
+    curve = rows.mapInArrow(bins, "bin int, label double").groupBy("bin").agg(F.count("label").alias("n"), F.avg("label").alias("m"))
+    curve = np.array(sorted(tuple(r) for r in curve.collect()), float)  # at most n_bins + 1 rows
+    model.knots = curve[:, 0] * 2 / n_bins - 0.5
+    model.values = isotonic(curve[:, 1], curve[:, 2])
     return model
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= 0.5)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.score(np.array(b["stats"].tolist())) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            s = model.score(matrix(b.column("stats"), len(STATISTICS))) if b.num_rows else np.zeros(0)
+            yield table_of(SCORES, (b.column("doc_id"), s, (s >= 0.5).astype(np.int32)))
 
-    return stats.mapInPandas(run, "doc_id long, score double, predicted int")
+    return stats.mapInArrow(run, SCORES)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -196,9 +197,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = document_statistics(docs).checkpoint()
     model = fit(stats.join(train, "doc_id").select("stats", "label").checkpoint())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b[model.score(np.array([statistics(x) for x in b["text"]])) >= 0.5]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            good = model.score(np.array([statistics(x) for x in b.column("text").to_pylist()])) >= 0.5
+            yield b.filter(pa.array(good))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

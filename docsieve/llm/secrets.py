@@ -15,10 +15,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import parts
+
 # The rules by version. A kind's rank is its place in KINDS.
 RULES: dict[str, list[tuple[str, str, int, int]]] = {
     # version: (kind, pattern, group whose length counts, least length)
@@ -84,16 +86,20 @@ def scan_unseen(
     )
     picked = picked.select("text", "blob_id", "rules").unionByName(nowhere)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finding = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
+        kinds = pa.string(), pa.string(), pa.list_(finding)
+        for b in parts(batches):
             rows = [
                 (blob, v, [dict(zip(("start", "rank", "end", "kind"), x, strict=True)) for x in scan_text(text, RULES[v])])
-                for text, blob, versions_ in zip(b["text"], b["blob_id"], b["rules"], strict=True)
+                for text, blob, versions_ in zip(*(b.column(c).to_pylist() for c in ("text", "blob_id", "rules")), strict=True)
                 for v in versions_
             ]
-            yield pd.DataFrame(rows, columns=["blob_id", "rule_version", "findings"])
+            if rows:
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.record_batch(made, names=["blob_id", "rule_version", "findings"])
 
-    out = picked.mapInPandas(run, LEDGER)
+    out = picked.mapInArrow(run, LEDGER)
     return spark.createDataFrame([], LEDGER) if not wanted else out
 
 
