@@ -1,9 +1,9 @@
 """Removal of repeated passages with suffix order over a difference cover.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. The work is dealt out so
-that equal strings meet and nothing else moves:
+that equal strings meet and little else moves:
 
-1. Documents with equal texts are one candidate, named by their least id. A copy is all repeated if it has 50 bytes.
+1. Rows with equal texts are one candidate, named by their least id. A copy is all repeated if it has 50 bytes.
 2. Each 50-byte window has an anchor: its least hashed 20-byte string, the leftmost on ties. Equal windows have equal
    anchors. Anchors of at least two documents are found from packed (anchor, document) lists by ranges of anchors.
 3. Windows of neighbouring starts with one anchor make a segment of at most 80 bytes. Segments at shared anchors go
@@ -14,9 +14,13 @@ that equal strings meet and nothing else moves:
    of equal windows those of documents above the least one are repeated.
 5. A document's repeated windows are united to spans and cut out where the document is read.
 
+So the order over the difference cover is one of a bucket's segments in one task, not of all the corpus's suffixes
+over keyed exchanges: those would move every suffix several times (see the README).
+
 Defined results: null texts count as empty; texts of fewer than 50 bytes are kept; rows without id are kept and
-remove nothing; rows with one id remove nothing from one another; an empty table gives an empty result; extra columns
-are ignored; texts of any length are taken whole.
+remove nothing; rows with one id remove nothing from one another, and each keeps its own spans (their texts lie one
+after the other in one count of positions); an empty table gives an empty result; extra columns are ignored; texts
+of any length are taken whole, in stripes of bounded memory.
 """
 
 from __future__ import annotations
@@ -25,204 +29,235 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .batches import parts, table_of, utf8
 from .suffixes import equal_prefixes
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
-ROWS = "kind int, bucket int, doc_id long, data binary, more binary, third binary"
+#: Window starts handled at a time, and anchors or segments of one sorted pack.
+STRIPE, PACKED, SENT = 1 << 16, 1 << 18, 1 << 16
+ANCHORS = "kind int, bucket int, data binary, more binary"
+PAIRS = "bucket int, docs binary, data binary"
+SEGMENTS = "kind int, bucket int, doc_id long, data binary, more binary, third binary"
+LISTS = "doc_id long, data binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _LOW = np.uint64((1 << 28) - 1)
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(17)]
+_WRITER, _READER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of windows with one anchor: the anchor's hash, the first window's start, the last one's start."""
-    n = len(data)
-    if n < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = _TABLE[np.frombuffer(data, np.uint8)]
-    h2 = h[:-1] * _R[1] + h[1:]
-    h4 = h2[:-2] * _R[2] + h2[2:]
-    h8 = h4[:-4] * _R[4] + h4[4:]
-    h16 = h8[:-8] * _R[8] + h8[8:]
-    g = h16[: n - GRAM + 1] * _R[4] + h4[16 : 16 + n - GRAM + 1]
-    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(29)
-    out = []
-    step = 1 << 27  # positions of a part fit the low bits of a key
-    for at in range(0, n - WINDOW + 1, step):
-        part = g[at : at + step + SPAN - 1]
-        m = part & ~_LOW | np.arange(len(part), dtype=np.uint64)
-        for k in (1, 2, 4, 8):
-            m = np.minimum(m[:-k], m[k:])
-        m = np.minimum(m[: len(m) - (SPAN - 16)], m[SPAN - 16 :])
-        out.append((m & _LOW).astype(np.int64) + at)
-    anchor = np.concatenate(out)
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    last = np.append(first[1:], len(anchor)) - 1
-    return g[anchor[first]], first, last
-
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of each 20-byte string."""
+    h = _TABLE[data]
+    for k in (1, 2):
+        h = h[:-k] * _R[k] + h[k:]
+    four = h
+    for k in (4, 8):
+        h = h[:-k] * _R[k] + h[k:]
+    h = h[: len(four) - 16] * _R[4] + four[16:]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in ROWS.split(", ")])
-    return out.astype({"kind": "int32", "bucket": "int32", "doc_id": "Int64"})
 
+def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor in texts that lie end to end in ``data`` (row k from ends[k] to ends[k + 1]).
 
-def _z(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x)
+    For each run: the anchor's 48-bit hash, the row, the first window's start in ``data`` and the last one's.
+    """
+    hashes, rows, firsts, lasts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    upto = ends[1:] - WINDOW  # a row's last window start
+    for at in range(0, len(data) - WINDOW + 1, STRIPE):
+        n = min(STRIPE, len(data) - WINDOW + 1 - at)
+        g = _grams(data[at : at + n + WINDOW - 1])
+        m = g & ~_LOW | np.arange(len(g), dtype=np.uint64)
+        for k in (1, 2, 4, 8, SPAN - 16):
+            m = np.minimum(m[:-k], m[k:])
+        anchor = (m & _LOW).astype(np.int64)
+        a, b = np.searchsorted(ends, at, "right") - 1, np.searchsorted(ends, at + n, "left")
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+        inner = ends[a + 1 : b] - at
+        new[inner[inner < n]] = True
+        first = np.flatnonzero(new)
+        row = np.searchsorted(ends, first + at, "right") - 1
+        last = np.minimum(np.append(first[1:], n) - 1 + at, upto[row])
+        keep = first + at <= last
+        hashes.append((g[anchor[first[keep]]] >> np.uint64(16)).astype(np.int64))
+        rows.append(row[keep])
+        firsts.append(first[keep] + at)
+        lasts.append(last[keep])
+    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(firsts), np.concatenate(lasts)
+
+
+def _squeeze(x: bytes) -> bytes:
+    return _WRITER.compress(x)
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return _z(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
-
+    return _squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
 
-def _unplanes(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
 
-
-def _unz(x: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x)
+def _unplanes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(_READER.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.int64)
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+    return ((hashes >> 16) * n >> 32).astype(np.int32)
 
 
 def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
     """The runs of equal values."""
-    if not len(x):
-        return iter(())
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return zip(at, [*at[1:], len(x)], strict=True)
+    at = _firsts(x)
+    return zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True) if len(x) else iter(())
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _of_two(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs by hash, where each hash begins, its least document, and which pairs' hash has another document."""
+    by = np.argsort(h)
+    h, d = h[by], d[by]
+    first = _firsts(h)
+    low = np.minimum.reduceat(d, first)
+    many = np.repeat(low != np.maximum.reduceat(d, first), np.diff(np.append(first, len(h))))
+    return h, d, first, low, many
+
+
+def _dealt(docs: np.ndarray, values: np.ndarray, n: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Pairs (document, value) packed by a bucket of the documents; a long pack in several."""
+    bucket = docs % n
+    by = np.argsort(bucket, kind="stable")
+    bucket, docs, values = bucket[by], docs[by], values[by]
+    for a, b in _cuts(bucket):
+        for k in range(a, b, 1 << 16):
+            yield int(bucket[a]), _planes(docs[k : min(b, k + (1 << 16))]), _planes(values[k : min(b, k + (1 << 16))])
 
 
 def _anchors(buckets: int):
-    """Kind 0: a bucket's anchors (data) with documents (more). Kind 1: a document's anchors that are shared for certain."""
-
-    def flush(hs: list, ds: list) -> Iterator[pd.DataFrame]:
-        h, d = np.concatenate(hs), np.concatenate(ds)
-        by = np.lexsort((d, h))
-        h, d = h[by], d[by]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        bucket = _bucket(h[new], buckets)
-        one_h, one_d = h[new], d[new]
-        yield _frame(
-            [(0, bucket[a], None, _planes(np.diff(one_h[a:b], prepend=np.uint64(0))), _planes(one_d[a:b]), None) for a, b in _cuts(bucket)]
-        )
-        sure = ~new | np.append(~new[1:], False)  # of two or more documents in this batch
-        h, d = h[sure], d[sure]
-        by = np.argsort(d, kind="stable")
-        h, d = h[by], d[by]
-        rows = [(1, int(d[a]) % buckets, d[a], _z(h[a:b].tobytes()), None, None) for a, b in _cuts(d)]
-        if rows:
-            yield _frame(rows)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kind 0: a bucket's anchors (data) with documents (more). Kind 1: documents (more) and anchors that are shared for certain."""
+
+    def flush(hs: list, ds: list) -> Iterator[pa.RecordBatch]:
+        h, d, first, low, sure = _of_two(np.concatenate(hs), np.concatenate(ds))
+        once = h[first]
+        bucket = _bucket(once, buckets)
+        rows = [(0, int(bucket[a]), _planes(np.diff(once[a:b], prepend=0)), _planes(low[a:b])) for a, b in _cuts(bucket)]
+        # Anchors of two or more documents of this batch.
+        rows += [(1, at, data, more) for at, more, data in _dealt(d[sure], h[sure], buckets)]
+        yield table_of(ANCHORS, zip(*rows, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, ds, held = [], [], 0
-        for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                h = np.unique(segments(_bytes(text))[0])
-                if len(h):
-                    hs.append(h)
-                    ds.append(np.full(len(h), doc, np.int64))
-                    held += len(h)
-                if held > 1 << 20:
-                    yield from flush(hs, ds)
-                    hs, ds, held = [], [], 0
+        for b in parts(batches):
+            h, row, _, _ = segments(*utf8(b.column("text")))
+            if len(h):
+                hs.append(h)
+                ds.append(b.column("doc_id").to_numpy()[row])
+                held += len(h)
+            if held > PACKED:
+                yield from flush(hs, ds)
+                hs, ds, held = [], [], 0
         if held:
             yield from flush(hs, ds)
 
     return run
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Each document's anchors of this bucket that another document has as well: doc_id, data."""
-    packs = group[group["kind"] == 0]
-    out = [tuple(x) for x in group[group["kind"] == 1][["doc_id", "data"]].itertuples(index=False)]
-    if len(packs):
-        h = np.concatenate([np.cumsum(_unplanes(x, np.uint64)) for x in packs["data"]])
-        d = np.concatenate([_unplanes(x, np.int64) for x in packs["more"]])
-        by = np.lexsort((d, h))
-        h, d = h[by], d[by]
-        same = (h[1:] == h[:-1]) & (d[1:] != d[:-1])
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        h, d = h[keep], d[keep]
-        by = np.argsort(d, kind="stable")
-        h, d = h[by], d[by]
-        out += [(int(d[a]), _z(h[a:b].tobytes())) for a, b in _cuts(d)]
-    return pd.DataFrame(out, columns=["doc_id", "data"]).astype({"doc_id": "Int64"})
+def _shared(buckets: int):
+    """The anchors of one bucket that two documents have, dealt by buckets of the documents."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out, hs, ds = [], [], []
+        for kind, at, data, more in zip(*(group.column(c).to_pylist() for c in ("kind", "bucket", "data", "more")), strict=True):
+            if kind:
+                out.append((at, more, data))
+            else:
+                hs.append(np.cumsum(_unplanes(data)))
+                ds.append(_unplanes(more))
+        if hs:
+            h, d, _, _, keep = _of_two(np.concatenate(hs), np.concatenate(ds))
+            out += _dealt(d[keep], h[keep], buckets)
+        return pa.Table.from_batches([table_of(PAIRS, zip(*out, strict=True) if out else [[]] * 3)])
+
+    return run
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    """Each document's shared anchors, in packs of bounded size."""
+    d = np.concatenate([_unplanes(x) for x in group.column("docs").to_pylist()])
+    h = np.concatenate([_unplanes(x) for x in group.column("data").to_pylist()])
+    by = np.argsort(d, kind="stable")
+    d, h = d[by], h[by]
+    out = [(int(d[a]), h[k : min(b, k + (1 << 16))].tobytes()) for a, b in _cuts(d) for k in range(a, b, 1 << 16)]
+    return pa.Table.from_batches([table_of(LISTS, zip(*out, strict=True))])
 
 
 def _send(buckets: int):
     """Kind 2: segments of a bucket (documents and starts, lengths, text). Kind 3: spans of a document that are repeated for certain."""
 
-    def flush(held: list[tuple], seen: dict[bytes, int]) -> Iterator[pd.DataFrame]:
-        sent, spans = [], []
-        for doc, data, h, first, last in sorted(held, key=lambda x: x[0]):
-            sure = []
-            for x, a, b in zip(h.tolist(), first.tolist(), last.tolist(), strict=True):
-                part = data[a : b + WINDOW]
-                if seen.setdefault(part, doc) < doc:
-                    sure.append((a, b + WINDOW))
-                else:
-                    sent.append((x, doc, a, part))
-            if sure:
-                spans.append((3, doc % buckets, doc, np.array(sure, np.int64).tobytes(), None, None))
-        if sent:
-            hashes = np.array([x[0] for x in sent], np.uint64)
-            bucket = _bucket(hashes, buckets)
-            by = np.argsort(bucket, kind="stable")
-            bucket = bucket[by]
-            for a, b in _cuts(bucket):
-                some = [sent[k] for k in by[a:b]]
-                place = np.array([(x[1], x[2], x[0] & 0xFFFFFFFF) for x in some], np.int64)
-                sizes = np.array([len(x[3]) for x in some], np.uint8)
-                spans.append((2, bucket[a], None, _planes(place.reshape(-1)), sizes.tobytes(), _z(b"".join(x[3] for x in some))))
-        if spans:
-            yield _frame(spans)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for b in batches:
-            for doc, text, shared in zip(b["doc_id"], b["text"], b["shared"], strict=True):
-                data = _bytes(text)
-                h, first, last = segments(data)
-                some = np.concatenate([np.frombuffer(_unz(x), np.uint64) for x in shared])
-                keep = np.isin(h, some)
-                if keep.any():
-                    held.append((int(doc), data, h[keep], first[keep], last[keep]))
-                    n += int(keep.sum())
-                if n > 1 << 17:
-                    yield from flush(held, {})
-                    held, n = [], 0
-        if held:
-            yield from flush(held, {})
+    def flush(held: list[np.ndarray], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        place = np.concatenate(held, 1)  # documents, starts, anchors
+        by = np.argsort(place[0], kind="stable")
+        place, texts, seen = place[:, by], [texts[k] for k in by.tolist()], {}
+        sizes = np.array([len(x) for x in texts], np.int64)
+        least = np.array([seen.setdefault(x, d) for x, d in zip(texts, place[0].tolist(), strict=True)], np.int64)
+        sure = least < place[0]
+        rows = [(3, d % buckets, d, x, None, None) for d, x in _spans(place[0, sure], place[1, sure], (place[1] + sizes)[sure])]
+        sent = np.flatnonzero(~sure)
+        bucket = _bucket(place[2, sent], buckets)
+        by = np.argsort(bucket, kind="stable")
+        bucket, sent = bucket[by], sent[by]
+        for a, b in _cuts(bucket):
+            some = sent[a:b]
+            text = _squeeze(b"".join([texts[k] for k in some.tolist()]))
+            rows.append((2, int(bucket[a]), None, _planes(place[:, some].reshape(-1)), sizes[some].astype(np.uint8).tobytes(), text))
+        yield table_of(SEGMENTS, zip(*rows, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        texts: list[bytes] = []
+        for b in parts(batches):
+            data, ends = utf8(b.column("text"))
+            h, row, first, last = segments(data, ends)
+            lists = [[np.frombuffer(x, np.int64) for x in some] for some in b.column("shared").to_pylist()]
+            known = [np.concatenate(x) | k << 48 for k, x in enumerate(lists)]
+            keep = np.flatnonzero(np.isin(h | row << 48, np.concatenate(known)))
+            row, first, last = row[keep], first[keep], last[keep]
+            starts = first - ends[row] + b.column("base").to_numpy()[row]
+            place, stops, text = np.array([b.column("doc_id").to_numpy()[row], starts, h[keep]]), last + WINDOW, data.tobytes()
+            for k in range(0, len(keep), SENT):
+                held.append(place[:, k : k + SENT])
+                texts += [text[i:j] for i, j in zip(first[k : k + SENT].tolist(), stops[k : k + SENT].tolist(), strict=True)]
+                if len(texts) >= SENT:
+                    yield from flush(held, texts)
+                    held, texts = [], []
+        if texts:
+            yield from flush(held, texts)
 
     return run
 
 
-def repeated_windows(
-    docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray, parts: list[bytes]
-) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, window start) of every window in the segments whose string a smaller document has as well.
+def repeated_spans(
+    docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray, texts: list[bytes]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (document, start, end) of the windows in the segments whose string a smaller document has as well.
 
     Equal windows have equal anchors, so the windows of an anchor's only segment are all its own; the distinct
     segments of other anchors are put in suffix order together.
     """
     index: dict[bytes, int] = {}
-    which = np.array([index.setdefault(p, len(index)) for p in parts], np.int64)
+    which = np.array([index.setdefault(p, len(index)) for p in texts], np.int64)
     least = np.full(len(index), np.iinfo(np.int64).max)
     np.minimum.at(least, which, docs)
     anchor = np.empty(len(index), np.int64)
@@ -230,25 +265,45 @@ def repeated_windows(
     _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
     alone = size[group] == 1
     sizes = np.array([len(p) for p in index], np.int64)
-    counts = sizes - WINDOW + 1
-    base = np.concatenate([[0], np.cumsum(counts)])
-    limit = np.repeat(least, counts)  # for each window of a distinct segment, the least document that has its string
-    if not alone.all():
+    whole = docs > least[which]  # the very segment is a smaller document's
+    out = [(docs[whole], starts[whole], (starts + sizes[which])[whole])]
+    open_ = np.flatnonzero(~whole & ~alone[which])
+    if len(open_):
+        some = np.flatnonzero(~alone)
         text = np.frombuffer(b"".join(p for p, x in zip(index, alone, strict=True) if not x), np.uint8)
-        at = np.concatenate([[0], np.cumsum(sizes[~alone])])[:-1]
-        n = counts[~alone]
-        owner = np.repeat(np.flatnonzero(~alone), n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, n = np.cumsum(sizes[some]) - sizes[some], sizes[some] - WINDOW + 1
+        base = np.cumsum(n) - n
+        owner = np.repeat(some, n)
+        within = np.arange(n.sum()) - np.repeat(base, n)
         classes = equal_prefixes(text, np.repeat(at, n) + within, WINDOW)
-        del text
-        first = np.full(classes.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, classes, least[owner])
-        limit[base[owner] + within] = first[classes]
-    n = counts[which]
-    owner = np.repeat(np.arange(len(parts)), n)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hit = docs[owner] > limit[base[which[owner]] + within]
-    return docs[owner][hit], (starts[owner] + within)[hit]
+        del text, within
+        limit = np.full(classes.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(limit, classes, least[owner])
+        limit = limit[classes]  # for each window of a distinct segment, the least document that has its string
+        place = np.empty(len(index), np.int64)
+        place[some] = np.arange(len(some))
+        mine = place[which[open_]]
+        n = n[mine]
+        owner = np.repeat(open_, n)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = docs[owner] > limit[np.repeat(base[mine], n) + within]
+        at = (starts[owner] + within)[hit]
+        out.append((docs[owner[hit]], at, at + WINDOW))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def unite_all(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching half-open spans of a document as one, by document and start."""
+    if not len(docs):
+        return docs, starts, ends
+    by = np.lexsort((starts, docs))
+    docs, starts, ends = docs[by], starts[by], ends[by]
+    new = np.concatenate([[True], docs[1:] != docs[:-1]])
+    step = np.cumsum(new) * (int(ends.max()) + 1)
+    upto = np.maximum.accumulate(ends + step) - step
+    new[1:] |= starts[1:] > upto[:-1]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(docs) - 1)
+    return docs[new], starts[new], upto[last]
 
 
 def unite(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,44 +317,50 @@ def unite(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[last]
 
 
-def _judge(group: pd.DataFrame) -> pd.DataFrame:
+def _spans(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Each document's united spans, packed."""
+    d, x, y = unite_all(docs, starts, ends)
+    both = np.column_stack([x, y])
+    for a, b in _cuts(d):
+        yield int(d[a]), both[a:b].tobytes()
+
+
+def _judge(group: pa.Table) -> pa.Table:
     """Spans of documents (doc_id, data) from a bucket's segments; spans that are certain pass through."""
-    out = [tuple(x) for x in group[group["kind"] == 3][["doc_id", "data"]].itertuples(index=False)]
-    packs = group[group["kind"] == 2]
-    if len(packs):
-        docs, starts, anchors, parts = [], [], [], []
-        for places, sizes, text in zip(packs["data"], packs["more"], packs["third"], strict=True):
-            place = _unplanes(places, np.int64).reshape(-1, 3)
-            docs.append(place[:, 0])
-            starts.append(place[:, 1])
-            anchors.append(place[:, 2])
-            ends = np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64)).tolist()
-            text = _unz(text)
-            parts += [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        d, s = repeated_windows(np.concatenate(docs), np.concatenate(starts), np.concatenate(anchors), parts)
-        by = np.lexsort((s, d))
-        d, s = d[by], s[by]
-        for a, b in _cuts(d):
-            x, y = unite(s[a:b], s[a:b] + WINDOW)
-            out.append((int(d[a]), np.column_stack([x, y]).astype(np.int64).tobytes()))
-    return pd.DataFrame(out, columns=["doc_id", "data"]).astype({"doc_id": "Int64"})
-
-
-def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    out, places, texts = [], [], []
+    columns = (group.column(c).to_pylist() for c in ("kind", "doc_id", "data", "more", "third"))
+    for kind, doc, data, more, third in zip(*columns, strict=True):
+        if kind == 3:
+            out.append((doc, data))
+        else:
+            places.append(_unplanes(data).reshape(3, -1))
+            stops = np.cumsum(np.frombuffer(more, np.uint8).astype(np.int64)).tolist()
+            text = _READER.decompress(third)
+            texts += [text[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+    if places:
+        docs, starts, anchors = np.concatenate(places, 1)
+        out += _spans(*repeated_spans(docs, starts, anchors, texts))
+    return pa.Table.from_batches([table_of(LISTS, zip(*out, strict=True) if out else [[], []])])
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in parts(batches):
         rows = []
-        for doc, text, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
-            data, kept, removed, n = _bytes(text), hashlib.sha256(), 0, 0
-            at = 0
-            if spans is not None and len(spans):
-                both = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in spans])
-                for x, y in zip(*unite(both[:, 0], both[:, 1]), strict=True):
-                    kept.update(data[at:x])
-                    removed, n, at = removed + int(y - x), n + 1, y
-            kept.update(data[at:])
-            rows.append((doc, len(data), removed, n, kept.hexdigest()))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
-        yield out.astype({"doc_id": "Int64"})
+        data, ends = utf8(b.column("text"))
+        text = memoryview(data)
+        columns = (b.column(c).to_pylist() for c in ("doc_id", "base", "spans"))
+        for doc, base, spans, a, z in zip(*columns, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            kept, removed, n, at = hashlib.sha256(), 0, 0, a
+            if spans:
+                both = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in spans]) + (a - base)
+                both = np.clip(both, a, z)  # texts of one id lie end to end; a row takes its own part
+                both = both[both[:, 0] < both[:, 1]]
+                for x, y in zip(*(v.tolist() for v in unite(both[:, 0], both[:, 1])), strict=True):
+                    kept.update(text[at:x])
+                    removed, n, at = removed + y - x, n + 1, y
+            kept.update(text[at:z])
+            rows.append((doc, z - a, removed, n, kept.hexdigest()))
+        yield table_of(RESULT, zip(*rows, strict=True))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -310,11 +371,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(ident, F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges, buckets = max(width, total >> 24), max(width, total >> 18)
+    ranges, buckets = max(width, total >> 23), max(width, total >> 19)
 
     keyed = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    least = keyed.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    named = keyed.join(least, "sha")
+    least = keyed.groupBy("sha").agg(F.min("doc_id").alias("least"), F.first("n_bytes").alias("size"))
+    named = keyed.join(least.select("sha", "least"), "sha")
     is_copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     copies = named.filter(is_copy).select(
         "doc_id", "n_bytes",
@@ -322,17 +383,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.when(F.col("n_bytes") >= WINDOW, 1).otherwise(0).cast("long").alias("n_spans"),
         F.when(F.col("n_bytes") >= WINDOW, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
+    # The different texts of one id lie end to end: base is where a text begins.
+    before = Window.partitionBy("doc_id").orderBy("want").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = least.filter(F.col("least").isNotNull()).select(F.col("least").alias("doc_id"), F.col("sha").alias("want"), "size")
+    firsts = firsts.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
     # The texts move once, by id; the later joins on the id use the same exchange again.
-    firsts = least.filter(F.col("least").isNotNull()).select(F.col("least").alias("doc_id"), F.col("sha").alias("want"))
     single = docs.join(firsts.hint("shuffle_hash"), "doc_id")
     # Not written as an equality, which would become part of the join's key and of the exchange.
-    single = single.filter(F.instr(F.col("want"), F.sha2("text", 256)) == 1).select("doc_id", "text")
+    single = single.filter(F.instr(F.col("want"), F.sha2("text", 256)) == 1).select("doc_id", "text", "base")
 
-    anchors = single.mapInPandas(_anchors(ranges), ROWS).groupBy("bucket").applyInPandas(_shared, "doc_id long, data binary")
-    shared = anchors.groupBy("doc_id").agg(F.collect_list("data").alias("shared"))
-    sent = single.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared")
-    spans = sent.mapInPandas(_send(buckets), ROWS).groupBy("bucket").applyInPandas(_judge, "doc_id long, data binary")
+    anchors = single.select("doc_id", "text").mapInArrow(_anchors(ranges), ANCHORS)
+    dealt = anchors.groupBy("bucket").applyInArrow(_shared(ranges), PAIRS)
+    shared = dealt.groupBy("bucket").applyInArrow(_by_document, LISTS).groupBy("doc_id").agg(F.collect_list("data").alias("shared"))
+    sent = single.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "base", "shared")
+    spans = sent.mapInArrow(_send(buckets), SEGMENTS).groupBy("bucket").applyInArrow(_judge, LISTS)
     spans = spans.groupBy("doc_id").agg(F.collect_list("data").alias("spans"))
-    rest = single.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
-    none = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
-    return rest.unionByName(none).mapInPandas(_cut_out, RESULT).unionByName(copies)
+    rest = single.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "base", "spans")
+    none = docs.filter(F.col("doc_id").isNull()).select(
+        "doc_id", "text", F.lit(0).cast("long").alias("base"), F.lit(None).cast("array<binary>").alias("spans")
+    )
+    return rest.unionByName(none).mapInArrow(_cut_out, RESULT).unionByName(copies)

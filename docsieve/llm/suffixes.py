@@ -5,13 +5,21 @@ from __future__ import annotations
 import numpy as np
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of non-negative keys, equal ones by place, and the keys in it."""
+    bits = max(1, len(keys)).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    return both & ((1 << bits) - 1), both >> bits
+
+
 def _rank(keys: np.ndarray) -> np.ndarray:
     """Dense ranks from 1, equal keys equal."""
-    order = np.argsort(keys)
-    sorted_ = keys[order]
-    names = np.cumsum(np.concatenate([[1], sorted_[1:] != sorted_[:-1]]))
+    order, keys = _sorted(keys)
     out = np.empty(len(keys), np.int64)
-    out[order] = names
+    out[order] = np.cumsum(np.concatenate([[1], keys[1:] != keys[:-1]]))
     return out
 
 
@@ -65,7 +73,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     place[zero] = own(q0) + below(r0, r1) + below(q0, q2)
     place[one] = own(m1) + below(r1, r0) + below(m1, m2)
     place[two] = own(m2) + below(m2, m1) + below(q2, q0)
-    return np.argsort(place, kind="stable")
+    return _sorted(place)[0]
 
 
 def equal_prefixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:

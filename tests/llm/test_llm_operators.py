@@ -408,6 +408,10 @@ def test_suffix_dedup_equals_brute_force(spark, odd_texts):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
     assert got == brute_removed(odd_texts, ids) and len(rows) == len(odd_texts)
     assert suffix_dedup.remove_repeats(table(spark, ["a"]).filter("false")).count() == 0
+    one, two = "".join(chr(97 + k * 7 % 26) for k in range(90)), "".join(chr(65 + k * 11 % 26) + str(k) for k in range(60))
+    mixed = suffix_dedup.remove_repeats(table(spark, [one, "zz" + one + "yy", two, two + "!"], [0, 1, 1, 2])).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in mixed) == [
+        (0, 90, 0, 0), (1, 94, 90, 1), (1, len(two), 0, 0), (2, len(two) + 1, len(two), 1)]
     again = suffix_dedup.remove_repeats(table(spark, ["x" * 60, "x" * 60, "x" * 60], [1, 1, None])).collect()
     assert [r.n_removed for r in again] == [0, 0, 0]
 
