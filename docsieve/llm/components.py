@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of tables that nothing refers to any more, so that Spark's cleaner removes their shuffle files now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
     return r["n"], r["h"] or 0
@@ -27,18 +35,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, files: int, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in links (a, b); component is the least id of its component.
 
-    Each round is checkpointed, so a lost executor costs one round at most. A vertex with many links is folded by
+    Each round is checkpointed in at most ``files`` files, so a lost executor costs one round at most. A vertex with many links is folded by
     a partial minimum before the shuffle, and its rows join through a skew-splittable join.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = edges.filter(F.col("u") != F.col("v")).distinct().checkpoint()
+    edges = edges.filter(F.col("u") != F.col("v")).distinct().coalesce(files).checkpoint()
     mark = _mark(edges)
     for _ in range(most_rounds if mark[0] else 0):
-        edges = _star(_star(edges, True), False).checkpoint()
+        edges = _star(_star(edges, True), False).coalesce(files).checkpoint()
         new = _mark(edges)
+        tidy(links.sparkSession)
         if new == mark:
             break
         mark = new

@@ -23,22 +23,30 @@ component; null ids link only through equal sets; rows with one id count as that
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, stage
-from .components import connected_components
+from .batches import parts, table_of, utf8
+from .components import connected_components, tidy
 
 HEAVY, HEAVY_LOCAL, HEAVY_LEAST, TREE, LEAF = 1 << 16, 4, 16, 512, 8
 #: Rows of small groups that one call handles.
 GROUPED = 20_000
-_STEP = 1 << 20
+_STEP, _FOLD, _STRIPE = 1 << 19, 1 << 18, 1 << 20
+#: Parts of the rows of one set, so that a large group of copies is no single task's.
+SALTS = 64
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -57,79 +65,97 @@ class Rule:
         return -(-self.num * (a + b) // (self.num + self.den))
 
 
-def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """The distinct hashed n-grams of each text, ascending; words are runs of bytes other than ASCII white space."""
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    flat = [w for ws in words for w in ws]
-    if not flat:
-        return [np.zeros(0, np.uint64)] * len(texts)
-    h = pd.util.hash_array(np.array(flat, dtype=object), categorize=False)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M2
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's hash and row; words are runs of bytes other than ASCII white space, ASCII letters in one case.
+
+    A word's hash sums mixed (byte, place in the word) pairs. Long texts are read in stripes that end between words.
+    """
+    hashes, rows, at, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, len(data)
+    while at < n:
+        size = _STRIPE
+        while at + size < n and not (gaps := np.flatnonzero(_WHITE[data[at : at + size]])).size:
+            size *= 2
+        to = n if at + size >= n else at + int(gaps[-1]) + 1
+        some = data[at:to]
+        ink = ~_WHITE[some]
+        cut = np.zeros(len(some), bool)  # rows begin here
+        inner = ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at
+        cut[inner] = True
+        first = ink.copy()
+        first[1:] &= cut[1:] | ~ink[:-1]
+        start = np.flatnonzero(first)
+        if len(start):
+            place = np.arange(len(some)) - start[np.maximum(np.cumsum(first) - 1, 0)]
+            pairs = _mixed(_BYTES[some] + place.astype(np.uint64) * _M1)
+            pairs[~ink] = 0
+            hashes.append(np.add.reduceat(pairs, start))
+            rows.append(np.searchsorted(ends, start + at, "right") - 1)
+        at = to
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def shingle_sets(data: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct hashed n-grams of each text, ascending; texts lie end to end in ``data``."""
+    h, row = word_hashes(data, ends)
+    counts = np.bincount(row, minlength=len(ends) - 1)
     grams = h[: max(0, len(h) - n + 1)].copy()
     for k in range(1, n):
         grams = (grams ^ (grams >> np.uint64(29))) * _M1 + h[k : k + len(grams)]
-    grams = (grams ^ (grams >> np.uint64(32))) * _M2
-    grams ^= grams >> np.uint64(29)
+    grams = _mixed(grams)
     out, at = [], 0
-    for ws in words:
-        if len(ws) >= n:
-            out.append(np.unique(grams[at : at + len(ws) - n + 1]))
-        elif ws:
-            one = np.uint64(len(ws))
-            for x in h[at : at + len(ws)]:
-                one = np.uint64((int(one) * 0x94D049BB133111EB + int(x)) & (2**64 - 1))
+    for size in counts.tolist():
+        if size >= n:
+            s = np.sort(grams[at : at + size - n + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif size:
+            one = size
+            for x in h[at : at + size].tolist():
+                one = (one * 0x94D049BB133111EB + x) & (2**64 - 1)
             out.append(np.array([one], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
-        at += len(ws)
+        at += size
     return out
 
 
-def _parts(b: pd.DataFrame, rows: int = 128, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """A batch in parts of few rows and, single texts aside, few characters."""
-    sizes = b["text"].str.len().fillna(0).to_numpy()
-    at = held = 0
-    for k, size in enumerate(sizes):
-        if k > at and (k - at >= rows or held + size > chars):
-            yield b.iloc[at:k]
-            at, held = k, 0
-        held += size
-    if len(b) > at:
-        yield b.iloc[at:]
-
-
 def heavy_tokens(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray, int]:
     """The most frequent tokens (ascending) with their ranks (the least frequent first), and the number of tokens."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, counts, new, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts, new, held, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, 0
 
         def fold() -> None:
-            nonlocal tokens, counts, new
-            got, n = np.unique(np.concatenate([tokens, *new]), return_inverse=True)
-            sums = np.bincount(n, np.concatenate([counts, *(np.ones(len(x), np.int64) for x in new)]), len(got))
-            keep = sums > (1 if len(got) > 2 * _STEP else 0)
-            tokens, counts, new = got[keep], sums[keep].astype(np.int64), []
-
-        held = 0
-        for b in batches:
-            for part in _parts(b):
-                for s in shingle_sets(part["text"].tolist(), rule.n):
-                    new.append(s)
-                    held += len(s)
-                    total += len(s)
-                if held > _STEP:
-                    fold()
-                    held = 0
+            nonlocal tokens, counts, new, held
+            both = np.concatenate([tokens, *new])
+            by = np.argsort(both)
+            both, sums = both[by], np.concatenate([counts, np.ones(held, np.int64)])[by]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(sums, first) if len(both) else sums
+            keep = sums > (1 if len(first) > 2 * _FOLD else 0)
+            tokens, counts, new, held = both[first][keep], sums[keep], [], 0
+
+        for b in parts(batches):
+            sets = shingle_sets(*utf8(b.column("text")), rule.n)
+            new += sets
+            n = sum(map(len, sets))
+            held, total = held + n, total + n
+            if held > _FOLD:
+                fold()
         fold()
         keep = counts >= HEAVY_LOCAL
-        yield pd.DataFrame({"token": tokens[keep].view(np.int64), "n": counts[keep], "total": np.int64(0)})
-        yield pd.DataFrame({"token": [0], "n": [0], "total": [total]}, dtype=np.int64)
+        yield table_of(COUNTS, (tokens[keep].view(np.int64), counts[keep], np.zeros(keep.sum(), np.int64)))
+        yield table_of(COUNTS, ([0], [0], [total]))
 
-    seen = docs.select("text").mapInPandas(count, "token long, n long, total long")
+    seen = docs.select("text").mapInArrow(count, COUNTS)
     sums = seen.groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).checkpoint()
     total = sums.agg(F.sum("total")).first()[0] or 0
-    top = sums.filter(F.col("n") >= HEAVY_LEAST).orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    top = sums.filter(F.col("n") >= HEAVY_LEAST).orderBy(F.desc("n"), "token").limit(HEAVY).select("token").collect()
+    tokens = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     ranks = np.arange(len(tokens), 0, -1)
     by = np.argsort(tokens)
     return tokens[by], ranks[by], int(total)
@@ -145,94 +171,84 @@ def _unsqueeze(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
 
 
-SIGNATURES = (
-    "doc_id long, n long, s1 long, s2 long, bits binary, part int, tokens binary, docs binary, token long"
-)
+COUNTS = "token long, n long, total long"
+SIGNATURES = "doc_id long, n long, s1 long, s2 long, bits binary, part int, tokens binary, docs binary, token long"
+PAIRS = "a long, b long"
 
 
-def signatures(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+def signatures(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray], parts_: int) -> DataFrame:
     """Three kinds of rows: a document (n and the digest of its set); a pack of prefix tokens of one range of
     tokens with their documents; a frequent prefix token with its document."""
-    import hashlib
-
     heavy_set, heavy_rank = heavy
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, packs_t, packs_d = 0, [], []
-
-        def rows(**columns) -> pd.DataFrame:
-            n = len(next(iter(columns.values())))
-            kinds = {"part": "Int32", "bits": object, "tokens": object, "docs": object}
-            return pd.DataFrame(
-                {c: columns[c] if c in columns else pd.array([None] * n, kinds.get(c, "Int64"))
-                 for c in (x.split()[0] for x in SIGNATURES.split(", "))}
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return table_of(SIGNATURES, [columns.get(x.split()[0], [None] * size) for x in SIGNATURES.split(", ")])
+
+    def flush(packs_t: list, packs_d: list) -> pa.RecordBatch:
+        t, d = np.concatenate(packs_t), np.concatenate(packs_d)
+        by = np.argsort(t)
+        t, d = t[by], d[by]
+        part = ((t >> np.uint64(32)) * np.uint64(parts_) >> np.uint64(32)).astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(cuts[1:], len(t))
+        both = list(zip(cuts.tolist(), ends.tolist(), strict=True))
+        tokens = [_squeeze(np.diff(t[a:b], prepend=np.uint64(0))) for a, b in both]
+        return rows(len(cuts), part=part[cuts], tokens=tokens, docs=[_squeeze(d[a:b]) for a, b in both])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, packs_t, packs_d, seen, known = 0, [], [], set(), 0
+        for b in parts(batches):
+            sets = shingle_sets(*utf8(b.column("text")), rule.n)
+            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            s12 = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield rows(
+                b.num_rows, doc_id=b.column("doc_id"), n=[len(s) for s in sets], s1=s12[:, 0], s2=s12[:, 1],
+                bits=[bitmap(s) if len(s) else b"" for s in sets],
             )
-
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal held, packs_t, packs_d
-            if held:
-                t, d = np.concatenate(packs_t), np.concatenate(packs_d)
-                by = np.argsort(t)
-                t, d = t[by], d[by]
-                part = ((t >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                ends = np.append(cuts[1:], len(t))
-                yield rows(
-                    part=part[cuts],
-                    tokens=[_squeeze(np.diff(t[a:b], prepend=np.uint64(0))) for a, b in zip(cuts, ends, strict=True)],
-                    docs=[_squeeze(d[a:b]) for a, b in zip(cuts, ends, strict=True)],
-                )
-            held, packs_t, packs_d = 0, [], []
-
-        for b in batches:
-            seen: set[bytes] = set()
-            b = b.sort_values("doc_id")
-            for part in _parts(b):
-                sets = shingle_sets(part["text"].tolist(), rule.n)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                ids = part["doc_id"].astype("Int64")
-                s12 = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield rows(
-                    doc_id=ids.array, n=np.array([len(s) for s in sets], np.int64), s1=s12[:, 0], s2=s12[:, 1],
-                    bits=[bitmap(s) if len(s) else b"" for s in sets],
-                )
-                hot_t, hot_d = [], []
-                for doc, s, digest in zip(ids, sets, digests, strict=True):
-                    if not len(s) or doc is pd.NA or digest in seen:  # an equal set of a lesser id speaks for it
-                        continue
-                    seen.add(digest)
-                    k = rule.prefix(len(s))
-                    at = np.searchsorted(heavy_set, s)
-                    at[at == len(heavy_set)] = 0
-                    hot = heavy_set[at] == s if len(heavy_set) else np.zeros(len(s), bool)
-                    cold = s[~hot][:k]
-                    packs_t.append(cold)
-                    packs_d.append(np.full(len(cold), doc, np.int64))
-                    held += len(cold)
-                    if len(cold) < k:
-                        warm = s[hot][np.argsort(heavy_rank[at[hot]])][: k - len(cold)]
-                        hot_t.append(warm)
-                        hot_d.append(np.full(len(warm), doc, np.int64))
-                if hot_t:
-                    yield rows(doc_id=np.concatenate(hot_d), token=np.concatenate(hot_t).view(np.int64))
-                if held > _STEP:
-                    yield from flush()
-        yield from flush()
-
-    return docs.select("doc_id", "text").mapInPandas(run, SIGNATURES)
-
-
-def _shared(packs: pd.DataFrame) -> pd.DataFrame:
+            hot_t, hot_d = [], []
+            for doc, s, digest in zip(b.column("doc_id").to_pylist(), sets, digests, strict=True):
+                if not len(s) or doc is None or digest in seen:  # an equal set speaks for it
+                    continue
+                seen.add(digest)
+                k = rule.prefix(len(s))
+                at = np.searchsorted(heavy_set, s)
+                at[at == len(heavy_set)] = 0
+                hot = heavy_set[at] == s if len(heavy_set) else np.zeros(len(s), bool)
+                cold = s[~hot][:k]
+                packs_t.append(cold)
+                packs_d.append(np.full(len(cold), doc, np.int64))
+                held += len(cold)
+                if len(cold) < k:
+                    warm = s[hot][np.argsort(heavy_rank[at[hot]])][: k - len(cold)]
+                    hot_t.append(warm)
+                    hot_d.append(np.full(len(warm), doc, np.int64))
+            if hot_t:
+                docs_, tokens_ = np.concatenate(hot_d), np.concatenate(hot_t).view(np.int64)
+                yield rows(len(docs_), doc_id=docs_, token=tokens_)
+            if len(seen) > 1 << 16:
+                seen = set()
+            if held > _STEP:
+                yield flush(packs_t, packs_d)
+                held, packs_t, packs_d = 0, [], []
+        if held:
+            yield flush(packs_t, packs_d)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
+
+
+def _shared(packs: pa.Table) -> pa.Table:
     """The (token, doc) rows of one range of tokens whose token has more than one document."""
-    t = np.concatenate([np.cumsum(_unsqueeze(x, np.uint64)) for x in packs["tokens"]])
-    d = np.concatenate([_unsqueeze(x, np.int64) for x in packs["docs"]])
-    by = np.lexsort((d, t))
+    t = np.concatenate([np.cumsum(_unsqueeze(x, np.uint64)) for x in packs.column("tokens").to_pylist()])
+    d = np.concatenate([_unsqueeze(x, np.int64) for x in packs.column("docs").to_pylist()])
+    by = np.argsort(t)
     t, d = t[by], d[by]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
-    t, d = t[new], d[new]
     same = t[1:] == t[:-1]
     keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return pd.DataFrame({"token": t[keep].view(np.int64), "doc": d[keep]})
+    t, d = t[keep], d[keep]
+    by = np.lexsort((d, t))
+    t, d = t[by], d[by]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])[: len(t)]
+    return pa.Table.from_batches([table_of("token long, doc long", (t[new].view(np.int64), d[new]))])
 
 
 def _width(n: int) -> int:
@@ -321,33 +337,28 @@ def traverse(rule: Rule, a: Node, b: Node) -> Iterator[tuple[int, int]]:
 
 
 def tree_join(rule: Rule, rows: list[tuple], cross: bool) -> set[tuple[int, int]]:
-    """All pairs that may link, by trees of one bitmap width each and of neighbouring widths folded to the lesser.
+    """All pairs that may link, by trees of one bitmap width each and of two widths folded to the lesser.
 
-    Rows are (id, size, width, bitmap, component, block); with ``cross`` only pairs of different blocks count.
+    Rows are (id, size, width, bitmap, component, block); with ``cross`` only pairs of different blocks count. Two
+    widths meet if the least set of the greater and the largest of the lesser may link.
     """
     out: set[tuple[int, int]] = set()
-    widths = sorted({r[2] for r in rows})
-    sides = sorted({r[5] for r in rows}) if cross else [None]
-
-    def tree(side, width: int, to: int) -> Node | None:
-        some = [(r[0], r[1], to, _fold(r[3], width, to), r[4]) for r in rows if r[2] == width and side in (None, r[5])]
-        return build_tree(some) if some else None
-
-    def run(a: Node | None, b: Node | None) -> None:
-        if a is not None and b is not None:
-            out.update((min(p, q), max(p, q)) for p, q in traverse(rule, a, b) if p != q)
-
-    for w in widths:
-        first = [tree(s, w, w) for s in sides]
-        above = [tree(s, 2 * w, w) for s in sides] if 2 * w in widths else [None] * len(sides)
-        if cross:
-            if len(sides) == 2:
-                run(first[0], first[1])
-                run(first[0], above[1])
-                run(first[1], above[0])
-        else:
-            run(first[0], first[0])
-            run(first[0], above[0])
+    by: dict[tuple, list[tuple]] = {}
+    for r in rows:
+        by.setdefault((r[2], r[5] if cross else None), []).append(r)
+
+    def tree(some: list[tuple], to: int) -> Node:
+        return build_tree([(r[0], r[1], to, _fold(r[3], r[2], to), r[4]) for r in some])
+
+    for (w, side), some in by.items():
+        mine = tree(some, w)
+        for (w2, side2), others in by.items():
+            if w2 < w or (cross and (side == side2 or (w2 == w and side > side2))):
+                continue
+            if rule.den * max(r[1] for r in some) < rule.num * min(r[1] for r in others):
+                continue
+            theirs = mine if others is some else tree(others, w)
+            out.update((min(p, q), max(p, q)) for p, q in traverse(rule, mine, theirs) if p != q)
     return out
 
 
@@ -368,16 +379,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     one = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
-            yield b.loc[np.array(keep, bool), ["a", "b"]]
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(rule.den * same >= rule.num * (len(x) + len(y) - same))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, PAIRS)
 
 
 def _may_link(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
@@ -391,15 +403,16 @@ def _may_link(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     sized = sized.join(bits.select(F.col("doc").alias("b"), F.col("bits").alias("xb")), "b")
     sized = sized.join(bits.select(F.col("doc").alias("a"), F.col("bits").alias("xa")), "a")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
+            columns = (t.column(c).to_pylist() for c in ("na", "xa", "nb", "xb"))
             keep = [
                 can_link(rule, (na, 8 * len(xa), int.from_bytes(xa, "little")), (nb, 8 * len(xb), int.from_bytes(xb, "little")))
-                for na, xa, nb, xb in zip(t["na"], t["xa"], t["nb"], t["xb"], strict=True)
+                for na, xa, nb, xb in zip(*columns, strict=True)
             ]
-            yield t.loc[np.array(keep, bool), ["a", "b"]]
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sized.select("a", "b", "na", "xa", "nb", "xb").mapInPandas(run, "a long, b long")
+    return sized.select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, PAIRS)
 
 
 def jaccard_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -410,49 +423,63 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     *heavy, total = heavy_tokens(docs, rule)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(width, rule.prefix(total) // (_STEP // 2))
-    sig = stage(signatures(docs, rule, tuple(heavy), parts), "signatures")
-
-    base = sig.filter(F.col("n").isNotNull()).select("doc_id", "n", "s1", "s2")
-    reps = base.filter(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    named = base.join(reps, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    # Intermediate tables are written in a number of files that goes with the corpus, not with the width of exchanges.
+    files = max(spark.sparkContext.defaultParallelism, total >> 20)
+    ranges = max(width, rule.prefix(total) // _STEP)
+    sig = stage(signatures(docs, rule, tuple(heavy), ranges), "signatures")
+
+    # A set's documents are dealt to SALTS parts: the rows of a large group of copies meet in no single task.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    base = sig.filter(F.col("n").isNotNull()).select("doc_id", "n", "s1", "s2", salt.alias("salt"))
+    dealt = base.filter(F.col("n") > 0).groupBy("s1", "s2", "salt").agg(F.min("doc_id").alias("low"))
+    reps = dealt.groupBy("s1", "s2").agg(F.min("low").alias("rep"))
+    dealt = dealt.join(reps, ["s1", "s2"]).select("s1", "s2", "salt", "rep")
+    named = base.join(dealt, ["s1", "s2", "salt"], "left").select(
+        "doc_id", "n", "salt", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")
+    )
 
     packs = sig.filter(F.col("part").isNotNull()).select("part", "tokens", "docs")
-    shared = packs.groupBy("part").applyInPandas(_shared, "token long, doc long")
+    shared = packs.groupBy("part").applyInArrow(_shared, "token long, doc long")
     hot = sig.filter(F.col("token").isNotNull()).select("token", F.col("doc_id").alias("doc"))
     copies = named.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("doc"), "rep").distinct()
     buckets = shared.unionByName(hot).join(copies, "doc", "left").select("token", F.coalesce("rep", "doc").alias("doc"))
-    buckets = stage(buckets.distinct(), "buckets")
+    buckets = stage(buckets.distinct().coalesce(files), "buckets")
+    tidy(spark)
 
     light = sig.filter(F.col("n") > 0).select(F.col("doc_id").alias("doc"), "n", "bits")
     hubs = buckets.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).filter("a != last").select("token", "a")
     stars = buckets.join(hubs, "token").filter(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b")).distinct()
-    stars = _may_link(stars, light, rule).checkpoint()
+    stars = _may_link(stars, light, rule).coalesce(files).checkpoint()
+    tidy(spark)
     # Components as they would be if all these links held: what else may link is looked for between them.
-    rest = _tree_pairs(buckets, connected_components(stars), light, rule)
-    pairs = stars.unionByName(rest).distinct().checkpoint()
+    rest = _tree_pairs(buckets, connected_components(stars, files), light, rule, files)
+    pairs = stars.unionByName(rest).distinct().coalesce(files).checkpoint()
+    tidy(spark)
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
-    def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for part in _parts(b):
-                sets = shingle_sets(part["text"].tolist(), rule.n)
-                yield pd.DataFrame({"doc": part["doc_id"].to_numpy(), "items": [s.tobytes() for s in sets]})
+    def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            sets = shingle_sets(*utf8(b.column("text")), rule.n)
+            yield table_of("doc long, items binary", (b.column("doc_id"), [s.tobytes() for s in sets]))
 
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-    sets = stage(texts.mapInPandas(make_sets, "doc long, items binary"), "sets")
-    links = _verify(pairs, sets, rule).checkpoint()
-    names = connected_components(links)
+    sets = stage(texts.mapInArrow(make_sets, "doc long, items binary").coalesce(files), "sets")
+    tidy(spark)
+    links = _verify(pairs, sets, rule).coalesce(files).checkpoint()
+    tidy(spark)
+    names = connected_components(links, files)
     # Links that did not hold may have hidden others between their sides, all of them among these documents.
     known = buckets.join(sets.select("doc").distinct(), "doc", "left_semi")
-    more = _verify(_tree_pairs(known, names, light, rule).join(pairs, ["a", "b"], "left_anti"), sets, rule).checkpoint()
+    more = _verify(_tree_pairs(known, names, light, rule, files).join(pairs, ["a", "b"], "left_anti"), sets, rule)
+    more = more.coalesce(files).checkpoint()
     if not more.isEmpty():
-        names = connected_components(links.unionByName(more))
-    out = named.join(names.withColumnRenamed("id", "rep"), "rep", "left")
+        names = connected_components(links.unionByName(more), files)
+    names = dealt.select("rep", "salt").distinct().join(names.withColumnRenamed("id", "rep"), "rep")
+    out = named.join(names, ["rep", "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def _tree_pairs(buckets: DataFrame, names: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
+def _tree_pairs(buckets: DataFrame, names: DataFrame, light: DataFrame, rule: Rule, files: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in a bucket and may link, found by signature trees."""
     rows = buckets.join(names.withColumnRenamed("id", "doc"), "doc", "left").select(
         "token", "doc", F.coalesce("component", "doc").alias("component")
@@ -464,7 +491,7 @@ def _tree_pairs(buckets: DataFrame, names: DataFrame, light: DataFrame, rule: Ru
     ).filter("low != high")
     # Buckets with the same documents are joined once.
     once = mixed.groupBy("n", "h1", "h2").agg(F.min("token").alias("token"))
-    blocks = once.select("token", "n", F.ceil(F.col("n") / TREE).cast("int").alias("blocks")).checkpoint()
+    blocks = once.select("token", "n", F.ceil(F.col("n") / TREE).cast("int").alias("blocks")).coalesce(files).checkpoint()
     total = blocks.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     bins = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // GROUPED)
     members = rows.join(blocks.drop("n"), "token").withColumn("block", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
@@ -480,23 +507,25 @@ def _tree_pairs(buckets: DataFrame, names: DataFrame, light: DataFrame, rule: Ru
     members = members.filter("like").drop("like").join(light.select("doc", "bits"), "doc")
     members = members.withColumn("bin", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bins)))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         """Many small groups (token, i, j) at a time."""
-        t, i, j = (group[c].to_numpy(np.int64) for c in ("token", "i", "j"))
+        t, i, j = (group.column(c).to_numpy() for c in ("token", "i", "j"))
         by = np.lexsort((j, i, t))
-        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(t[by]) != 0) | (np.diff(i[by]) != 0) | (np.diff(j[by]) != 0)])).tolist()
-        docs, sizes, bits, names, sides = (group[c].tolist() for c in ("doc", "n", "bits", "component", "block"))
+        new = (np.diff(t[by]) != 0) | (np.diff(i[by]) != 0) | (np.diff(j[by]) != 0)
+        cuts = np.flatnonzero(np.concatenate([[True], new])).tolist()
+        docs, sizes, names, sides = (group.column(c).to_pylist() for c in ("doc", "n", "component", "block"))
         known: dict[int, tuple[int, int]] = {}
-        for d, x in zip(docs, bits, strict=True):
+        for d, x in zip(docs, group.column("bits"), strict=True):
             if d not in known:
+                x = x.as_py()
                 known[d] = (8 * len(x), int.from_bytes(x, "little"))
         cross, by, pairs = (i != j).tolist(), by.tolist(), set()
         for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
             some = [(docs[k], sizes[k], *known[docs[k]], names[k], sides[k]) for k in by[a:b]]
             pairs |= tree_join(rule, some, cross[by[a]]) if len(some) > 3 * LEAF else few_join(rule, some, cross[by[a]])
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
+        return pa.Table.from_batches([table_of(PAIRS, zip(*sorted(pairs), strict=True) if pairs else [[], []])])
 
-    return members.groupBy("bin").applyInPandas(run, "a long, b long").distinct()
+    return members.groupBy("bin").applyInArrow(run, PAIRS).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
