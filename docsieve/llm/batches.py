@@ -54,3 +54,4 @@ def parts(batches: Iterable[pa.RecordBatch], most: int = PART_BYTES, rows: int =
             to = min(max(to, at + 1), at + rows, n)
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks

@@ -15,8 +15,13 @@ chunk.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import struct
+import threading
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -79,16 +84,30 @@ def unpack_block(data: bytes) -> np.ndarray:
 _PARTED = r"^(?P<core>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<tail>[#$%&*!.,;:?|]*)$"
 #: Python's and Arrow's white space that the tokenizer takes for signs.
 _SEPARATORS = "[\x1c-\x1f]"
+#: Seconds without a call after which a process lets its encoders go.
+IDLE_S = 15
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """This process's encoder for a vocabulary file; its words outlive a task."""
+    """This process's encoder for a vocabulary file; its words outlive a task, but not a longer pause."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+        if len(_ENCODERS) == 1:
+            threading.Thread(target=_let_go, daemon=True).start()
     return _ENCODERS[path]
 
 
+def _let_go() -> None:
+    """Wait until no encoder was called for some time, then free them: a worker's memory is the next tasks' as well."""
+    while time.monotonic() - max(x.called for x in _ENCODERS.values()) < IDLE_S:
+        time.sleep(IDLE_S / 3)
+    _ENCODERS.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such call, the memory is kept for reuse
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _by_words(path: str) -> bool:
     """Whether a vocabulary file makes tokens of lower-cased runs of letters, digits and runs of signs, one by one.
 
@@ -121,11 +140,11 @@ class WordEncoder:
     The store has two generations of at most ``most`` words each: words not met again are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.by_words = _by_words(path)
+        self.by_words, self.called = _by_words(path), time.monotonic()
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -172,6 +191,7 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (without null), and the n + 1 offsets of the texts in them."""
+        self.called = time.monotonic()
         apart = bool(len(texts)) and pc.any(pc.match_substring_regex(texts, _SEPARATORS)).as_py()
         if not self.by_words or apart:
             made = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4") for x in texts.to_pylist()]
@@ -246,7 +266,7 @@ def write_tokens(
             first, chunk, names, offsets, held, n = first + len(flat), chunk + 1, [], [], [], 0
             return table_of(CHUNK, row)
 
-        for b in parts(batches, 1 << 22, 1 << 14):
+        for b in parts(batches, 1 << 21, 1 << 14):
             ids, upto = encode(b.column("text"))
             for name, x, y in zip(b.column("doc_id").to_pylist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
                 names.append(name)
