@@ -28,9 +28,22 @@ DASHES = ["–", "-", "—"]
 COMPARATORS = ["<=", ">=", "<", ">", "="]
 CATEGORIES = ["OFF", "under vacuum"]
 CUES = ["Speed:"]
-DATE = r"(?:19|20)\d{2}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d{2}"
-_CONTEXT = re.compile(rf"(?:(?i:page|p\.)\s*\d+|(?i:step|stage)\s*\d+(?i:[a-z])?|{DATE}|[A-Z]{{2,}}[-_]?\d{{2,}}[A-Z0-9_-]*)")
-_PREFIX = re.compile(r"(?:\bpage|\bp\.|\bstep|\bstage)\s*$", re.I)
+SPREAD = "±"
+PAGE_WORDS = ["page", "p.", "step", "stage"]
+
+# Each form's patterns with the sign that a text must hold for it; a unit follows.
+_FORMS: list[tuple[str, str | None, re.Pattern]] = [
+    ("tolerance", SPREAD, rf"(?P<low>{NUMBER})\s*{SPREAD}\s*(?P<high>{NUMBER})"),
+    *(("range", dash, rf"(?P<low>{NUMBER})\s*{dash}\s*(?P<high>{NUMBER})") for dash in DASHES),
+    *(("comparison", sign, rf"(?<![<>=]){sign}\s*(?P<low>{NUMBER})") for sign in COMPARATORS),
+    ("scalar", None, rf"(?P<low>{NUMBER})"),
+]
+_FORMS = [(form, sign, re.compile(pattern + r"\s*(?P<unit>\S+)")) for form, sign, pattern in _FORMS]
+_COUNTED = re.compile("|".join(rf"\b{re.escape(w)}\s*" for w in PAGE_WORDS), re.I)
+_RIGHT = re.compile(rf"{NUMBER}\s*[{SPREAD}{''.join(map(re.escape, DASHES))}]\s*")
+_ANY = re.compile("|".join([r"\d", *map(re.escape, CATEGORIES)]))
+_LABELS = [(label, re.compile(rf"(?<![^\W]){re.escape(label)}(?!\w)")) for label in CATEGORIES]
+_CUED = [(cue, re.compile(rf"(?<!\w){re.escape(cue)}\s*(?P<low>{NUMBER})")) for cue in CUES]
 
 
 class Units:
@@ -67,73 +80,42 @@ def unit_boundary(text: str, start: int, end: int) -> bool:
     return (not left or unicodedata.category(left) == "Nd" or not _goes_on(left)) and not (right and _goes_on(right))
 
 
-def _attached(text: str, at: int) -> bool:
-    """Whether a number at ``at`` hangs on an identifier."""
-    return at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_-")
-
-
-def _tail_of(text: str, at: int, marks: list[str]) -> bool:
-    """Whether a number at ``at`` is the right side of another number and one of ``marks``."""
-    head = text[:at].rstrip()
-    for mark in marks:
-        if head.endswith(mark):
-            left = head[: -len(mark)].rstrip()
-            n = len(left)
-            while n and (left[n - 1].isdigit() or left[n - 1] in ",."):
-                n -= 1
-            if n < len(left) and re.fullmatch(NUMBER, left[n:]):
-                return True
-    return False
-
-
-def _rejected(text: str, start: int, end: int) -> bool:
-    """Page and step numbers, dates and identifiers are no values."""
-    return bool(_CONTEXT.fullmatch(text[start:end].strip()) or _PREFIX.search(text[max(0, start - 8) : start]))
-
-
-def _dated(text: str, start: int, end: int) -> bool:
-    return bool(re.fullmatch(rf"{DATE}|(?:19|20)\d{{2}}", text[start:end]))
-
-
 def _candidates(text: str, units: Units) -> Iterator[tuple]:
-    """All forms in their order of precedence: form, start, end, low, high, comparator, unit, unit start, label."""
-    n = NUMBER
-
-    def with_unit(pattern: str, form: str, comparator: str | None = None, checks=()) -> Iterator[tuple]:
-        for m in re.finditer(rf"{pattern}\s*(?P<unit>\S+)", text):
-            unit = units.at(text, m.start("unit"))
-            if unit is None:
-                continue
-            start, end = m.start(), unit[1]
-            if any(check(text, start, end) for check in checks) or _rejected(text, start, end):
+    """All forms in their order of precedence: form, start, end, low, high, comparator, unit, unit start, label.
+
+    A number counts pages or steps where it follows such a word, and is the second of two where it follows a number
+    and a dash or spread; these places are found once for the text. A number that hangs on letters, digits,
+    underscores or hyphens before it is part of an identifier or date.
+    """
+    counted = {m.end() for m in _COUNTED.finditer(text)}
+    second = {m.end() for m in _RIGHT.finditer(text)}
+    for form, sign, pattern in _FORMS:
+        if sign is not None and sign not in text:
+            continue
+        for m in pattern.finditer(text):
+            start, at = m.start(), m.start("unit")
+            hangs = form != "comparison" and start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_-")
+            if hangs or start in counted or (form == "scalar" and start in second):
                 continue
-            high = m.groupdict().get("high")
-            yield form, start, end, m.group("low"), high, comparator, unit[0], m.start("unit"), None
-
-    free = lambda t, a, b: _attached(t, a)
-    yield from with_unit(rf"(?P<low>{n})\s*±\s*(?P<high>{n})", "tolerance", checks=[free])
-    for dash in DASHES:
-        yield from with_unit(rf"(?P<low>{n})\s*{dash}\s*(?P<high>{n})", "range", checks=[free, _dated])
-    for sign in COMPARATORS:
-        yield from with_unit(rf"(?<![<>=]){sign}\s*(?P<low>{n})", "comparison", sign)
-    tails = [free, lambda t, a, b: _tail_of(t, a, DASHES), lambda t, a, b: _tail_of(t, a, ["±"]), _dated]
-    yield from with_unit(rf"(?P<low>{n})", "scalar", checks=tails)
-    for label in CATEGORIES:
-        for m in re.finditer(rf"(?={re.escape(label)})", text):
-            start, end = m.start(), m.start() + len(label)
-            around = text[start - 1 : start] * (start > 0) + text[end : end + 1]
-            if not any(c.isalnum() or c == "_" for c in around):
-                yield "category", start, end, None, None, None, None, None, label
-    for cue in CUES:
-        for m in re.finditer(rf"(?<!\w){re.escape(cue)}\s*(?P<low>{n})", text):
-            if not _rejected(text, m.start(), m.end()):
+            unit = units.at(text, at)
+            if unit is not None:
+                comparator = sign if form == "comparison" else None
+                yield form, start, unit[1], m.group("low"), m.groupdict().get("high"), comparator, unit[0], at, None
+    for label, pattern in _LABELS:
+        for m in pattern.finditer(text):
+            yield "category", m.start(), m.end(), None, None, None, None, None, label
+    for cue, pattern in _CUED:
+        for m in pattern.finditer(text):
+            if m.start() not in counted:
                 yield "cued", m.start(), m.end(), m.group("low"), None, None, None, None, cue
 
 
 def read_values(text: str | None, units: Units) -> list[dict]:
     """The value expressions of a text, by span."""
     taken: list[tuple] = []
-    for c in _candidates(text or "", units):
+    if not text or not _ANY.search(text):
+        return []
+    for c in _candidates(text, units):
         if all(c[2] <= t[1] or c[1] >= t[2] for t in taken):
             taken.append(c)
     out = []
