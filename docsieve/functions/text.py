@@ -8,6 +8,7 @@ back to the text, boundary tests) is built-in expressions on its arrays.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -20,6 +21,10 @@ SURFACE = "struct<cmp:string,collapse:boolean,os:array<int>,oe:array<int>,cs:arr
 WORD_CLASS = r"\p{L}\p{M}\p{Nd}\p{Pc}\-"
 UNIT_CLASS = WORD_CLASS + r"\p{No}/·⁻⁺₊₋"
 
+#: Characters below the combining marks, but for those whose folded form is longer.
+_PLAIN = re.compile("[\x00-\xde\xe0-\u012f\u0131-\u0148\u014a-\u01ef\u01f1-\u02ff]*")
+_GAPS, _WHITE = re.compile(r"\s\s"), re.compile(r"\s")
+
 
 def arrow_function(ddl: str) -> Callable:
     """A function of series as a function of columns; made when it is first called, as it needs a session."""
@@ -34,11 +39,33 @@ def arrow_function(ddl: str) -> Callable:
     return wrap
 
 
+def plain_surface(text: str, collapse: bool) -> str | None:
+    """The compared text where each character is one unit that stays one character, as in most texts; else None."""
+    if not _PLAIN.fullmatch(text) or (collapse and _GAPS.search(text)):
+        return None
+    return (_WHITE.sub(" ", text) if collapse else text).casefold()
+
+
+class _Same(dict):
+    """Places that are their own projections."""
+
+    def get(self, at, default=None):
+        return at
+
+
+def places(text: str, collapse: bool) -> tuple[str, dict[int, int], dict[int, int]]:
+    """The compared text, and the original places of its units' starts and ends."""
+    if (cmp := plain_surface(text, collapse)) is not None:
+        return cmp, _Same(), _Same()
+    cmp, os_, oe, cs, ce = build_surface(text, collapse)
+    return cmp, dict(zip(cs, os_, strict=True)), dict(zip(ce, oe, strict=True))
+
+
 def build_surface(text: str, collapse: bool) -> tuple[str, list[int], list[int], list[int], list[int]]:
     """The compared text and, for each of its units, the original and compared ranges."""
-    if text.isascii() and not collapse:
+    if (cmp := plain_surface(text, collapse)) is not None:
         at = list(range(len(text) + 1))
-        return text.lower(), at[:-1], at[1:], at[:-1], at[1:]
+        return cmp, at[:-1], at[1:], at[:-1], at[1:]
     parts: list[str] = []
     starts, ends, low, high = [], [], [], []
     at = i = 0

@@ -1,10 +1,11 @@
 """The multi-pattern string join: which terms occur where in which blocks, overlaps kept.
 
-A hit begins and ends at word boundaries, so the first word run of its key is a word run of the text. Blocks give
-their word runs with offsets, distinct keys give their first run, and the two meet in an equi-join that Spark can
-shuffle, broadcast or split by itself. A block's candidates are then verified together where its text is: the key, its
-range in the original text, and its boundaries. Keys that begin with another sign join on that
-sign; the few unit spellings, which may follow a digit, are found in place.
+A hit begins and ends at word boundaries, so the word runs of its key are word runs of the text. A key's head goes
+from its begin to the end of its second word run (the first, if it has one; a key of signs has its first sign).
+Blocks give these heads at every place where a key may begin, and both meet in an equi-join that Spark can shuffle,
+broadcast or split by itself; keys that share a first word or sign meet only texts that go on alike. A block's
+candidates are then verified together where its text is: the key, its range in the original text, and its boundaries.
+The few unit spellings, which may follow a digit, are found in place.
 """
 
 from __future__ import annotations
@@ -13,21 +14,22 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructType
 
-from ..functions.text import WORD_CLASS, arrow_function, build_surface, comparison_key
+from ..functions.text import WORD_CLASS, arrow_function, build_surface, comparison_key, places, plain_surface
 from ..functions.values import unit_boundary
 from .fuzzy import LEAST_WORD
 from .terms import NATURAL_ROLES
 
 _HEAD = regex.compile(rf"[{WORD_CLASS}]+|[^{WORD_CLASS}\s]")
+_RUN = regex.compile(rf"[{WORD_CLASS}]+")
 _WORD = regex.compile(rf"[{WORD_CLASS}]")
 _LETTERS = regex.compile(rf"\p{{L}}{{{LEAST_WORD},}}")
 
-STARTS = "array<struct<at:int,head:string>>"
 FOUND = "array<struct<start:int,end:int,matched_text:string,key:string,boundary_hint:string>>"
 WORDS = "array<struct<start:int,end:int,matched_text:string,word:string>>"
 MOST_UNITS = 10_000
@@ -38,14 +40,51 @@ def collapses(role: Column, hint: Column) -> Column:
     return (hint == "default") & role.isin([*NATURAL_ROLES, "generic_cue"])
 
 
-def _heads(cmp: str) -> list[dict]:
-    return [{"at": m.start(), "head": m.group()} for m in _HEAD.finditer(cmp)]
-
-
-@arrow_function(STARTS)
-def starts(text: pd.Series, collapse: pd.Series) -> pd.Series:
-    """Where a key may begin in a text's surface: each word run, and each other sign."""
-    return pd.Series([_heads(build_surface(t or "", bool(c))[0]) for t, c in zip(text, collapse, strict=True)], dtype=object)
+def heads(cmp: str) -> Iterator[tuple[int, str]]:
+    """Every place of a surface where a key may begin, with the heads that a key there can have."""
+    ends = [m.end() for m in _RUN.finditer(cmp)]
+    nth = 0
+    for m in _HEAD.finditer(cmp):
+        at = m.start()
+        while nth < len(ends) and ends[nth] <= at:
+            nth += 1
+        for end in ends[nth : nth + 2]:
+            yield at, cmp[at:end]
+        if _WORD.match(m.group()) is None:
+            yield at, m.group()
+
+
+@arrow_function("string")
+def key_head(key: pd.Series) -> pd.Series:
+    """The head of a key: up to its second word run, its only one, or its first sign."""
+    ends = [[m.end() for m in _RUN.finditer(k)][:2] for k in key]
+    return pd.Series([k[: e[-1]] if e else k[:1] for k, e in zip(key, ends, strict=True)], dtype=object)
+
+
+def block_heads(blocks: DataFrame, profiles: list[bool]) -> DataFrame:
+    """doc_id, node_id, collapse, at, head for each block's text under each profile, as flat Arrow columns."""
+    schema = StructType([blocks.schema["doc_id"], blocks.schema["node_id"]]).add("collapse", BooleanType())
+    schema = schema.add("at", IntegerType()).add("head", StringType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                b = batch.slice(k, 256)
+                row, collapse, at, head = [], [], [], []
+                for r, text in enumerate(b.column("text").to_pylist()):
+                    for c in profiles:
+                        cmp = plain_surface(text, c)
+                        found = list(heads(build_surface(text, c)[0] if cmp is None else cmp))
+                        row += [r] * len(found)
+                        collapse += [c] * len(found)
+                        at += [x[0] for x in found]
+                        head += [x[1] for x in found]
+                rows = pa.array(row, pa.int32())
+                made = [b.column("doc_id").take(rows), b.column("node_id").take(rows), pa.array(collapse, pa.bool_())]
+                made += [pa.array(at, pa.int32()), pa.array(head, pa.string())]
+                yield pa.record_batch(made, names=["doc_id", "node_id", "collapse", "at", "head"])
+
+    return blocks.select("doc_id", "node_id", "text").mapInArrow(run, schema)
 
 
 def keyed_terms(terms: DataFrame) -> DataFrame:
@@ -53,7 +92,7 @@ def keyed_terms(terms: DataFrame) -> DataFrame:
     collapse = collapses(F.col("term_role"), F.col("boundary_hint"))
     out = terms.withColumn("collapse", collapse).withColumn("key", comparison_key("literal", "collapse"))
     out = out.filter(F.length("key") > 0)
-    return out.withColumn("head", F.element_at(starts("key", F.lit(False)), 1)["head"])
+    return out.withColumn("head", key_head("key"))
 
 
 def _is_word(ch: str) -> bool:
@@ -65,8 +104,7 @@ def verified(text: pd.Series, collapse: pd.Series, candidates: pd.Series) -> pd.
     """Of candidates (at, key, boundary_hint) in a text's surface the true hits, as ranges of the text."""
     out = []
     for t, c, some in zip(text, collapse, candidates, strict=True):
-        cmp, os_, oe, cs, ce = build_surface(t, bool(c))
-        begin, finish = dict(zip(cs, os_, strict=True)), dict(zip(ce, oe, strict=True))
+        cmp, begin, finish = places(t, bool(c))
         hits = []
         for x in some:
             at, key = x["at"], x["key"]
@@ -85,8 +123,7 @@ def letter_words(text: pd.Series) -> pd.Series:
     """The words of letters alone in a text's collapsed surface that may be one edit from a term, as ranges of the text."""
     out = []
     for t in text:
-        cmp, os_, oe, cs, ce = build_surface(t or "", True)
-        begin, finish = dict(zip(cs, os_, strict=True)), dict(zip(ce, oe, strict=True))
+        cmp, begin, finish = places(t or "", True)
         words = []
         for m in _HEAD.finditer(cmp):
             start, end = begin.get(m.start()), finish.get(m.end())
@@ -109,13 +146,10 @@ def exact_hits(terms: DataFrame, blocks: DataFrame) -> DataFrame:
     keys = keyed.select("collapse", "boundary_hint", "head", "key").distinct()
     profiles = [r[0] for r in keyed.select("collapse").distinct().collect()]  # true and false at most
     full = blocks.filter(F.length(F.trim("text")) > 0)
-    full = full.withColumn("collapse", F.explode(F.array(*(F.lit(p) for p in profiles or [False]))))
-    at = full.select("doc_id", "node_id", "collapse", F.explode(starts("text", "collapse")).alias("s"))
-    at = at.select("doc_id", "node_id", "collapse", "s.at", "s.head")
-    candidates = at.join(keys, ["collapse", "head"]).groupBy("doc_id", "node_id", "collapse").agg(
+    candidates = block_heads(full, profiles).join(keys, ["collapse", "head"]).groupBy("doc_id", "node_id", "collapse").agg(
         F.collect_list(F.struct("at", "key", "boundary_hint")).alias("candidates")
     )
-    found = full.join(candidates, ["doc_id", "node_id", "collapse"])
+    found = full.join(candidates, ["doc_id", "node_id"])
     found = found.withColumn("h", F.explode(verified("text", "collapse", "candidates")))
     found = found.select(*blocks.columns, "collapse", "h.*")
     hits = found.join(keyed.drop("head"), ["collapse", "boundary_hint", "key"])
@@ -143,10 +177,9 @@ def unit_hits(terms: DataFrame, blocks: DataFrame) -> DataFrame:
             for k, text in zip(b.index, b["text"], strict=True):
                 if not text or pattern is None:
                     continue
-                cmp, os_, oe, cs, ce = build_surface(text, False)
+                cmp, begin, finish = places(text, False)
                 if not pattern.search(cmp):
                     continue
-                begin, finish = dict(zip(cs, os_, strict=True)), dict(zip(ce, oe, strict=True))
                 for key, names in keys.items():
                     at = cmp.find(key)
                     while at >= 0:

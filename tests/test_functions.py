@@ -41,6 +41,19 @@ def test_unit_boundaries():
         assert values.unit_boundary(t, at, at + len(unit)) is ok, t
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aAéÉßİǰŉ́ \t\x1c\xa0.-1Ωſ", max_size=12), st.booleans())
+def test_plain_surface_is_the_general_one(t, collapse):
+    plain = text.plain_surface(t, collapse)
+    kept, text.plain_surface = text.plain_surface, lambda t, c: None
+    try:
+        cmp, os_, oe, cs, ce = text.build_surface(t, collapse)
+    finally:
+        text.plain_surface = kept
+    at = list(range(len(t)))
+    assert plain is None or (plain, at, at) == (cmp, os_, cs) and oe == ce == [k + 1 for k in at]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aAß İé́ \t.-1", max_size=30), st.booleans())
 def test_surface_covers_text(t, collapse):

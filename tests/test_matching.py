@@ -114,3 +114,12 @@ def test_units(spark):
     got = {(r.start, r.row_id, r.method, tuple(r.supporting_row_ids)) for r in aggregation.unit_mentions(matching.unit_hits(t, b)).collect()}
     assert got == {(2, "E-1", "exact", ("vocab:mL",)), (7, "vocab:mL", "exact", ("E-1",))}
     assert F.col("x") is not None
+
+
+def test_keys_of_one_sign_or_word_meet_only_like_texts(spark):
+    names = [f"(k{k}R)-compound x{k}" for k in range(300)] + [f"sodium salt{k}" for k in range(300)]
+    terms = matching.keyed_terms(spark.createDataFrame([term(x, str(k)) for k, x in enumerate(names)], TERM))
+    blocks = spark.createDataFrame([(1, str(k), f"holds (k{k}R)-Compound x{k}, and Sodium  salt{k}.") for k in range(50)], "doc_id long, node_id string, text string")
+    met = matching.block_heads(blocks, [True, False]).join(terms.select("collapse", "head"), ["collapse", "head"])
+    hits = matching.exact_hits(spark.createDataFrame([term(x, str(k)) for k, x in enumerate(names)], TERM), blocks)
+    assert hits.count() >= 50 and met.count() <= 10 * hits.count()
