@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_entities, evidence_text
+from ..functions.text import decode_entities, evidence_text, tsv_cell
 
 PAGE = ["doc_id", "page_number"]
 FALLBACK = "OTHER_UNCLASSIFIED"
@@ -131,3 +131,53 @@ def response_violations(outcomes: DataFrame) -> DataFrame:
         .when(~same, "EVIDENCE_LABELS_DIFFER")
     )
     return outcomes.filter(F.col("availability") == "valid").withColumn("violation", reason).filter("violation is not null")
+
+
+NOT_SUPPLIED = "classifier call response was not supplied"
+
+
+def with_missing_calls(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Every page's three calls: those without an outcome are ``missing``, with the reason."""
+    calls = pages.select(*PAGE).distinct().withColumn("call_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    out = calls.join(outcomes, [*PAGE, "call_id"], "left")
+    absent = F.col("availability").isNull()
+    reason = F.col("failure_reason") if "failure_reason" in outcomes.columns else F.lit(None).cast("string")
+    return out.withColumn("failure_reason", F.when(absent, NOT_SUPPLIED).otherwise(reason)).withColumn(
+        "availability", F.coalesce("availability", F.lit("missing"))
+    )
+
+
+def failed_calls(calls: DataFrame, reason: Column) -> DataFrame:
+    """Outcomes of calls (page and call_id) that gave no answer."""
+    none = F.array().cast("array<string>")
+    return calls.select(
+        *PAGE, "call_id", F.lit("failed").alias("availability"), F.lit(None).cast("string").alias("status"), none.alias("labels"),
+        reason.alias("failure_reason"),
+    )
+
+
+def classify(pages: DataFrame, outcomes: DataFrame, unverified: DataFrame | None = None) -> DataFrame:
+    """Every page's merged result and eligibility, in document order; absent calls count as missing."""
+    return eligibility(merge_pages(with_missing_calls(pages, outcomes), unverified)).orderBy(*PAGE)
+
+
+def classification_tsv(pages: DataFrame, decided: DataFrame) -> DataFrame:
+    """doc_id, tsv: a header and one line for each page in order, its labels and marks, or that there is no result."""
+    # The marks in their order, and what stands for no result.
+    kind = F.col("kind")
+    cases = [
+        ("incomplete", kind == "incomplete"), ("needs_review", (kind == "needs_review") | F.col("requires_review")), ("empty", kind == "empty"),
+        ("provisional", F.col("is_provisional")), ("unverified_evidence", F.col("unverified")),
+    ]
+    marks = F.array_compact(F.array(*(F.when(case, F.lit(name)) for name, case in cases)))
+    named = F.array_join(F.filter(F.transform("labels", tsv_cell), lambda x: x != ""), "; ")
+    marked = F.when(F.size(marks) > 0, F.concat(F.lit("["), F.array_join(marks, "; "), F.lit("]")))
+    cell = F.concat_ws(" ", F.nullif(named, F.lit("")), marked)
+    cell = F.coalesce(F.nullif(tsv_cell(cell), F.lit("")), F.lit("[no completed classification result]"))
+    lines = pages.select(*PAGE).distinct().join(decided, PAGE, "left").select(
+        "doc_id", F.struct("page_number", F.concat_ws("\t", F.col("page_number").cast("string"), cell).alias("line")).alias("x")
+    )
+    lines = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    head = F.lit("Page number\tPage classification")
+    body = F.concat(F.array(head), F.transform("all", lambda x: x["line"]))
+    return lines.select("doc_id", F.concat(F.array_join(body, "\n"), F.lit("\n")).alias("tsv"))
