@@ -18,7 +18,7 @@ one conversation of their own; unknown kinds count as text. Extra columns are ig
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -105,53 +105,39 @@ def format_chat(
             ),
         )
     )
-    state = "struct<ordinal:int,offset:int,pieces:array<string>,mask:array<struct<start:int,end:int>>>"
-
-    def visit(acc: Column, e: Column) -> Column:
-        p = e["part"]
-        media = ~e["last"] & _is_media(p)
-        text = escape(F.coalesce(p["text"], F.lit("")))
-        # Two parts must not form a control string together.
-        text = F.when(e["joined"] & text.rlike(r"^[^\\\\]"), F.concat(F.lit("\\"), text)).otherwise(text)
-        body = (
-            F.when(e["last"], F.lit(END))
-            .when(media, F.concat(F.lit("<|"), p["kind"], F.lit(":"), acc["ordinal"].cast("string"), F.lit("|>")))
-            .otherwise(text)
-        )
-        start = acc["offset"] + F.length(e["head"])
-        end = start + F.length(body)
-        keep = e["loss"] & ~e["last"] & ~media & (end > start)
-        return F.struct(
-            (acc["ordinal"] + media.cast("int")).alias("ordinal"),
-            end.alias("offset"),
-            F.concat(acc["pieces"], F.array(e["head"], body)).alias("pieces"),
-            F.when(keep, F.concat(acc["mask"], F.array(F.struct(start.alias("start"), end.alias("end")))))
-            .otherwise(acc["mask"])
-            .alias("mask"),
-        )
-
-    zero = F.expr("named_struct('ordinal', 0, 'offset', 0, 'pieces', array(), 'mask', array())").cast(state)
-    media = F.filter(F.flatten(F.transform("rows", lambda r: r["parts"])), _is_media)
-    return (
-        convs.withColumn("entries", entries)
-        .select("conv_id", F.aggregate("entries", zero, visit).alias("out"), media.alias("media"))
-        .select(
-            "conv_id",
-            F.array_join("out.pieces", "").alias("formatted"),
-            F.transform(
-                "media",
-                lambda p, i: F.struct(
-                    i.alias("ordinal"),
-                    p["kind"].alias("kind"),
-                    F.coalesce(p["ref"], F.lit("")).alias("ref"),
-                    part_tokens(p, patch, audio_rate, page_tokens).alias("n_tokens"),
-                ),
-            ).alias("attachments"),
-            F.col("out.mask").alias("loss_mask"),
-        )
-        .withColumn(
-            "n_media_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["n_tokens"])
-        )
+    # Ordinals and offsets are running sums over a conversation's parts, in one sort of its rows.
+    each = convs.select("conv_id", F.posexplode(entries).alias("at", "e")).select("conv_id", "at", "e.*")
+    media = ~F.col("last") & _is_media(F.col("part"))
+    upto = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    text = escape(F.coalesce(F.col("part.text"), F.lit("")))
+    # Two parts must not form a control string together.
+    text = F.when(F.col("joined") & text.rlike(r"^[^\\\\]"), F.concat(F.lit("\\"), text)).otherwise(text)
+    ordinal = (F.col("upto") - 1).cast("int")
+    body = (
+        F.when(F.col("last"), F.lit(END))
+        .when(F.col("media"), F.concat(F.lit("<|"), F.col("part.kind"), F.lit(":"), ordinal.cast("string"), F.lit("|>")))
+        .otherwise(text)
+    )
+    each = each.withColumn("media", media).withColumn("upto", F.sum(F.col("media").cast("int")).over(upto)).withColumn("body", body)
+    each = each.withColumn("stop", F.sum(F.length("head") + F.length("body")).over(upto).cast("int"))
+    token_count = F.when(F.col("media"), part_tokens(F.col("part"), patch, audio_rate, page_tokens))
+    attached = F.struct(
+        ordinal.alias("ordinal"), F.col("part.kind").alias("kind"), F.coalesce("part.ref", F.lit("")).alias("ref"), token_count.alias("n_tokens")
+    )
+    keep = F.col("loss") & ~F.col("last") & ~F.col("media") & (F.length("body") > 0)
+    row = F.struct(
+        "at", F.concat("head", "body").alias("piece"),
+        F.when(F.col("media"), attached).alias("attached"),
+        F.when(keep, F.struct((F.col("stop") - F.length("body")).alias("start"), F.col("stop").alias("end"))).alias("mask"),
+    )
+    rows = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return rows.select(
+        "conv_id",
+        F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("formatted"),
+        F.array_compact(F.transform("rows", lambda r: r["attached"])).alias("attachments"),
+        F.array_compact(F.transform("rows", lambda r: r["mask"])).alias("loss_mask"),
+    ).withColumn("n_media_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["n_tokens"])).select(
+        "conv_id", "formatted", "attachments", "loss_mask", "n_media_tokens"
     )
 
 
