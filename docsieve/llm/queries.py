@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import chat, decontamination, jaccard, language, media, mixing, quality, secrets, suffix_dedup, token_output
+from . import chat, decontamination, jaccard, language, media, mixing, oracles, quality, secrets, suffix_dedup, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,4 +145,9 @@ QUERIES: dict[str, Query] = {
     "op9_token_output": op9_token_output,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": OP1_SQL,
+    "op3_secret_scans": oracles.OP3_SQL,
+    "op7_ngram_jaccard_join": oracles.OP7_SQL,
+    "op8_suffix_array_dedup": oracles.OP8_SQL,
+}
