@@ -7,8 +7,8 @@ over all shards and mapped to its blocks by a keyed permutation of the indices,
 so no block is taken a second time before all were taken once. Blocks join the slots by index, and documents the
 blocks that they overlap.
 
-No source is handled by one task: its documents are dealt into ``CHUNKS`` chunks by their id, and prefix sums are
-taken in a chunk and over the chunks. The driver sees one row for each source.
+No source is handled by one task: its documents are dealt into chunks by a hash, at least ``CHUNKS`` and one for every
+``CHUNK_ROWS`` documents of the corpus, and prefix sums are taken in a chunk and over the chunks. The driver sees one row for each source.
 
 Defined results: null texts have size 0; documents of size 0 are never taken; sources are ordered by code point
 with null last; repeated rows are documents of their own; an empty table gives an empty result; extra columns are
@@ -31,6 +31,7 @@ from ..session import shared_folder
 from .batches import parts, table_of
 
 BLOCK, CHUNKS, SHARDS, MOST = 64, 512, 64, 3
+CHUNK_ROWS = 1 << 16
 SHARD_WORDS = 1 << 24
 WEIGHTS = [5, 2, 1]
 SLOTS = "rank int, shard int, slot long, block long"
@@ -129,9 +130,10 @@ def plan(
     spark = docs.sparkSession
     shared_folder(spark)
     weights = weights or WEIGHTS
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
     row = [c for c in docs.columns if c == "row"]
-    sized = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), *row, chunk.alias("chunk")).checkpoint()
+    sized = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), *row).checkpoint()
+    chunks = max(chunks, sized.count() // CHUNK_ROWS)
+    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)).cast("int"))
     sums = sized.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     found = sums.groupBy("source").agg(F.sum("words").alias("n")).collect()  # one row for each source
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
@@ -156,28 +158,24 @@ def plan(
         .join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
         .select("doc_id", "source", "size", *row, (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
     )
-    # Slots are numbered in a source over all shards: a row for each source and shard, filled on the executors.
+    # Slots are numbered in a source over all shards; each pair of source and shard is filled on the executors.
     ends = np.cumsum(counts, 1)
-    runs = [
-        (k, shard, int(ends[k, shard] - counts[k, shard]), int(counts[k, shard]))
-        for k in range(len(names))
-        for shard in range(shards)
-        if counts[k, shard]
-    ]
     seeds = [[_key(s, turn, seed) for turn in range(MOST)] for s in names]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rank, shard, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for rank, shard in (divmod(k, shards) for k in b.column("id").to_pylist()):
+                n = int(counts[rank, shard])
+                first = int(ends[rank, shard]) - n
                 for at in range(first, first + n, 1 << 16):
                     slot = np.arange(at, min(first + n, at + (1 << 16)))
                     key = np.array(seeds[rank], np.uint64)[slot // blocks[rank]]
                     got = permute(slot % blocks[rank], np.full(len(slot), blocks[rank]), key)
                     yield table_of(SLOTS, (np.full(len(slot), rank), np.full(len(slot), shard), slot, got))
 
-    table = spark.createDataFrame(runs, "rank int, shard int, first long, n long")
-    tasks = max(1, min(len(runs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    filled = table.repartition(tasks).mapInArrow(fill, SLOTS)
+    pairs = len(names) * shards
+    tasks = max(1, min(pairs, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    filled = spark.range(0, pairs, 1, tasks).mapInArrow(fill, SLOTS)
     return Mix(sources, placed, filled, block)
 
 
