@@ -50,3 +50,60 @@ OP3_SQL = "WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans FROM documents LEFT JOIN a USING (doc_id)
 """
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), w AS (SELECT k, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM w GROUP BY ALL
+), v AS (SELECT lang, term, sum(n) AS all_n FROM c GROUP BY ALL HAVING sum(docs) >= 10
+), s AS (SELECT lang, count(*) AS v, sum(all_n) AS n FROM v GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), kept AS (SELECT c.lang, source, c.term, c.n FROM c JOIN v USING (lang, term)
+), total AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN kept USING (lang, source) GROUP BY ALL
+), p AS (SELECT lang, source, term, coalesce(kept.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(kept.n, 0) + 2) // (total.n + 2 * s.v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (v.all_n + 2) // (s.n + 2 * s.v) AS q
+  FROM total JOIN v USING (lang) JOIN s USING (lang) LEFT JOIN kept USING (lang, source, term)
+), pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+# The remainder of a byte under the reversed polynomial, bit by bit; then of each decimal, byte by byte.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END))"
+OP12_SQL = rf"""
+WITH crc AS (SELECT {_CRC_TABLE} AS crc
+), ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS family, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b
+  FROM conversations WHERE conv_id IS NOT NULL
+), h AS (SELECT conv_id, family, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(crc[(xor(a, x) & 255) + 1], a >> 8))) % 4 AS h FROM ids, crc
+), t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations
+), l AS (SELECT conv_id, list(length(role) || ':' || role || text ORDER BY pos) AS said, list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY pos) AS words FROM t GROUP BY conv_id
+), c AS (SELECT h.conv_id, list_concat(coalesce(f.said, [])[1:h], o.said[h + 1:]) AS said, list_concat(coalesce(f.words, [])[1:h], o.words[h + 1:]) AS words
+  FROM h JOIN l o USING (conv_id) LEFT JOIN l f ON f.conv_id = h.family
+), p AS (SELECT conv_id, len(said) AS size, unnest(range(0, len(said) + 1)) AS depth, said, words FROM c
+), q AS (SELECT conv_id, size, depth, sha256(array_to_string(list_transform(said[1:depth], lambda x: sha256(x)), ',')) AS node,
+    CASE WHEN depth > 0 THEN sha256(array_to_string(list_transform(said[1:depth - 1], lambda x: sha256(x)), ',')) END AS up, CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS words FROM p
+), n AS (SELECT node, min(conv_id) AS conv_id, depth, any_value(up) AS up, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM q GROUP BY node, depth
+), k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up
+), m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM n LEFT JOIN k USING (node)
+), e AS (SELECT q.node, sum(CAST(m.n_children = 0 AS BIGINT)) AS n_leaves, sum(m.saved) AS saved_tokens
+  FROM m JOIN q ON q.conv_id = m.conv_id AND q.depth <= m.depth GROUP BY q.node)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN e USING (node) LEFT JOIN m u ON u.node = m.up
+"""
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, min(embedding) AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) GROUP BY vec_id
+), usual AS (SELECT len(e) AS n FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
+), u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v, usual WHERE len(e) = n
+), s AS (SELECT q.vec_id AS query_id, u.vec_id, list_inner_product(q.e, u.e) / (q.size * u.size) AS score FROM u AS q JOIN u ON q.vec_id % 50 = 0 AND q.vec_id <> u.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import chat, decontamination, jaccard, language, media, mixing, oracles, quality, secrets, suffix_dedup, token_output
+from . import (
+    chat, decontamination, divergence, jaccard, language, media, mixing, neighbours, oracles, prefix_trie, quality, secrets, suffix_dedup, token_output,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +135,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.plan(docs))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart in their words, and each source's ten most telling words."""
+    return divergence.audit(read_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix tree of conversations that share up to three first turns with a family's conversation."""
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = F.col("conv_id")
+    shared = (F.crc32(c.cast("string")) % 4).cast("long")
+    return prefix_trie.trie(*prefix_trie.rebuilt_turns(prefix_trie.placed_turns(table), c - c % 20, shared, 3))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
+    table = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(table, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_language_id": op2_language_id,
@@ -144,10 +165,16 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_token_output": op9_token_output,
     "op10_source_mixing": op10_source_mixing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op3_secret_scans": oracles.OP3_SQL,
     "op7_ngram_jaccard_join": oracles.OP7_SQL,
     "op8_suffix_array_dedup": oracles.OP8_SQL,
+    "op11_source_divergence": oracles.OP11_SQL,
+    "op12_prefix_trie": oracles.OP12_SQL,
+    "op13_nearest_neighbours": oracles.OP13_SQL,
 }
