@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
@@ -18,7 +19,7 @@ def rows(frame):
     def plain(x):
         if x is None or x is pd.NA or (isinstance(x, float) and x != x):
             return None
-        return round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+        return round(float(x), 6) if isinstance(x, numbers.Real) and not isinstance(x, bool) else str(x)
 
     return cols, sorted((tuple(plain(v) for v in r) for r in frame[cols].itertuples(index=False)), key=str)
 
