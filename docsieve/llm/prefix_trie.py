@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .naming import dense_index, dense_names
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,7 +46,7 @@ def placed_turns(conversations: DataFrame) -> DataFrame:
     placed, _ = dense_index(rows, "at")
     first = placed.groupBy("conv_id").agg(F.min("at").alias("first"))
     placed = placed.join(first, "conv_id").select("conv_id", (F.col("at") - F.col("first")).alias("pos"), "said", "words")
-    return dense_names(placed, ["said"], "name")[0].checkpoint()
+    return stage(dense_names(placed, ["said"], "name")[0], "turns")
 
 
 def rebuilt_turns(placed: DataFrame, family: Column, shared: Column, most_shared: int) -> tuple[DataFrame, DataFrame]:
@@ -58,27 +59,27 @@ def rebuilt_turns(placed: DataFrame, family: Column, shared: Column, most_shared
     convs = sizes.select("conv_id", "n", family.alias("family"), shared.alias("h"))
     convs = convs.join(sizes.select(F.col("conv_id").alias("family"), F.col("n").alias("there")), "family", "left")
     taken = F.least(F.col("h"), F.coalesce("there", F.lit(0)))
-    convs = convs.withColumn("taken", taken).withColumn("length", F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).checkpoint()
+    convs = convs.withColumn("taken", taken).withColumn("length", F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
+    convs = stage(convs, "convs")
     heads = placed.filter(F.col("pos") < most_shared).withColumnRenamed("conv_id", "family")
     heads = convs.select("conv_id", "family", "taken").join(heads, "family").filter(F.col("pos") < F.col("taken"))
     own = placed.join(convs.select("conv_id", "h", "taken"), "conv_id").filter(F.col("pos") >= F.col("h"))
     own = own.withColumn("pos", F.col("taken") + F.col("pos") - F.col("h"))
     columns = ["conv_id", "pos", "name", "words"]
-    return convs.select("conv_id", "length"), heads.select(*columns).unionByName(own.select(*columns)).checkpoint()
+    return convs.select("conv_id", "length"), stage(heads.select(*columns).unionByName(own.select(*columns)), "rebuilt")
 
 
-def block_levels(turns: DataFrame) -> list[DataFrame]:
+def block_levels(turns: DataFrame, longest: int) -> list[DataFrame]:
     """For each k the named blocks of 2^k turns: conv_id, i (from 0, in blocks), name."""
     levels = [turns.select("conv_id", F.col("pos").alias("i"), "name")]
-    while True:
+    while 2 ** len(levels) <= longest:
         odd = F.col("i") % 2 == 1
         pairs = levels[-1].groupBy("conv_id", F.shiftright("i", 1).alias("i")).agg(
             F.max(F.when(~odd, F.col("name"))).alias("a"), F.max(F.when(odd, F.col("name"))).alias("b")
         )
-        pairs = pairs.filter(F.col("b").isNotNull()).checkpoint()
-        if pairs.isEmpty():
-            return levels
-        levels.append(dense_names(pairs, ["a", "b"], "name")[0].checkpoint())
+        pairs = pairs.filter(F.col("b").isNotNull())
+        levels.append(stage(dense_names(pairs, ["a", "b"], "name")[0], "blocks"))
+    return levels
 
 
 def prefixes(levels: list[DataFrame]) -> DataFrame:
@@ -92,8 +93,8 @@ def prefixes(levels: list[DataFrame]) -> DataFrame:
             before = found.select("conv_id", F.col("depth").alias("shorter"), F.col("node").alias("before"))
             longer = last.filter(F.col("i") > 0).select("conv_id", depth, F.shiftleft("i", k).cast("long").alias("shorter"), "name")
             rows = rows.unionByName(longer.join(before, ["conv_id", "shorter"]).select("conv_id", "depth", "before", "name"))
-        named, free = dense_names(rows.checkpoint(), ["before", "name"], "node", free)
-        named = named.select("conv_id", "depth", "node").checkpoint()
+        named, free = dense_names(rows, ["before", "name"], "node", free)
+        named = stage(named.select("conv_id", "depth", "node"), "prefixes")
         found = named if found is None else found.unionByName(named)
     return found
 
@@ -144,14 +145,16 @@ def subtree_sums(nodes: DataFrame, sums: list[str], deepest: int) -> DataFrame:
         higher = table.select(F.col("node").alias("up"), F.col("up").alias("next"))
         table = table.join(given, "node", "left").join(higher, "up", "left").select(
             "node", F.col("next").alias("up"), *((F.col(c) + F.coalesce(f"{c}_below", F.lit(0))).alias(c) for c in sums)
-        ).checkpoint()
+        )
+        table = stage(table, "sums")
         reach *= 2
     return table.drop("up")
 
 
 def trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     """One row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    found = prefixes(block_levels(turns)).checkpoint()
+    longest = convs.agg(F.max("length")).first()[0] or 0
+    found = prefixes(block_levels(turns, longest))
     nodes = found.groupBy("node", "depth").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"))
     above = found.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"))
     said = turns.select("conv_id", (F.col("pos") + 1).alias("depth"), "words")
@@ -165,9 +168,9 @@ def trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     children = nodes.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     nodes = nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     nodes = nodes.withColumn("n_leaves", (F.col("n_children") == 0).cast("long"))
-    nodes = nodes.withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("words")).checkpoint()
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    sums = subtree_sums(nodes, ["n_leaves", "saved_tokens"], deepest)
+    nodes = nodes.withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("words"))
+    nodes = stage(nodes, "nodes")
+    sums = subtree_sums(nodes, ["n_leaves", "saved_tokens"], longest)
     last = convs.filter(F.col("length") > 0).withColumnRenamed("length", "depth").join(found, ["conv_id", "depth"]).select("node", "conv_id")
     last = last.unionByName(convs.filter(F.col("length") == 0).select(F.lit(ROOT).cast("long").alias("node"), "conv_id"))
     out = nodes.drop("n_leaves", "saved_tokens", "words").join(sums, "node").join(end_digests(last), "node", "left")
