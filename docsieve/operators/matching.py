@@ -1,38 +1,40 @@
 """The multi-pattern string join: which terms occur where in which blocks, overlaps kept.
 
-A hit begins and ends at word boundaries, so the word runs of its key are word runs of the text. A key's head goes
-from its begin to the end of its second word run (the first, if it has one; a key of signs has its first sign).
-Blocks give these heads at every place where a key may begin, and both meet in an equi-join that Spark can shuffle,
-broadcast or split by itself; keys that share a first word or sign meet only texts that go on alike. A block's
-candidates are then verified together where its text is: the key, its range in the original text, and its boundaries.
-The few unit spellings, which may follow a digit, are found in place.
+The keys of all terms become a dictionary of hashes (``scanning``), broadcast behind a check of its size: about 24
+bytes for each key. Blocks are scanned where they are, in Arrow batches, for all keys at once, with the boundaries
+checked there; only hits leave, as arrays beside their block, and meet the terms in an equi-join on the compared text,
+which Spark shuffles, broadcasts or splits by itself. No text is shuffled. A catalogue of more than ``SHARD_KEYS`` keys
+is cut into shards by hash: each shard scans the blocks in a pass of its own whose hits are written, so that one shard
+alone is held at a time.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructType
 
-from ..functions.text import WORD_CLASS, arrow_function, build_surface, comparison_key, places, plain_surface
-from ..functions.values import unit_boundary
+from ..functions.text import WORD_CLASS, arrow_function, build_surface, comparison_key, places
+from ..session import stage
 from .fuzzy import LEAST_WORD
+from .scanning import Dictionary, find, key_numbers
 from .terms import NATURAL_ROLES
 
 _HEAD = regex.compile(rf"[{WORD_CLASS}]+|[^{WORD_CLASS}\s]")
-_RUN = regex.compile(rf"[{WORD_CLASS}]+")
 _WORD = regex.compile(rf"[{WORD_CLASS}]")
 _LETTERS = regex.compile(rf"\p{{L}}{{{LEAST_WORD},}}")
 
-FOUND = "array<struct<start:int,end:int,matched_text:string,key:string,boundary_hint:string>>"
+FOUND = "array<struct<collapse:boolean,start:int,end:int,matched_text:string,key:string>>"
 WORDS = "array<struct<start:int,end:int,matched_text:string,word:string>>"
 MOST_UNITS = 10_000
+#: Keys of one dictionary.
+SHARD_KEYS = 4_000_000
 
 
 def collapses(role: Column, hint: Column) -> Column:
@@ -40,84 +42,71 @@ def collapses(role: Column, hint: Column) -> Column:
     return (hint == "default") & role.isin([*NATURAL_ROLES, "generic_cue"])
 
 
-def heads(cmp: str) -> Iterator[tuple[int, str]]:
-    """Every place of a surface where a key may begin, with the heads that a key there can have."""
-    ends = [m.end() for m in _RUN.finditer(cmp)]
-    nth = 0
-    for m in _HEAD.finditer(cmp):
-        at = m.start()
-        while nth < len(ends) and ends[nth] <= at:
-            nth += 1
-        for end in ends[nth : nth + 2]:
-            yield at, cmp[at:end]
-        if _WORD.match(m.group()) is None:
-            yield at, m.group()
-
-
-@arrow_function("string")
-def key_head(key: pd.Series) -> pd.Series:
-    """The head of a key: up to its second word run, its only one, or its first sign."""
-    ends = [[m.end() for m in _RUN.finditer(k)][:2] for k in key]
-    return pd.Series([k[: e[-1]] if e else k[:1] for k, e in zip(key, ends, strict=True)], dtype=object)
-
-
-def block_heads(blocks: DataFrame, profiles: list[bool]) -> DataFrame:
-    """doc_id, node_id, collapse, at, head for each block's text under each profile, as flat Arrow columns."""
-    schema = StructType([blocks.schema["doc_id"], blocks.schema["node_id"]]).add("collapse", BooleanType())
-    schema = schema.add("at", IntegerType()).add("head", StringType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                b = batch.slice(k, 256)
-                row, collapse, at, head = [], [], [], []
-                for r, text in enumerate(b.column("text").to_pylist()):
-                    for c in profiles:
-                        cmp = plain_surface(text, c)
-                        found = list(heads(build_surface(text, c)[0] if cmp is None else cmp))
-                        row += [r] * len(found)
-                        collapse += [c] * len(found)
-                        at += [x[0] for x in found]
-                        head += [x[1] for x in found]
-                rows = pa.array(row, pa.int32())
-                made = [b.column("doc_id").take(rows), b.column("node_id").take(rows), pa.array(collapse, pa.bool_())]
-                made += [pa.array(at, pa.int32()), pa.array(head, pa.string())]
-                yield pa.record_batch(made, names=["doc_id", "node_id", "collapse", "at", "head"])
-
-    return blocks.select("doc_id", "node_id", "text").mapInArrow(run, schema)
-
-
 def keyed_terms(terms: DataFrame) -> DataFrame:
-    """Terms with their profile, comparison key and its head."""
-    collapse = collapses(F.col("term_role"), F.col("boundary_hint"))
-    out = terms.withColumn("collapse", collapse).withColumn("key", comparison_key("literal", "collapse"))
-    out = out.filter(F.length("key") > 0)
-    return out.withColumn("head", key_head("key"))
+    """Terms with their profile and comparison key."""
+    out = terms.withColumn("collapse", collapses(F.col("term_role"), F.col("boundary_hint")))
+    return out.withColumn("key", comparison_key("literal", "collapse")).filter(F.length("key") > 0)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            made = [b.column("collapse"), *(pa.array(x.astype(np.int64)) for x in key_numbers(b.column("key").to_pylist()))]
+            yield pa.record_batch(made, names=["collapse", "length", "head", "whole"])
+
+
+def _dictionaries(numbers: pa.Table) -> dict[bool, Dictionary]:
+    """A dictionary for each profile from its keys' lengths and hashes."""
+    collapse = numbers["collapse"].to_numpy()
+    columns = [numbers["length"].to_numpy(), *(numbers[c].to_numpy().view(np.uint64) for c in ("head", "whole"))]
+    return {bool(c): Dictionary(*(x[collapse == c] for x in columns)) for c in np.unique(collapse)}
+
+
+def scan(text: pa.Array, dictionaries: dict[bool, Dictionary], units: bool = False) -> pa.ListArray:
+    """All hits of each text under each profile."""
+    texts = [t or "" for t in text.to_pylist()]
+    hits = [(r, c, a, b, texts[r][a:b], key) for c, d in dictionaries.items() for r, a, b, key in find(d, texts, c, units)]
+    hits.sort(key=lambda h: h[0])
+    row, collapse, start, end, matched, key = zip(*hits, strict=True) if hits else [()] * 6
+    kinds = {"collapse": pa.bool_(), "start": pa.int32(), "end": pa.int32(), "matched_text": pa.string(), "key": pa.string()}
+    flat = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((collapse, start, end, matched, key), kinds.values(), strict=True)], list(kinds))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)) if hits else np.zeros(len(texts) + 1), pa.int32()), flat)
+
+
+def _scanned(blocks: DataFrame, held: Broadcast, units: bool = False) -> DataFrame:
+    """Blocks with their hits in an array ``found``; blocks without hits go."""
+
+    @F.arrow_udf(FOUND)
+    def found(text: pa.Array) -> pa.Array:
+        return scan(text, held.value, units)
+
+    return blocks.withColumn("found", found("text")).filter(F.size("found") > 0)
+
+
+def key_hits(keys: DataFrame, blocks: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """Blocks with each place of a key: collapse, start, end, matched_text, key (equal hashes of other texts included)."""
+    numbers = keys.mapInArrow(_numbered, "collapse boolean, length long, head long, whole long")
+    share = blocks.sparkSession.sparkContext.broadcast
+    first = numbers.limit(shard_keys + 1).toArrow()
+    if first.num_rows <= shard_keys:
+        some = _scanned(blocks, share(_dictionaries(first)))
+    else:
+        del first
+        numbers = stage(numbers, "keys")
+        shards = -(-numbers.count() // shard_keys) + 1
+        some = None
+        for k in range(shards):
+            held = share(_dictionaries(numbers.filter(F.pmod(F.xxhash64("whole"), F.lit(shards)) == k).toArrow()))
+            part = stage(_scanned(blocks, held), "hits")
+            held.destroy()
+            some = part if some is None else some.unionByName(part)
+    return some.withColumn("h", F.explode("found")).select(*blocks.columns, "h.*")
 
 
 def _is_word(ch: str) -> bool:
     return bool(ch) and _WORD.fullmatch(ch) is not None
 
 
-@arrow_function(FOUND)
-def verified(text: pd.Series, collapse: pd.Series, candidates: pd.Series) -> pd.Series:
-    """Of candidates (at, key, boundary_hint) in a text's surface the true hits, as ranges of the text."""
-    out = []
-    for t, c, some in zip(text, collapse, candidates, strict=True):
-        cmp, begin, finish = places(t, bool(c))
-        hits = []
-        for x in some:
-            at, key = x["at"], x["key"]
-            if not cmp.startswith(key, at):
-                continue
-            start, end = begin.get(at), finish.get(at + len(key))
-            if start is None or end is None or _is_word(t[start - 1 : start] if start else "") or _is_word(t[end : end + 1]):
-                continue
-            hits.append({"start": start, "end": end, "matched_text": t[start:end], "key": key, "boundary_hint": x["boundary_hint"]})
-        out.append(hits)
-    return pd.Series(out, dtype=object)
-
-
 @arrow_function(WORDS)
 def letter_words(text: pd.Series) -> pd.Series:
     """The words of letters alone in a text's collapsed surface that may be one edit from a term, as ranges of the text."""
@@ -136,24 +125,20 @@ def letter_words(text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def exact_hits(terms: DataFrame, blocks: DataFrame) -> DataFrame:
+def _method(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("method", F.when(F.col("matched_text") == F.col("literal"), "exact").otherwise("normalized_exact"))
+
+
+def exact_hits(terms: DataFrame, blocks: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """Every occurrence of every term: block columns, term columns, start, end, matched_text, method.
 
-    ``blocks`` has doc_id, node_id and text besides its other columns; ``terms`` is as ``eligible_terms`` gives it.
-    Only offsets and word runs meet the keys; a block's text is fetched once for all its candidates.
+    ``blocks`` has a text besides its other columns; ``terms`` is as ``eligible_terms`` gives it. Empty texts and those
+    of spaces alone have no hits.
     """
     keyed = keyed_terms(terms.filter(F.col("boundary_hint") != "atomic_unit"))
-    keys = keyed.select("collapse", "boundary_hint", "head", "key").distinct()
-    profiles = [r[0] for r in keyed.select("collapse").distinct().collect()]  # true and false at most
     full = blocks.filter(F.length(F.trim("text")) > 0)
-    candidates = block_heads(full, profiles).join(keys, ["collapse", "head"]).groupBy("doc_id", "node_id", "collapse").agg(
-        F.collect_list(F.struct("at", "key", "boundary_hint")).alias("candidates")
-    )
-    found = full.join(candidates, ["doc_id", "node_id"])
-    found = found.withColumn("h", F.explode(verified("text", "collapse", "candidates")))
-    found = found.select(*blocks.columns, "collapse", "h.*")
-    hits = found.join(keyed.drop("head"), ["collapse", "boundary_hint", "key"])
-    return hits.withColumn("method", F.when(F.col("matched_text") == F.col("literal"), "exact").otherwise("normalized_exact"))
+    found = key_hits(keyed.select("collapse", "key").distinct(), full, shard_keys)
+    return _method(found.join(keyed, ["collapse", "key"]))
 
 
 def unit_hits(terms: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -162,37 +147,12 @@ def unit_hits(terms: DataFrame, blocks: DataFrame) -> DataFrame:
     literals = [r[0] for r in units.select("literal").distinct().limit(MOST_UNITS + 1).collect()]
     if len(literals) > MOST_UNITS:
         raise ValueError("TOO_MANY_UNITS: the unit vocabulary is over its bound")
-    keys: dict[str, list[str]] = {}
-    for x in literals:
-        keys.setdefault(build_surface(x, False)[0], []).append(x)
-    pattern = re.compile("|".join(map(re.escape, sorted(keys, key=len, reverse=True)))) if keys else None
-    keep = [c for c in blocks.columns]
-    schema = StructType(list(blocks.schema.fields))
-    for name, kind in (("start", IntegerType()), ("end", IntegerType()), ("matched_text", StringType()), ("literal", StringType())):
-        schema = schema.add(name, kind)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, text in zip(b.index, b["text"], strict=True):
-                if not text or pattern is None:
-                    continue
-                cmp, begin, finish = places(text, False)
-                if not pattern.search(cmp):
-                    continue
-                for key, names in keys.items():
-                    at = cmp.find(key)
-                    while at >= 0:
-                        start, end = begin.get(at), finish.get(at + len(key))
-                        if start is not None and end is not None and unit_boundary(text, start, end):
-                            rows += [(k, start, end, text[start:end], x) for x in names]
-                        at = cmp.find(key, at + 1)
-            hits = pd.DataFrame(rows, columns=["k", "start", "end", "matched_text", "literal"])
-            out = b.loc[hits["k"].to_numpy(int)].reset_index(drop=True)
-            yield pd.concat([out, hits.drop(columns="k")], axis=1)[[*keep, "start", "end", "matched_text", "literal"]]
-
-    hits = blocks.mapInPandas(run, schema).join(units, "literal")
-    return hits.withColumn("method", F.when(F.col("matched_text") == F.col("literal"), "exact").otherwise("normalized_exact"))
+    names = [(x, key) for x in literals if (key := build_surface(x, False)[0])]
+    dictionary = Dictionary(*key_numbers([key for _, key in names])) if names else Dictionary(*[np.zeros(0, np.int64)] * 3)
+    found = _scanned(blocks, blocks.sparkSession.sparkContext.broadcast({False: dictionary}), True).withColumn("h", F.explode("found")).select(*blocks.columns, "h.*").drop("collapse")
+    spelled = blocks.sparkSession.createDataFrame(names, "literal string, key string")
+    hits = found.join(spelled, "key").drop("key").join(units, "literal")
+    return _method(hits)
 
 
 def restrict_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:

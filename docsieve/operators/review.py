@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweep import segments
+
 FINDING = "finding_id string, component string, display_text string, page int, evidence string, removed boolean, origin string"
 #: The order of categories in a text report.
 CATEGORIES = ["unit_operations", "process_steps", "materials", "quantity_expressions", "units", "equipment", "parameter_names", "parameter_value_expressions"]
@@ -130,9 +132,5 @@ def report(findings: DataFrame) -> DataFrame:
 
 
 def highlight_segments(spans: DataFrame, page: list[str]) -> DataFrame:
-    """Cut each page at all span edges; segments (start, end) with the sorted ids of the spans that cover them."""
-    edges = spans.select(*page, F.explode(F.array("start", "end")).alias("at")).distinct()
-    w = Window.partitionBy(*page).orderBy("at")
-    cuts = edges.withColumn("to", F.lead("at").over(w)).filter("to is not null").withColumnRenamed("at", "from")
-    joined = cuts.join(spans, page).filter((F.col("start") <= F.col("from")) & (F.col("end") >= F.col("to")))
-    return joined.groupBy(*page, "from", "to").agg(F.sort_array(F.collect_set("finding_id")).alias("finding_ids"))
+    """Cut each page at all span edges; segments (from, to) with the sorted ids of the spans that cover them."""
+    return segments(spans, page).withColumnRenamed("names", "finding_ids")

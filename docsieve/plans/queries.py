@@ -147,6 +147,41 @@ def ambiguity_by_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("matched_text", "row_id", "ambiguity", "n_blocks")
 
 
+def lot_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue with three terms for each order line."""
+    keys = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    name = lambda a, b, c="": F.concat(F.lit(a), "l_orderkey", F.lit(b), "l_linenumber", F.lit(c))
+    return keys.select(F.explode(F.array(name("lot ", "-"), name("batch ", "/"), name("(", ".", ")-sample"))).alias("literal")).select(
+        "literal", F.lit("equipment").alias("component"), F.lit("equipment_type").alias("term_role"), F.lit("lots").alias("source_table"),
+        F.lit("lot").alias("source_field"), F.col("literal").alias("row_id"), F.lit(None).cast("string").alias("lexical_term_id"),
+        F.lit("default").alias("boundary_hint"), F.lit(False).alias("fuzzy_allowed"), F.col("literal").alias("display_name"),
+        F.create_map().cast("map<string,string>").alias("attributes"),
+    )
+
+
+def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block for each order that names some of its lots between dots and brackets."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(
+        F.lit("Lot "), key, F.lit("-1, batch "), key, F.lit("/2 and lot  "), key, F.lit("-3 ........ ("), key, F.lit(".4)-Sample; not lot "), key, F.lit("-1-x"),
+    )
+    return read_table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.lit("n").alias("node_id"), text.alias("text"))
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE l_linenumber WHEN 1 THEN 'lot ' || o_orderkey || '-1' WHEN 2 THEN 'batch ' || o_orderkey || '/2'
+    WHEN 3 THEN 'lot ' || o_orderkey || '-3' ELSE '(' || o_orderkey || '.4)-sample' END AS literal,
+  CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 8 + length(CAST(o_orderkey AS VARCHAR)) WHEN 3 THEN 21 + 2 * length(CAST(o_orderkey AS VARCHAR))
+    ELSE 38 + 3 * length(CAST(o_orderkey AS VARCHAR)) END AS start,
+  CASE l_linenumber WHEN 2 THEN 'exact' ELSE 'normalized_exact' END AS method
+FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber BETWEEN 1 AND 4) ON l_orderkey = o_orderkey"""
+)
+def catalogue_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of three terms for each order line, searched in a note for each order."""
+    hits = matching.exact_hits(lot_terms(spark, sf_dir), order_notes(spark, sf_dir))
+    return hits.select("doc_id", "literal", "start", "method")
+
+
 def _part_catalogue(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Equipment rows made of parts: type from the name, parameter from the type, unit from the brand and size."""
     part = read_table(spark, sf_dir, "part")

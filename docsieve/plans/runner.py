@@ -68,7 +68,7 @@ def dictionary_hits(terms: DataFrame, blocks: DataFrame, with_fuzzy: bool) -> Da
     hits = matching.exact_hits(terms, blocks)
     if not with_fuzzy:
         return hits
-    keyed = matching.keyed_terms(terms).drop("head")
+    keyed = matching.keyed_terms(terms)
     found = blocks.withColumn("w", F.explode(matching.letter_words("text"))).select(*blocks.columns, "w.*")
     near = fuzzy.fuzzy_hits(keyed, found).drop("word", "edit_distance")
     return hits.unionByName(near.select(*hits.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 BOX = "struct<Left:double,Top:double,Width:double,Height:double>"
 BLOCK = (
     f"struct<Id:string,BlockType:string,Page:int,Text:string,RowIndex:int,ColumnIndex:int,RowSpan:int,ColumnSpan:int,"
-    f"SelectionStatus:string,Confidence:double,Geometry:struct<BoundingBox:{BOX}>,Relationships:array<struct<Type:string,Ids:array<string>>>>"
+    f"SelectionStatus:string,EntityTypes:array<string>,Confidence:double,Geometry:struct<BoundingBox:{BOX}>,Relationships:array<struct<Type:string,Ids:array<string>>>>"
 )
 RESPONSE = f"JobStatus string, DocumentMetadata struct<Pages:int>, Warnings array<struct<ErrorCode:string,Pages:array<int>>>, Blocks array<{BLOCK}>"
 

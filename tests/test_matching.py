@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from docsieve.functions import values
 from docsieve.functions.text import build_surface
-from docsieve.operators import aggregation, fuzzy, matching, terms
+from docsieve.operators import aggregation, fuzzy, matching, scanning, terms
 from docsieve.plans import runner
 from docsieve.sources.schemas import CATALOGUE
 
@@ -84,7 +86,7 @@ def test_terms_of_catalogue(spark):
     tables = {
         "materials_fda_ema": table("materials_fda_ema", {"row_id": "FMR-1", "UNII": "T2G0WI9NEZ", "material_name": "Water", "alias_name": "aqua"},
                                    {"row_id": "FMR-2", "material_name": "NA", "alias_name": "None"}),
-        "materials_chebi": table("materials_chebi", {"row_id": "CHR-1", "material_name": "(+)-Atherospermoline", "alias_name": "(+)-Atherospermoline", "alias_type": "hasRelatedSynonym"}),
+        "materials_chebi": table("materials_chebi", {"row_id": "CHR-1", "material_name": "(+)-Sparteine", "alias_name": "(+)-Sparteine", "alias_type": "hasRelatedSynonym"}),
         "equipment": table("equipment", {"row_id": "EQR-1", "Equipment type (EN)": "Container Blender", "Operating parameter (EN)": "Mixing speed", "Unit": "rpm"}),
         "unit_operations": table("unit_operations", {"row_id": "UOR-1", "Search term (EN)": "sieving", "Index this row": "TRUE", "Match policy": "direct_candidate", "Process step (EN)": "sieve it"},
                                  {"row_id": "UOR-3", "Search term (EN)": "drying", "Index this row": "FALSE", "Match policy": "step_cue_only"}),
@@ -92,7 +94,7 @@ def test_terms_of_catalogue(spark):
     got = {(r.row_id, r.term_role, r.literal, r.fuzzy_allowed) for r in terms.eligible_terms(tables, terms.COMPONENTS).collect()}
     assert got == {
         ("FMR-1", "material_name", "Water", False), ("FMR-1", "material_alias", "aqua", False), ("FMR-1", "unii", "T2G0WI9NEZ", False),
-        ("FMR-2", "material_alias", "None", False), ("CHR-1", "material_name", "(+)-Atherospermoline", False), ("CHR-1", "material_alias", "(+)-Atherospermoline", False),
+        ("FMR-2", "material_alias", "None", False), ("CHR-1", "material_name", "(+)-Sparteine", False), ("CHR-1", "material_alias", "(+)-Sparteine", False),
         ("EQR-1", "equipment_type", "Container Blender", False), ("EQR-1", "parameter_name", "Mixing speed", False), ("EQR-1", "unit_spelling", "rpm", False),
         ("UOR-1", "unit_operation", "sieving", True), ("UOR-1", "process_step", "sieve it", False),
     }
@@ -116,10 +118,50 @@ def test_units(spark):
     assert F.col("x") is not None
 
 
-def test_keys_of_one_sign_or_word_meet_only_like_texts(spark):
-    names = [f"(k{k}R)-compound x{k}" for k in range(300)] + [f"sodium salt{k}" for k in range(300)]
-    terms = matching.keyed_terms(spark.createDataFrame([term(x, str(k)) for k, x in enumerate(names)], TERM))
-    blocks = spark.createDataFrame([(1, str(k), f"holds (k{k}R)-Compound x{k}, and Sodium  salt{k}.") for k in range(50)], "doc_id long, node_id string, text string")
-    met = matching.block_heads(blocks, [True, False]).join(terms.select("collapse", "head"), ["collapse", "head"])
-    hits = matching.exact_hits(spark.createDataFrame([term(x, str(k)) for k, x in enumerate(names)], TERM), blocks)
-    assert hits.count() >= 50 and met.count() <= 10 * hits.count()
+def test_scanner_equals_brute_force():
+    rng = random.Random(11)
+    letters = "aAbß-é1 ( .\u0301İ\n\t₂µ"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    keys = {False: set(), True: set()}
+    for collapse in keys:
+        keys[collapse] = {k for _ in range(150) if (k := build_surface(some(9).strip(), collapse)[0])}
+    texts = [some(60) for _ in range(150)] + ["", "a" * 40, "." * 50]
+    dictionaries = {c: scanning.Dictionary(*scanning.key_numbers(k)) for c, k in keys.items()}
+    for units in (False, True):
+        got = matching.scan(pa.array(texts), dictionaries, units).to_pylist()
+        for text, hits in zip(texts, got, strict=True):
+            want = []
+            for collapse, names in keys.items():
+                cmp, os_, oe, cs, ce = build_surface(text, collapse)
+                begin, end = dict(zip(cs, os_)), dict(zip(ce, oe))
+                for a in range(len(cmp)):
+                    for b in range(a + 1, len(cmp) + 1):
+                        if cmp[a:b] in names and a in begin and b in end and free(text, begin[a], end[b], units):
+                            want.append((collapse, begin[a], end[b], text[begin[a] : end[b]], cmp[a:b]))
+            assert sorted((h["collapse"], h["start"], h["end"], h["matched_text"], h["key"]) for h in hits) == sorted(want)
+
+
+def free(text, start, end, units):
+    import regex
+
+    word = r"[\p{L}\p{M}\p{Nd}\p{Pc}\-]"
+    if units:
+        return values.unit_boundary(text, start, end)
+    return not (start and regex.fullmatch(word, text[start - 1])) and not regex.fullmatch(word, text[end : end + 1])
+
+
+def test_shards_give_the_same_hits(spark):
+    t = spark.createDataFrame([term(f"name {k}", str(k), ["material_name", "equipment_type"][k % 2]) for k in range(60)], TERM)
+    b = spark.createDataFrame([("d", str(k), f"Name {k}, name  {k + 1} and name {k}") for k in range(60)], "doc_id string, node_id string, text string")
+    some = lambda n: sorted(map(tuple, matching.exact_hits(t, b, n).select("node_id", "literal", "start", "end", "method").collect()))
+    assert some(7) == some(1000) and len(some(7)) > 100
+
+
+def test_lines_of_signs_leave_only_their_hits(spark):
+    dots = [f"contents {'.' * 3000} page {k} end" for k in range(200)]
+    names = ["(+)-Sparteine", "page 7 end", "...x", "end", ". . ."] + [f"(k{k}R)-compound x{k}" for k in range(300)]
+    t = spark.createDataFrame([term(x, str(k)) for k, x in enumerate(names)], TERM)
+    b = spark.createDataFrame([("d", str(k), x) for k, x in enumerate(dots)] + [("d", "x", "(+)-sparteine (k9R)-Compound x9")], "doc_id string, node_id string, text string")
+    found = matching.key_hits(matching.keyed_terms(t).select("collapse", "key").distinct(), b)
+    got = [(r.node_id, r.key) for r in found.select("node_id", "key").collect()]  # all that leaves the scan
+    assert sorted(got) == sorted([*((str(k), "end") for k in range(200)), ("7", "page 7 end"), ("x", "(+)-sparteine"), ("x", "(k9r)-compound x9")])
