@@ -28,13 +28,17 @@ def chain_violations(revisions: DataFrame) -> DataFrame:
 
 
 def invalidated_approvals(pages: DataFrame) -> DataFrame:
-    """(job_id, generation, page_number) whose approval the revision before had and this one has not.
+    """(job_id, generation, page_number) whose approval the job's revision before had and this one has not.
 
-    ``pages`` has job_id, generation, page_number, approved; a page absent from a revision is not approved there.
+    ``pages`` has job_id, generation, page_number, approved; a page absent from a revision is not approved there. A
+    job's revisions are the generations of all its pages.
     """
-    w = Window.partitionBy("job_id", "page_number").orderBy("generation")
-    out = pages.withColumn("_before", F.lag("approved").over(w))
-    return out.filter(F.coalesce("_before", F.lit(False)) & ~F.col("approved")).select("job_id", "generation", "page_number")
+    revisions = pages.select("job_id", "generation").distinct()
+    after = F.lead("generation").over(Window.partitionBy("job_id").orderBy("generation"))
+    following = revisions.select("job_id", "generation", after.alias("next")).filter("next is not null")
+    had = pages.filter("approved").select("job_id", "generation", "page_number").distinct()
+    due = had.join(following, ["job_id", "generation"]).select("job_id", F.col("next").alias("generation"), "page_number")
+    return due.join(had, ["job_id", "generation", "page_number"], "left_anti")
 
 
 def effective_changes(before: DataFrame, edits: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classification, publication
-from ..session import drop_path, read_table, stage_path
+from ..session import read_table, stage_path
 from ..sources import history
 from ..streaming import leases
 from .queries import _calls, query
@@ -163,21 +163,28 @@ def wrong_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT o_custkey, o_orderkey AS revision_id, row_number() OVER (ORDER BY o_orderkey) AS generation, o_orderpriority FROM orders)
-SELECT generation, CAST(revision_id AS VARCHAR) AS revision_id, o_orderpriority AS actor, max(generation) OVER () AS head_generation FROM r"""
+    """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS job_id, CAST(o_orderkey AS VARCHAR) AS revision_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS generation,
+  o_orderpriority AS actor FROM orders), w AS (SELECT *, lag(revision_id) OVER (PARTITION BY job_id ORDER BY generation) AS parent_revision_id,
+  count(*) OVER (PARTITION BY job_id) AS n FROM r)
+SELECT job_id, revision_id, parent_revision_id, generation, actor, CASE n % 2 WHEN 0 THEN 'CURRENT' ELSE 'STALE' END AS state FROM w"""
 )
 def history_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A history of all orders written as JSON lines and read back."""
+    """A history for each customer whose revisions are their orders, written as JSON lines, read back and compared to heads."""
     from pyspark.sql import Window
 
     orders = read_table(spark, sf_dir, "orders")
-    nth = F.row_number().over(Window.orderBy("o_orderkey")).cast("long")
-    records = orders.select(F.col("o_orderkey").cast("string").alias("revision_id"), nth.alias("generation"), F.col("o_orderpriority").alias("actor"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    records = orders.select(
+        F.col("o_custkey").cast("string").alias("job_id"), F.col("o_orderkey").cast("string").alias("revision_id"),
+        F.lag("o_orderkey").over(w).cast("string").alias("parent_revision_id"), F.row_number().over(w).cast("long").alias("generation"),
+        F.col("o_orderpriority").alias("actor"),
+    )
     path = stage_path(spark, "history")
-    history.write_history(records, path)
-    head, body = history.read_history(spark, path, "revision_id string, generation long, actor string")
-    drop_path(spark, path)
-    return body.select("generation", "revision_id", "actor", F.lit(head["head_generation"]).cast("long").alias("head_generation"))
+    history.write_histories(records, path)
+    state, body = history.read_histories(spark, path, "revision_id string, parent_revision_id string, generation long, actor string")
+    heads = records.groupBy("job_id").agg(F.max_by("revision_id", "generation").alias("revision_id"), F.max("generation").alias("generation"))
+    heads = heads.withColumn("generation", F.col("generation") + F.col("generation") % 2)
+    return body.join(history.history_states(state, heads), "job_id")
 
 
 @query(

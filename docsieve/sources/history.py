@@ -1,61 +1,98 @@
-"""The history of a review as JSON lines: a coverage header, then one record for each revision, oldest first.
+"""Histories of reviews as JSON lines: for each job a file with a coverage header, then its revisions, oldest first.
 
-The file is one job's and bounded by its revisions; it is written and read as one partition. A reader accepts whole
-files only: a last line end, no blank line, objects alone, the header first, and records that the header covers.
+All jobs are written and read together, each file by one task. A reader accepts whole files only: valid UTF-8, a last
+line end, no blank line, objects alone, the header first, and the very chain of revisions that the header covers.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEADER = "HISTORY_COVERAGE"
-COVERAGE = "kind string, head_revision_id string, head_generation long, complete_through_revision_id string, complete_through_generation long"
+COVERAGE = (
+    "kind string, head_revision_id string, head_generation long, complete_through_revision_id string, complete_through_generation long, "
+    "projected_revision_count long"
+)
+INVALID, MISSING = "HISTORY_JSONL_INVALID", "HISTORY_JSONL_MISSING"
 
 
-def write_history(records: DataFrame, path: str) -> None:
-    """Write records (revision_id, generation and more) under a header that covers them; replaces what is there."""
-    last = F.max_by("revision_id", "generation")
-    head = records.agg(last.alias("id"), F.max("generation").alias("n")).select(
+def write_histories(records: DataFrame, path: str) -> None:
+    """Write records (job_id, revision_id, parent_revision_id, generation and more) under headers that cover them.
+
+    One file for each job, ``path/job_id=.../``. The path must be new: an earlier history stays until its reader is
+    given this one, so a failed write loses nothing.
+    """
+    head = records.groupBy("job_id").agg(F.max_by("revision_id", "generation").alias("id"), F.max("generation").alias("n"), F.count("*").alias("count"))
+    head = head.select("job_id", F.lit(-1).cast("long").alias("at"), F.to_json(F.struct(
         F.lit(HEADER).alias("kind"), F.col("id").alias("head_revision_id"), F.col("n").alias("head_generation"),
-        F.col("id").alias("complete_through_revision_id"), F.col("n").alias("complete_through_generation"),
-    )
-    lines = records.select(F.col("generation").alias("at"), F.to_json(F.struct("*")).alias("value"))
-    head = head.select(F.lit(-1).cast("long").alias("at"), F.to_json(F.struct("*")).alias("value"))
-    lines.unionByName(head).orderBy("at").coalesce(1).select("value").write.mode("overwrite").text(path)
+        F.col("id").alias("complete_through_revision_id"), F.col("n").alias("complete_through_generation"), F.col("count").alias("projected_revision_count"),
+    )).alias("value"))
+    lines = records.select("job_id", F.col("generation").cast("long").alias("at"), F.to_json(F.struct(*(c for c in records.columns if c != "job_id"))).alias("value"))
+    rows = lines.unionByName(head).repartition("job_id").sortWithinPartitions("job_id", "at")
+    rows.select("job_id", "value").write.partitionBy("job_id").option("lineSep", "\n").text(path)
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """job_id, sound, nth, value for each line of each job's bytes; unsound files have one line alone."""
+    raw = F.col("content").cast("string")
+    cut = F.split(raw, "\n", -1)
+    body = F.slice(cut, 1, F.size(cut) - 1)
+    sound = F.is_valid_utf8(raw) & (F.length("content") > 0) & raw.endswith("\n") & ~F.exists(body, lambda x: x == "")
+    rows = files.withColumn("sound", sound).withColumn("lines", F.when(F.col("sound"), body).otherwise(F.array(F.lit(""))))
+    return rows.select("job_id", "sound", F.posexplode("lines").alias("nth", "value"))
+
 
+def _object(value: Column) -> Column:
+    return F.coalesce(F.get_json_object(value, "$").startswith("{"), F.lit(False))
 
-def read_history(spark: SparkSession, path: str, record: str) -> tuple[dict, DataFrame]:
-    """The header and the records (by their DDL); ``ValueError`` with a code if the file is missing or not whole."""
+
+def read_histories(spark: SparkSession, path: str, record: str) -> tuple[DataFrame, DataFrame]:
+    """(job_id, error_code, coverage) of each job's file, and the records (job_id and their DDL) of those without error.
+
+    ``record`` has revision_id, parent_revision_id and generation beside what else is kept. ``ValueError`` if nothing
+    was written there.
+    """
     try:
-        found = spark.read.text(path, wholetext=True).filter(F.length("value") > 0).take(2)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     except AnalysisException:
-        raise ValueError("HISTORY_JSONL_MISSING") from None
-    raw = found[0]["value"] if len(found) == 1 else ""
-    lines = raw.split("\n")
-    if not raw.endswith("\n") or any(not x for x in lines[:-1]):
-        raise ValueError("HISTORY_JSONL_INVALID")
-    rows = spark.createDataFrame(list(enumerate(lines[:-1])), "nth int, value string")
-    head = rows.filter("nth = 0").select(F.from_json("value", COVERAGE).alias("h")).select("h.*").first().asDict()
-    body = rows.filter("nth > 0").select("nth", F.from_json("value", record, {"mode": "FAILFAST"}).alias("r")).orderBy("nth").select("r.*")
-    objects = rows.filter(~F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False))).isEmpty()
-    if head["kind"] != HEADER or not objects:
-        raise ValueError("HISTORY_JSONL_INVALID")
-    last = body.agg(F.count("*").alias("n"), F.max("generation").alias("g"), F.max_by("revision_id", "generation").alias("id")).first()
-    if last["n"] and (last["g"], last["id"]) != (head["complete_through_generation"], head["complete_through_revision_id"]):
-        raise ValueError("HISTORY_JSONL_INVALID")
-    return head, body
-
-
-def history_status(spark: SparkSession, path: str, record: str, head_id: str, generation: int) -> str:
-    """CURRENT if the file covers the head, STALE if it covers another, else INVALID_OR_MISSING."""
-    try:
-        head, _ = read_history(spark, path, record)
-    except ValueError:
-        return "INVALID_OR_MISSING"
-    names = ("head_revision_id", "head_generation", "complete_through_revision_id", "complete_through_generation")
-    return "CURRENT" if [head[n] for n in names] == [head_id, generation] * 2 else "STALE"
+        raise ValueError(MISSING) from None
+    folder = F.regexp_extract("path", r"job_id=([^/]*)/[^/]*$", 1)  # as Spark writes it: special characters as %XX, plus as it is
+    files = files.select(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("job_id"), "content")
+    one = files.groupBy("job_id").agg(F.count("*").alias("files"), F.first("content").alias("content"))
+    lines = _lines(one.withColumn("content", F.when(F.col("files") == 1, F.col("content")).otherwise(F.lit(b""))))
+    parsed = lines.select(
+        "job_id", "sound", "nth", _object(F.col("value")).alias("object"),
+        F.when(F.col("nth") == 0, F.from_json("value", COVERAGE)).alias("coverage"),
+        F.when(F.col("nth") > 0, F.from_json("value", f"{record}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})).alias("r"),
+    )
+    order = Window.partitionBy("job_id").orderBy("nth")
+    before = F.lag("r.revision_id").over(order)
+    follows = (F.col("r.generation") == F.col("nth")) & F.col("r.parent_revision_id").eqNullSafe(before) & F.col("r.revision_id").isNotNull() & F.col("r._corrupt").isNull()
+    checked = parsed.withColumn("good", F.col("sound") & F.col("object") & ((F.col("nth") == 0) | F.coalesce(follows, F.lit(False))))
+    files = checked.groupBy("job_id").agg(
+        F.min("good").alias("good"), F.max("coverage").alias("coverage"), F.max("nth").alias("n"), F.count_distinct("r.revision_id").alias("ids"),
+        F.max_by("r.revision_id", "nth").alias("last"),
+    )
+    c = F.col("coverage")
+    covers = (c["kind"] == HEADER) & (F.col("n") > 0) & (F.col("ids") == F.col("n"))
+    for name in ("head_generation", "complete_through_generation", "projected_revision_count"):
+        covers &= c[name] == F.col("n")
+    for name in ("head_revision_id", "complete_through_revision_id"):
+        covers &= c[name] == F.col("last")
+    state = files.select("job_id", F.when(~(F.col("good") & F.coalesce(covers, F.lit(False))), INVALID).alias("error_code"), "coverage")
+    good = parsed.filter("nth > 0").join(state.filter("error_code is null").select("job_id"), "job_id", "left_semi")
+    return state, good.select("job_id", "r.*").drop("_corrupt")
+
+
+def history_states(state: DataFrame, heads: DataFrame) -> DataFrame:
+    """job_id and state for each head (job_id, revision_id, generation): CURRENT, STALE or INVALID_OR_MISSING."""
+    found = heads.join(state, "job_id", "left")
+    c = F.col("coverage")
+    same = (c["head_revision_id"] == F.col("revision_id")) & (c["head_generation"] == F.col("generation"))
+    valid = c.isNotNull() & F.col("error_code").isNull()
+    return found.select("job_id", F.when(~valid, "INVALID_OR_MISSING").when(same, "CURRENT").otherwise("STALE").alias("state"))
 
 
 def decisions_made_here(decisions: DataFrame) -> DataFrame:

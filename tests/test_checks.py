@@ -2,6 +2,8 @@
 
 import hashlib
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from docsieve.operators import classification, publication
 from docsieve.sources import history
 from docsieve.streaming import leases
 
-RECORD = "revision_id string, generation long, actor string"
+RECORD = "revision_id string, parent_revision_id string, generation long, note string"
 
 
 def test_artifacts(spark, tmp_path):
@@ -37,21 +39,48 @@ def test_spans_and_evidence(spark):
     assert [r.run for r in publication.reviewable_runs(runs).collect()] == [1]
 
 
-def test_history_file(spark, tmp_path):
+def test_histories(spark, tmp_path):
     path = str(tmp_path / "h")
-    records = spark.createDataFrame([("r2", 2, None), ("r0", 0, "a\nb"), ("r1", 1, "é")], RECORD)
-    history.write_history(records, path)
-    head, body = history.read_history(spark, path, RECORD)
-    assert [tuple(r) for r in body.collect()] == [("r0", 0, "a\nb"), ("r1", 1, "é"), ("r2", 2, None)] and head["head_revision_id"] == "r2"
-    status = lambda p, i, n: history.history_status(spark, p, RECORD, i, n)
-    assert (status(path, "r2", 2), status(path, "r3", 3), status(path + "-none", "r2", 2)) == ("CURRENT", "STALE", "INVALID_OR_MISSING")
-    good = '{"kind":"HISTORY_COVERAGE","head_revision_id":"r0","head_generation":0,"complete_through_revision_id":"r0","complete_through_generation":0}'
-    record = '{"revision_id":"r0","generation":0}'
-    for k, text in enumerate((good + "\n" + record, good + "\n\n" + record + "\n", record + "\n" + good + "\n", "[]\n", "\n", good + "\n" + record.replace(":0", ":1") + "\n")):
-        p = tmp_path / f"bad{k}"
-        p.write_text(text)
-        with pytest.raises(ValueError, match="HISTORY_JSONL_INVALID"):
-            history.read_history(spark, str(p), RECORD)
+    rows = [("a", "r2", "r1", 2, None), ("a", "r1", None, 1, "a\nb"), ("007", "x", None, 1, "é"), ("b/c d+%", "y", None, 1, "z")]
+    records = spark.createDataFrame(rows, f"job_id string, {RECORD}")
+    history.write_histories(records, path)
+    state, body = history.read_histories(spark, path, RECORD)
+    assert sorted(map(tuple, body.collect()), key=str) == sorted(rows, key=str)
+    heads = spark.createDataFrame([("a", "r2", 2), ("007", "x", 2), ("gone", "x", 1)], "job_id string, revision_id string, generation long")
+    assert {r.job_id: r.state for r in history.history_states(state, heads).collect()} == {"a": "CURRENT", "007": "STALE", "gone": "INVALID_OR_MISSING"}
+    with pytest.raises(ValueError, match="HISTORY_JSONL_MISSING"):
+        history.read_histories(spark, path + "-none", RECORD)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        history.write_histories(records, path)
+
+
+def test_damaged_histories(spark, tmp_path):
+    head = lambda n, last, **more: json.dumps({"kind": "HISTORY_COVERAGE", "head_revision_id": last, "head_generation": n, "complete_through_revision_id": last,
+                                               "complete_through_generation": n, "projected_revision_count": n} | more)
+    record = lambda g, i, p: json.dumps({"revision_id": i, "parent_revision_id": p, "generation": g})
+    one, two = record(1, "r1", None), record(2, "r2", "r1")
+    whole = [head(2, "r2"), one, two]
+    files = {
+        "good": whole, "no_records": [head(2, "r2")], "last_alone": [head(2, "r2"), two], "disordered": [head(2, "r1"), two, one], "repeated": [head(3, "r2"), one, two, two],
+        "renumbered": [head(2, "r2"), one, record(3, "r2", "r1")], "parentless": [head(2, "r2"), one, record(2, "r2", None)], "parented": [head(1, "r1"), record(1, "r1", "r0")],
+        "miscounted": [head(2, "r2", projected_revision_count=3), one, two], "other_head": [head(2, "r9"), one, two], "header_last": [one, head(1, "r1")],
+        "blank": [head(2, "r2"), one, "", two], "list": ["[]"], "text": [head(2, "r2"), one, "no json"], "same_id": [head(2, "r1"), one, record(2, "r1", "r1")],
+        "string_generation": [head(1, "r1"), one.replace("1", '"one"', 1)],
+    }
+    raw = {k: ("\n".join(v) + "\n").encode() for k, v in files.items()}
+    raw |= {"endless": raw["good"][:-1], "empty": b"", "newline": b"\n", "bytes": raw["good"].replace(b"r1", b"r\xff")}
+    for k, v in raw.items():
+        (tmp_path / f"job_id={k}").mkdir()
+        (tmp_path / f"job_id={k}" / "part.txt").write_bytes(v)
+    (tmp_path / "job_id=twice").mkdir()
+    for n in "ab":
+        (tmp_path / "job_id=twice" / f"{n}.txt").write_bytes(raw["good"])
+    state, body = history.read_histories(spark, str(tmp_path), RECORD)
+    assert {r.job_id: r.error_code for r in state.collect()} == {k: None if k == "good" else "HISTORY_JSONL_INVALID" for k in [*raw, "twice"] if k != "empty"}  # of a file without bytes there is no row
+    assert [(r.job_id, r.revision_id) for r in body.orderBy("generation").collect()] == [("good", "r1"), ("good", "r2")]
+
+
+def test_decisions_and_grants(spark):
     rows = spark.createDataFrame([("r1", "r1"), ("r1", "r0")], "revision_id string, decided_in string")
     assert history.decisions_made_here(rows).count() == 1 == history.page_grants(rows.withColumnRenamed("decided_in", "granted_in")).count()
 
