@@ -260,7 +260,9 @@ def nearest(table: DataFrame, queries: Column, *, k: int = 5, slack: float = SLA
     vectors = usable_vectors(table)
     spark = table.sparkSession
     n = vectors.count()
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
+    order = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    few = vectors.filter(order < F.lit(int(2 * sample / max(n, 1) * (1 << 30)) + 1))  # twice the sample, so that little meets in its order
+    some = few.orderBy(order, "vec_id").limit(sample).select("vector").toPandas()["vector"]
     out = "query_id long, vec_id long, score double"
     if not n:
         found = spark.createDataFrame([], out)

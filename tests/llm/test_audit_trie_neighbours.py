@@ -183,7 +183,7 @@ def test_nearest_with_the_full_residual_is_exact(spark, width):
     vectors = {r[0]: r[1] for r in rows}
     bad = [None, [], [0.0] * width, [None] * width, [float("nan")] * width, [float("inf")] * width, [1.0] * (width + 1)]
     rows += [(1000 + 50 * k, b, "bad", False) for k, b in enumerate(bad)] + [(None, [1.0] * width, "", True), rows[0], rows[0]]
-    rows += [(350, [x[350][0] + 1.0, *map(float, x[350][1:])], "another vector", True)]
+    rows += [(350, [float(a) for a in [x[350][0] + 1.0, *x[350][1:]]], "another vector", True)]
     vectors[350] = min(vectors[350], rows[-1][1])
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string, is_query boolean").repartition(4)
     got = found(neighbours.nearest(table, F.col("vec_id") % 50 == 0, slack=math.sqrt(width), sample=128, block=64))
