@@ -148,16 +148,15 @@ def span_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT a.p_name AS dictionary_term, b.p_name AS matched_text FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b
-  WHERE abs(length(a.p_name) - length(b.p_name)) <= 1)
-SELECT dictionary_term, matched_text, levenshtein(dictionary_term, matched_text) > 1 AS refused FROM w WHERE levenshtein(dictionary_term, matched_text) <> 1"""
+    """WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name AS dictionary_term, unnest([p_name, p_name || 's', p_name || 'xy', substr(p_name, 2)]) AS matched_text FROM n)
+SELECT dictionary_term, matched_text, levenshtein(dictionary_term, matched_text) > 1 AS refused FROM c WHERE levenshtein(dictionary_term, matched_text) <> 1"""
 )
 def wrong_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that two part names of like length are one edit apart, counted anew."""
-    names = read_table(spark, sf_dir, "part").select("p_name").distinct()
-    one = names.select(F.col("p_name").alias("dictionary_term"), F.explode(F.array(*(F.length("p_name") + k for k in (-1, 0, 1)))).alias("n"))
-    two = names.select(F.col("p_name").alias("matched_text"), F.length("p_name").alias("n"))
-    claims = one.join(two, "n").select("dictionary_term", "matched_text", F.lit(1).alias("edit_distance"))
+    """Claims that each part name is one edit from itself and from three changed forms of it, counted anew."""
+    names = read_table(spark, sf_dir, "part").select(F.col("p_name").alias("dictionary_term")).distinct()
+    name = F.col("dictionary_term")
+    forms = F.array(name, F.concat(name, F.lit("s")), F.concat(name, F.lit("xy")), F.substring(name, F.lit(2), F.length(name)))
+    claims = names.select("dictionary_term", F.explode(forms).alias("matched_text"), F.lit(1).alias("edit_distance"))
     out = publication.wrong_distances(claims)
     return out.select("dictionary_term", "matched_text", (F.col("true_distance") == -1).alias("refused"))
 

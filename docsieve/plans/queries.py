@@ -245,6 +245,17 @@ def value_expression_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("form", "low", "high", "comparator", "unit", "identity", "label").agg(F.count("*").alias("n"))
 
 
+def _unit_terms(spark: SparkSession) -> DataFrame:
+    """The fixed units as terms."""
+    table = units.fixed_unit_table(spark)
+    return table.select(
+        F.col("spelling").alias("literal"), F.lit("units").alias("component"), F.lit("unit_spelling").alias("term_role"),
+        F.lit("vocabulary").alias("source_table"), F.lit("spelling").alias("source_field"), "row_id",
+        F.lit(None).cast("string").alias("lexical_term_id"), F.lit("atomic_unit").alias("boundary_hint"), F.lit(False).alias("fuzzy_allowed"),
+        F.lit(None).cast("string").alias("display_name"), F.create_map().cast("map<string,string>").alias("attributes"),
+    )
+
+
 @query(
     """WITH q AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber % 6 AS f, length(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS a,
   CASE WHEN l_linenumber % 6 = 1 THEN length(CAST(CAST(l_quantity AS INTEGER) + 5 AS VARCHAR)) ELSE 0 END AS b FROM lineitem),
@@ -254,14 +265,7 @@ SELECT unit AS literal, unit AS matched_text, 'exact' AS method, count(*) AS n F
 )
 def unit_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of the fixed units, one for each span, the exact spelling first."""
-    table = units.fixed_unit_table(spark)
-    vocabulary = table.select(
-        F.col("spelling").alias("literal"), F.lit("units").alias("component"), F.lit("unit_spelling").alias("term_role"),
-        F.lit("vocabulary").alias("source_table"), F.lit("spelling").alias("source_field"), "row_id",
-        F.lit(None).cast("string").alias("lexical_term_id"), F.lit("atomic_unit").alias("boundary_hint"), F.lit(False).alias("fuzzy_allowed"),
-        F.lit(None).cast("string").alias("display_name"), F.create_map().cast("map<string,string>").alias("attributes"),
-    )
-    found = aggregation.unit_mentions(matching.unit_hits(vocabulary, _quantities(spark, sf_dir)))
+    found = aggregation.unit_mentions(matching.unit_hits(_unit_terms(spark), _quantities(spark, sf_dir)))
     return found.groupBy("literal", "matched_text", "method").agg(F.count("*").alias("n"))
 
 
@@ -269,12 +273,18 @@ _UNIT_ROWS = ", ".join(f"('{s}', '{c}', '{i}')" for s, c, i in units.fixed_spell
 
 
 @query(
-    f"""WITH v(spelling, controlled_spelling, identity) AS (VALUES {_UNIT_ROWS})
-SELECT spelling, controlled_spelling, identity, 'vocab:' || identity AS row_id, sha256('unit' || chr(10) || spelling) AS finding_id FROM v"""
+    f"""WITH v(spelling, controlled_spelling, identity) AS (VALUES {_UNIT_ROWS}),
+u AS (SELECT unnest(CASE l_linenumber % 6 WHEN 0 THEN ['kg'] WHEN 1 THEN ['°C', 'C'] WHEN 2 THEN ['%'] WHEN 3 THEN ['g'] WHEN 4 THEN ['rpm'] ELSE [] END) AS spelling FROM lineitem),
+n AS (SELECT spelling, count(*) AS n FROM u GROUP BY spelling)
+SELECT spelling, controlled_spelling, identity, 'vocab:' || identity AS row_id, sha256('unit' || chr(10) || spelling) AS finding_id, coalesce(n, 0) AS lines FROM v LEFT JOIN n USING (spelling)"""
 )
 def unit_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The controlled vocabulary with its identities."""
-    return units.fixed_unit_table(spark).withColumn("finding_id", review.finding_id(F.lit("unit"), F.col("spelling")))
+    """The controlled vocabulary with its identities, and how many order lines name each spelling."""
+    table = units.fixed_unit_table(spark)
+    hits = matching.unit_hits(_unit_terms(spark), _quantities(spark, sf_dir).withColumn("line", F.monotonically_increasing_id()))
+    named = hits.groupBy(F.col("literal").alias("spelling")).agg(F.count_distinct("line").alias("lines"))
+    out = table.withColumn("finding_id", review.finding_id(F.lit("unit"), F.col("spelling"))).join(named, "spelling", "left")
+    return out.withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
 @query(

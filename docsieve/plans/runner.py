@@ -8,10 +8,11 @@ one dataset; a reader sees a run only through its manifest.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.units import fixed_unit_table
@@ -101,19 +102,37 @@ def component_results(tables: dict[str, DataFrame], blocks: DataFrame, component
     )
 
 
+def _counters(found: DataFrame) -> list:
+    """What a component's results are counted by, on the pass that writes them."""
+    times = [F.count(F.lit(1)).alias("occurrences")]
+    if "method" in found.columns:
+        times += [F.count_if(F.col("method") == m).alias(m) for m in aggregation.METHODS]
+    if "ambiguity" in found.columns:
+        times.append(F.count_if(F.col("ambiguity") == "unresolved").alias("unresolved"))
+    return times
+
+
 def run(tables: dict[str, DataFrame], blocks: DataFrame, request: Request, path: str, run_id: str) -> dict:
-    """Run, write each component under ``path/run_id`` and return the manifest, which is written last."""
+    """Run, write each component under ``path/run_id`` and return the manifest, which is written last.
+
+    Results are counted while they are written: by an observation on the plan, not by a second job. A component that
+    fails in Spark, or by a code of its own, leaves its error and no counts; a mistake in a program is raised.
+    """
     spark = blocks.sparkSession
     chosen, results = request.resolved(), []
     for component in chosen:
         where = f"{path}/{run_id}/component={component}"
+        counts = Observation(f"{run_id}-{component}")
         try:
-            component_results(tables, blocks, component, request).drop("component").write.mode("errorifexists").parquet(where)
-            n = spark.read.parquet(where).count()
-            results.append({"component": component, "outcome": "completed", "occurrences": n, "error": None})
+            found = component_results(tables, blocks, component, request).drop("component")
+            found.observe(counts, *_counters(found)).write.mode("errorifexists").parquet(where)
+            seen = dict(counts.get)
+            results.append({"component": component, "outcome": "completed", "occurrences": seen.pop("occurrences"), "counts": seen, "error": None})
         except (PySparkException, ValueError) as why:
             code = str(why).split(":")[0].split("]")[0].strip("[ ")[:60]
-            results.append({"component": component, "outcome": "failed", "occurrences": 0, "error": code})
+            if isinstance(why, ValueError) and not isinstance(why, PySparkException) and not re.fullmatch("[A-Z_]+", code):
+                raise
+            results.append({"component": component, "outcome": "failed", "occurrences": 0, "counts": {}, "error": code})
     done = sum(r["outcome"] == "completed" for r in results)
     overall = "completed" if done == len(results) else "partial" if done else "failed"
     manifest = {"run_id": run_id, "outcome": overall, "components": results, "fuzzy": request.fuzzy}

@@ -7,11 +7,13 @@ import json
 import sqlite3
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import blank
+from ..operators.digests import digest, lanes
 from .schemas import CATALOGUE
 
 
@@ -54,8 +56,7 @@ def duplicate_ids(table: DataFrame) -> DataFrame:
 
 def content_digest(table: DataFrame) -> DataFrame:
     """(rows, digest) of a table, whatever the order of its rows."""
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in table.columns)).cast("decimal(38,0)")
-    return table.agg(F.count("*").alias("rows"), F.sha2(F.coalesce(F.sum(row), F.lit(0)).cast("string"), 256).alias("digest"))
+    return lanes(table).select("rows", digest().alias("digest"))
 
 
 def snapshot_id(identity: dict) -> str:
@@ -80,20 +81,89 @@ def build_snapshot(tables: dict[str, DataFrame], path: str) -> dict:
     return manifest
 
 
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """A snapshot's manifest, whose name must follow from its facts."""
+    try:
+        manifest = json.loads(spark.read.text(f"{path}/_manifest").first()[0])
+        if snapshot_id(manifest["tables"]) != manifest["snapshot_id"]:
+            raise CatalogueError("IDENTITY_MISMATCH", path)
+    except (AnalysisException, TypeError, KeyError, ValueError) as why:
+        if isinstance(why, CatalogueError):
+            raise
+        raise CatalogueError("MANIFEST_INVALID", path) from None
+    return manifest
+
+
+def _stored(spark: SparkSession, path: str, name: str, facts: dict) -> DataFrame:
+    return spark.read.schema(", ".join(f"`{c}` string" for c in facts["columns"])).parquet(f"{path}/{name}")
+
+
+def snapshot_problems(spark: SparkSession, path: str, expected: dict[str, list[str]] | None = None) -> list[tuple[str, str]]:
+    """(table, code) for all that is wrong with a snapshot: one entry at most for each table; none if it may be used.
+
+    ``expected`` names the tables that must be there with their columns. Counts and digests are computed anew from the
+    stored rows.
+    """
+    try:
+        facts = read_manifest(spark, path)["tables"]
+    except CatalogueError as why:
+        return [("", why.code)]
+    expected = {n: f["columns"] for n, f in facts.items()} if expected is None else expected
+    found = [(n, "TABLE_UNKNOWN") for n in sorted(set(facts) - set(expected))]
+    for name, columns in sorted(expected.items()):
+        if name not in facts:
+            found.append((name, "TABLE_MISSING"))
+            continue
+        if facts[name]["columns"] != columns:
+            found.append((name, "COLUMNS_MISMATCH"))
+            continue
+        try:
+            table = _stored(spark, path, name, facts[name])
+            r = content_digest(table).first()
+            ids = duplicate_ids(table).isEmpty() if "row_id" in columns else True
+        except PySparkException:
+            found.append((name, "TABLE_UNREADABLE"))
+            continue
+        if r["rows"] != facts[name]["rows"]:
+            found.append((name, "ROW_COUNT_MISMATCH"))
+        elif r["digest"] != facts[name]["digest"]:
+            found.append((name, "CONTENT_MISMATCH"))
+        elif not ids:
+            found.append((name, "DUPLICATE_ROW_ID"))
+    return found
+
+
+def reusable_snapshot(tables: dict[str, DataFrame], path: str) -> dict | None:
+    """The manifest of the snapshot at ``path`` if it is sound and holds just these tables' rows, else nothing.
+
+    Sources are compared by their digests, whatever the order of their rows and files.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if snapshot_problems(spark, path, {n: t.columns for n, t in tables.items()}):
+        return None
+    manifest = read_manifest(spark, path)
+    for name, table in tables.items():
+        r = content_digest(clean_rows(table)).first()
+        if (r["rows"], r["digest"]) != (manifest["tables"][name]["rows"], manifest["tables"][name]["digest"]):
+            return None
+    return manifest
+
+
+def prepare_snapshot(tables: dict[str, DataFrame], path: str, candidates: list[str]) -> tuple[dict, str]:
+    """The first of ``candidates`` that can be used as it is, else a snapshot built at ``path``: its manifest and path."""
+    for old in candidates:
+        if (manifest := reusable_snapshot(tables, old)) is not None:
+            return manifest, old
+    return build_snapshot(tables, path), path
+
+
 def open_snapshot(spark: SparkSession, path: str, verify: bool = True) -> dict[str, DataFrame]:
     """The tables of a snapshot whose columns, counts and digests agree with its manifest."""
-    manifest = json.loads(spark.read.text(f"{path}/_manifest").first()[0])
-    if snapshot_id(manifest["tables"]) != manifest["snapshot_id"]:
-        raise CatalogueError("IDENTITY_MISMATCH", path)
-    out = {}
-    for name, facts in manifest["tables"].items():
-        table = spark.read.schema(", ".join(f"`{c}` string" for c in facts["columns"])).parquet(f"{path}/{name}")
-        if verify:
-            r = content_digest(table).first()
-            if (r["rows"], r["digest"]) != (facts["rows"], facts["digest"]):
-                raise CatalogueError("CONTENT_MISMATCH", name)
-        out[name] = table
-    return out
+    manifest = read_manifest(spark, path)
+    problems = snapshot_problems(spark, path) if verify else []
+    for name, code in problems:
+        raise CatalogueError("CONTENT_MISMATCH" if code == "ROW_COUNT_MISMATCH" else code, name)
+    return {name: _stored(spark, path, name, facts) for name, facts in manifest["tables"].items()}
 
 
 class RowRange(InputPartition):
