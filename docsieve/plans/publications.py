@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import digests, findings, merging
 from ..session import read_table, stage_path
 from ..sources import paged_json
+from ..streaming import jobs
 from .queries import _quantities, query
 
 
@@ -121,3 +122,16 @@ def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = digests.lanes(parts, ["p_brand"])
     every = digests.merged(brands).select(F.lit("all").alias("p_brand"), "rows", "lanes")
     return brands.unionByName(every).select(F.col("p_brand").alias("part"), "rows", digests.digest().alias("digest"))
+
+
+@query()
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as the events of a document job: all its transitions. The rule is a state machine, beyond SQL."""
+    from pyspark.sql import Window
+
+    e = read_table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = F.when(F.row_number().over(w) == 1, "started").when(F.col("event_type") == "error", "retryable")
+    kind = kind.when(F.col("event_type") == "purchase", "retry").when(F.col("event_type") == "click", "busy").otherwise("done")
+    log = e.select(F.col("user_id").cast("string").alias("job_id"), F.unix_timestamp("ts").alias("at"), (F.row_number().over(w) - 1).alias("seq"), kind.alias("event"), F.col("props").alias("error"))
+    return jobs.fold(log)

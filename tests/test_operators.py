@@ -96,6 +96,7 @@ def test_jobs_fold_equals_stream(spark, tmp_path):
     assert [r[4] for r in got if r[0] == "j"][-1] == "SUCCEEDED" and ("k", 10000, "retry", "FAILED", "QUEUED", 10000, 0, None, 3) in got
     assert ("j", 40, "retryable", "SUBMITTING", "SUBMITTING", 60, 2, "E", 4) in got
     table.coalesce(1).write.json(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
     q = jobs.stream(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("moves").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("moves").collect()), key=str) == got
