@@ -30,6 +30,7 @@ CATEGORIES = ["OFF", "under vacuum"]
 CUES = ["Speed:"]
 SPREAD = "±"
 PAGE_WORDS = ["page", "p.", "step", "stage"]
+LOOK_BACK = 8  # characters before a number in which such a word counts
 
 # Each form's patterns with the sign that a text must hold for it; a unit follows.
 _FORMS: list[tuple[str, str | None, re.Pattern]] = [
@@ -39,7 +40,7 @@ _FORMS: list[tuple[str, str | None, re.Pattern]] = [
     ("scalar", None, rf"(?P<low>{NUMBER})"),
 ]
 _FORMS = [(form, sign, re.compile(pattern + r"\s*(?P<unit>\S+)")) for form, sign, pattern in _FORMS]
-_COUNTED = re.compile("|".join(rf"\b{re.escape(w)}\s*" for w in PAGE_WORDS), re.I)
+_COUNTED = re.compile("(?:" + "|".join(rf"\b{re.escape(w)}" for w in PAGE_WORDS) + r")\s*\Z", re.I)
 _RIGHT = re.compile(rf"{NUMBER}\s*[{SPREAD}{''.join(map(re.escape, DASHES))}]\s*")
 _ANY = re.compile("|".join([r"\d", *map(re.escape, CATEGORIES)]))
 _LABELS = [(label, re.compile(rf"(?<![^\W]){re.escape(label)}(?!\w)")) for label in CATEGORIES]
@@ -85,9 +86,10 @@ def _candidates(text: str, units: Units) -> Iterator[tuple]:
 
     A number counts pages or steps where it follows such a word, and is the second of two where it follows a number
     and a dash or spread; these places are found once for the text. A number that hangs on letters, digits,
-    underscores or hyphens before it is part of an identifier or date.
+    underscores or hyphens before it is part of an identifier or date. A page or step word counts within ``LOOK_BACK``
+    characters.
     """
-    counted = {m.end() for m in _COUNTED.finditer(text)}
+    counted = lambda at: _COUNTED.search(text[max(0, at - LOOK_BACK) : at]) is not None
     second = {m.end() for m in _RIGHT.finditer(text)}
     for form, sign, pattern in _FORMS:
         if sign is not None and sign not in text:
@@ -95,7 +97,7 @@ def _candidates(text: str, units: Units) -> Iterator[tuple]:
         for m in pattern.finditer(text):
             start, at = m.start(), m.start("unit")
             hangs = form != "comparison" and start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_-")
-            if hangs or start in counted or (form == "scalar" and start in second):
+            if hangs or counted(start) or (form == "scalar" and start in second):
                 continue
             unit = units.at(text, at)
             if unit is not None:
@@ -106,7 +108,7 @@ def _candidates(text: str, units: Units) -> Iterator[tuple]:
             yield "category", m.start(), m.end(), None, None, None, None, None, label
     for cue, pattern in _CUED:
         for m in pattern.finditer(text):
-            if m.start() not in counted:
+            if not counted(m.start()):
                 yield "cued", m.start(), m.end(), m.group("low"), None, None, None, None, cue
 
 

@@ -32,7 +32,7 @@ def project(occurrences: DataFrame, job: list[str], most: int = MOST_FINDINGS) -
     found = occurrences.withColumn("occurrence_kind", kind).withColumn(
         "finding_id", finding_id(*(F.col(c) for c in ("component", "occurrence_kind", "occurrence_id", "page_number", "node_id", "start", "end")))
     )
-    order = ["page_number", "block_order", "start", "end", "component", "occurrence_id"]
+    order = ["page_number", "block_order", "start", "end", "component", "occurrence_id", "node_id", "finding_id"]
     said = ["component", "occurrence_kind", "occurrence_id", "page_number", "node_id", "start", "end"]
     one = found.groupBy(*job, "finding_id").agg(
         *(F.first(c).alias(c) for c in said), F.min("block_order").alias("block_order"), F.min("matched_text").alias("display_text"),

@@ -64,9 +64,9 @@ _EVENTS = """e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'units' WHEN
 @query(
     f"""WITH {_EVENTS}, f AS (SELECT *, sha256(concat_ws(chr(10), component, CASE component WHEN 'units' THEN 'unit' WHEN 'materials' THEN 'dictionary' ELSE 'value' END, occurrence_id, page_number, node_id, s, e)) AS finding_id FROM e
 ), o AS (SELECT user_id, finding_id, any_value(component) AS component, any_value(occurrence_id) AS occurrence_id, any_value(page_number) AS page_number, min(block_order) AS block_order,
-    any_value(s) AS s, any_value(e) AS e, min(t) AS t, count(DISTINCT t) > 1 AS differs FROM f GROUP BY ALL
+    any_value(s) AS s, any_value(e) AS e, any_value(node_id) AS node_id, min(t) AS t, count(DISTINCT t) > 1 AS differs FROM f GROUP BY ALL
 ), bad AS (SELECT DISTINCT user_id FROM o WHERE differs)
-SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY page_number, block_order, s, e, component, occurrence_id) AS INTEGER) AS position, finding_id, t AS display_text, NULL AS error_code
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY page_number, block_order, s, e, component, occurrence_id, node_id, finding_id) AS INTEGER) AS position, finding_id, t AS display_text, NULL AS error_code
 FROM o WHERE user_id NOT IN (SELECT user_id FROM bad) UNION ALL SELECT user_id, NULL, NULL, NULL, 'ARTIFACT_REJECTED' FROM bad"""
 )
 def projected_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,10 @@ def test_unit_cells_and_text_functions(spark):
         text.casefold(F.lit("Straße")).alias("f"), text.respects_boundary(F.lit("(AB)"), F.lit(1), F.lit(3), F.lit("whole_code")).alias("b"),
     ).first()
     assert row.h == " a&lt;b&amp;&quot;c&quot; \t d " and row.t == 'a<b&"c" d' and row.e == 'a<b&"c" d' and row.f == "strasse" and row.b
+
+
+def test_page_words_count_within_eight_characters(spark):
+    texts = ["page 5 kg", "page    5 kg", "page     5 kg", "page           5 kg", "Step 3 rpm", "stage   5 kg", "stage    5 kg", "mypage 5 kg", "p. 5 kg"]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = table.select("k", F.size(values.value_expressions(F.col("t"))).alias("n")).orderBy("k").collect()
+    assert [r.n for r in found] == [0, 0, 1, 1, 0, 0, 1, 1, 0]
