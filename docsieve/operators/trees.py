@@ -44,6 +44,25 @@ def with_paths(nodes: DataFrame, tree: list[str], most: int = MOST_DEPTH) -> Dat
     return reduce(DataFrame.unionByName, levels)
 
 
+def cyclic_trees(edges: DataFrame, tree: list[str], most: int = MOST_DEPTH) -> DataFrame:
+    """The trees (their columns) whose edges (tree, parent, id) hold a cycle or a path of more than ``most`` edges.
+
+    A node may have several parents. Edges whose parent has none left above it fall away, level by level; what is left
+    when nothing falls is a cycle, and what is left after ``most`` levels lies too deep.
+    """
+    left = stage(edges.select(*tree, "parent", "id").distinct(), "edges")
+    n = left.count()
+    for _ in range(most):
+        if not n:
+            break
+        held = left.select(*tree, F.col("id").alias("parent")).distinct()
+        left = stage(left.join(held, [*tree, "parent"], "left_semi"), "edges")
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left.select(*tree).distinct()
+
+
 def fold_up(nodes: DataFrame, tree: list[str], value: Column, name: str) -> DataFrame:
     """``nodes`` (as ``with_paths`` gives them) with a value for each, folded from the deepest level up.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import digests, findings, merging
+from ..operators import conversion, digests, findings, merging
 from ..session import read_table, stage_path
 from ..sources import paged_json
 from ..streaming import jobs
@@ -135,3 +135,45 @@ def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = kind.when(F.col("event_type") == "purchase", "retry").when(F.col("event_type") == "click", "busy").otherwise("done")
     log = e.select(F.col("user_id").cast("string").alias("job_id"), F.unix_timestamp("ts").alias("at"), (F.row_number().over(w) - 1).alias("seq"), kind.alias("event"), F.col("props").alias("error"))
     return jobs.fold(log)
+
+
+_FINDINGS = """n AS (SELECT l_orderkey AS o, l_linenumber AS k, CAST(floor(min(l_quantity)) AS INTEGER) AS q FROM lineitem GROUP BY ALL
+), d AS (SELECT CAST(o AS VARCHAR) AS doc_id, o, 'n' || k AS node_id, 'b' || k % 4 AS block_id, k % 4 AS page, CASE k % 3 WHEN 0 THEN 'Toler. +' || q || ' %' WHEN 1 THEN 'plain ' || q ELSE '+ and +' END AS text FROM n
+), w AS (SELECT DISTINCT doc_id, o, position, code, blocks, pages FROM d, (VALUES (1, 'POSSIBLE_TOLERANCE_SYMBOL_AMBIGUITY', ['b3'], [3]), (2, 'POSSIBLE_TOLERANCE_SYMBOL_AMBIGUITY', ['b2', 'b1'], []),
+    (3, 'POSSIBLE_TOLERANCE_SYMBOL_AMBIGUITY', ['b3'], [3]), (4, 'AWS_X', [], [2, 1])) v(position, code, blocks, pages)
+), i AS (SELECT *, sha256(code || chr(10) || array_to_string(list_sort(blocks), ',') || chr(10) || coalesce(array_to_string(list_sort(pages), ','), '')) AS identity FROM w
+), f AS (SELECT *, 'finding_' || substr(sha256(identity || chr(0) || (row_number() OVER (PARTITION BY doc_id, identity ORDER BY position) - 1)), 1, 32) AS finding_id FROM i
+), m AS (SELECT f.doc_id, finding_id, list(DISTINCT node_id ORDER BY node_id) AS node_ids, string_agg(node_id || ':' || length(text) || ':' || text, ',' ORDER BY node_id) AS said,
+    sum(length(text) - length(replace(text, '+', ''))) AS pluses, list({'n': node_id, 't': text} ORDER BY node_id) FILTER (length(text) - length(replace(text, '+', '')) = 1) AS one
+  FROM f JOIN d ON d.doc_id = f.doc_id AND list_contains(blocks, block_id) GROUP BY ALL
+), r AS (SELECT f.doc_id, f.finding_id, list(DISTINCT page ORDER BY page) AS raw FROM f JOIN d ON d.doc_id = f.doc_id AND list_contains(blocks, block_id) GROUP BY ALL
+), a AS (SELECT f.doc_id, f.o, f.finding_id, position, code, list_sort(list_distinct(list_concat(pages, coalesce(raw, [])))) AS pages, blocks, node_ids, said, pluses, one FROM f
+  LEFT JOIN m USING (doc_id, finding_id) LEFT JOIN r USING (doc_id, finding_id)
+), z AS (SELECT *, sha256(coalesce(said, '') || '|' || array_to_string(list_sort(blocks), ',') || '|' || array_to_string(pages, ',')) AS region_hash,
+  code LIKE 'POSSIBLE%' AND len(one) = 1 AND pluses = 1 AS clear FROM a)"""
+
+
+@query(
+    f"""WITH {_FINDINGS} SELECT doc_id, position, finding_id, region_hash, coalesce(array_to_string(node_ids, ','), '') AS node_ids, array_to_string(pages, ',') AS pages,
+  CASE WHEN clear THEN replace(replace(one[1].t, 'Toler.', 'Tolerance'), '+', '±') END AS suggested_text,
+  CASE WHEN o % 3 = 0 AND position = 1 THEN 'DISMISSED' END AS decision, o % 6 = 3 AND position = 1 AS resolved FROM z"""
+)
+def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of four warnings for each order's document, some decided before on the same or on other texts."""
+    t = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.floor(F.min("l_quantity")).cast("int").alias("q"))
+    k, q = F.col("l_linenumber"), F.col("q").cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("Toler. +"), q, F.lit(" %"))).when(k % 3 == 1, F.concat(F.lit("plain "), q)).otherwise("+ and +")
+    nodes = t.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.concat(F.lit("n"), k).alias("node_id"), F.concat(F.lit("b"), k % 4).alias("block_id"), (k % 4).alias("page"), text.alias("text"))
+    blocks = nodes.select("doc_id", F.col("block_id").alias("Id"), F.col("page").alias("Page")).distinct()
+    one = lambda p, c, b, n: F.struct(F.lit(p).alias("position"), F.lit(c).alias("code"), F.array(*map(F.lit, b)).cast("array<string>").alias("block_ids"), F.array(*map(F.lit, n)).cast("array<int>").alias("pages"))
+    tolerance = conversion.TOLERANCE
+    some = F.array(one(1, tolerance, ["b3"], [3]), one(2, tolerance, ["b2", "b1"], []), one(3, tolerance, ["b3"], [3]), one(4, "AWS_X", [], [2, 1]))
+    warnings = nodes.select("doc_id").distinct().select("doc_id", F.explode(some).alias("w")).select("doc_id", "w.*")
+    first = conversion.review_findings(warnings, nodes, blocks)
+    order = F.col("doc_id").cast("long")
+    before = first.filter((order % 3 == 0) & (F.col("position") == 1)).select(
+        "doc_id", "finding_id", F.when(order % 6 == 3, F.col("region_hash")).otherwise("other").alias("region_hash"), F.lit("DISMISSED").alias("decision")
+    )
+    out = conversion.review_findings(warnings, nodes, blocks, before)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("doc_id", "position", "finding_id", "region_hash", joined("node_ids").alias("node_ids"), joined("pages").alias("pages"), "suggested_text", "decision", "resolved")
