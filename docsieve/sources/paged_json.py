@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 8 << 20
 ROWS = "path string, page_order long, page_number int, page string, block_order int, block string"
-_OPENS, _CLOSES = np.zeros(256, bool), np.zeros(256, bool)
-_OPENS[[ord("{"), ord("[")]], _CLOSES[[ord("}"), ord("]")]] = True, True
+_STEPS = np.zeros(256, np.int8)
+_STEPS[[ord("{"), ord("[")]], _STEPS[[ord("}"), ord("]")]] = 1, -1
 _KEY = re.compile(rb'"pages"\s*:\s*\Z')
 
 
@@ -60,28 +60,31 @@ def _edge(path: str, at: int, size: int) -> int:
 
 def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the quotes that open or close strings, and of all brackets."""
-    quotes = np.flatnonzero(data == 0x22)
-    if len(quotes):
-        plain = data != 0x5C
-        last = np.maximum.accumulate(np.where(plain, np.arange(len(data)), -1))  # the last place before that is no backslash
-        run = np.where(quotes > 0, quotes - 1 - last[np.maximum(quotes - 1, 0)], 0)
-        quotes = quotes[run % 2 == 0]
-    return quotes, np.flatnonzero(_OPENS[data] | _CLOSES[data])
-
-
-def _levels(data: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    quotes, slashes = np.flatnonzero(data == 0x22), np.flatnonzero(data == 0x5C)
+    if len(quotes) and len(slashes):  # a quote after an odd run of backslashes is a sign of its string
+        gap = np.diff(slashes) > 1
+        first, last = slashes[np.append(True, gap)], slashes[np.append(gap, True)]
+        odd = last[(last - first) % 2 == 0]
+        at = np.minimum(np.searchsorted(odd, quotes - 1), max(len(odd) - 1, 0))
+        if len(odd):
+            quotes = quotes[odd[at] != quotes - 1]
+    return quotes, np.flatnonzero(_STEPS[data])
+
+
+def _levels(data: np.ndarray, inside: bool, marks: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of the brackets outside strings, and +1 or -1 for each."""
-    quotes, brackets = _marks(data)
+    quotes, brackets = marks or _marks(data)
     outside = (np.searchsorted(quotes, brackets) + inside) % 2 == 0
     brackets = brackets[outside]
-    return brackets, np.where(_OPENS[data[brackets]], 1, -1)
+    return brackets, _STEPS[data[brackets]].astype(np.int64)
 
 
 def chunk_sums(path: str, start: int, stop: int, size: int) -> tuple[int, int, int]:
     """Of a chunk: quotes modulo 2, and the sum of its brackets if it begins outside and if it begins inside a string."""
     start, stop = _edge(path, start, size), _edge(path, stop, size)
     data = np.frombuffer(_bytes(path, start, stop), np.uint8)
-    return len(_marks(data)[0]) % 2, int(_levels(data, False)[1].sum()), int(_levels(data, True)[1].sum())
+    marks = _marks(data)
+    return len(marks[0]) % 2, *(int(_levels(data, inside, marks)[1].sum()) for inside in (False, True))
 
 
 def chunk_places(path: str, start: int, stop: int, size: int, inside: bool, depth: int) -> dict:
@@ -194,7 +197,8 @@ def _pages(path: str, start: int, stop: int, last: bool) -> Iterator[bytes]:
     while at < stop:
         edge = min(_edge(path, min(at + CHUNK, stop), stop), stop)
         data = np.frombuffer(more := _bytes(path, at, edge), np.uint8)
-        places, step = _levels(data, inside)
+        marks = _marks(data)
+        places, step = _levels(data, inside, marks)
         level = depth + np.cumsum(step)
         offset, done = len(held), 0
         held += more
@@ -206,7 +210,7 @@ def _pages(path: str, start: int, stop: int, last: bool) -> Iterator[bytes]:
             else:
                 yield held[begin : p + 1]
                 done = p + 1
-        inside ^= bool(len(_marks(data)[0]) % 2)
+        inside ^= bool(len(marks[0]) % 2)
         depth = int(level[-1]) if len(level) else depth
         held, begin, at = held[done:], begin - done, edge
     between(held, b"" if last else b",")
