@@ -73,18 +73,19 @@ def scan_unseen(
         F.col(id_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     # One path stands for each blob: min() folds copies on the map side.
-    one = blob_ids(versions, "path").filter(F.col("path").isNotNull()).groupBy("blob_id").agg(F.min("path").alias("path"))
+    one = blob_ids(versions, "path").groupBy("blob_id").agg(F.min("path").alias("path"))
     todo = one.withColumn("rule_version", F.explode(F.array(*map(F.lit, wanted))))
     if ledger is not None:
         todo = todo.join(ledger.select("blob_id", "rule_version").distinct(), ["blob_id", "rule_version"], "left_anti")
     # A path may stand for several blobs, its versions; each has its own rules to run.
     todo = todo.groupBy("path", "blob_id").agg(F.collect_set("rule_version").alias("rules"))
     texts = versions.filter(F.col("path").isNotNull()).withColumn("blob_id", F.sha2("text", 256))
-    picked = texts.join(todo.hint("shuffle_hash"), ["path", "blob_id"])
-    nowhere = versions.filter(F.col("path").isNull()).select(
-        "text", F.sha2("text", 256).alias("blob_id"), F.array(*map(F.lit, wanted)).alias("rules")
-    )
-    picked = picked.select("text", "blob_id", "rules").unionByName(nowhere)
+    picked = texts.join(todo.filter(F.col("path").isNotNull()).hint("shuffle_hash"), ["path", "blob_id"])
+    # Blobs without any path: one of their rows, folded on the map side.
+    nowhere = versions.filter(F.col("path").isNull()).groupBy(F.sha2("text", 256).alias("blob_id")).agg(F.any_value("text").alias("text"))
+    nowhere = nowhere.join(todo.filter(F.col("path").isNull()).drop("path"), "blob_id")
+    columns = ["text", "blob_id", "rules"]
+    picked = picked.select(*columns).unionByName(nowhere.select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finding = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])

@@ -209,3 +209,18 @@ def test_run_of_empty_tables(spark, sf_dir, tmp_path):
     for name in ("op2_language_id", "op3_secret_scans", "op4_benchmark_decontamination", "op5_quality_classifier", "op6_media_columns", "op7_ngram_jaccard_join",
                  "op8_suffix_array_dedup", "op9_token_output", "op10_source_mixing"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0, name
+
+
+def test_null_paths_go_through_the_ledger(spark):
+    from docsieve.llm import secrets
+
+    texts = [(None, "token: abcdefgh1"), (None, "token: abcdefgh1"), (1, "token: abcdefgh1"), (None, "password=longenough"), (None, None), (2, "plain")]
+    versions = spark.createDataFrame(texts, "doc_id long, text string")
+    ledger = secrets.scan_unseen(versions)
+    rows = ledger.collect()
+    assert len(rows) == 4 * len(secrets.RULES) == len({(r.blob_id, r.rule_version) for r in rows})  # each distinct text once
+    assert secrets.scan_unseen(versions, ledger).count() == 0
+    more = versions.unionByName(spark.createDataFrame([(None, "secret: another12")], versions.schema))
+    assert secrets.scan_unseen(more, ledger).count() == len(secrets.RULES)
+    found = secrets.findings_by_path(versions, ledger).collect()
+    assert sorted(len(r.findings) for r in found) == [0, 0, 1, 1, 1, 1]
