@@ -14,6 +14,8 @@ from ..functions.text import escape_html
 from ..session import stage
 from ..sources import ocr
 from ..sources.reviewed_html import ROOT
+from .findings import active_highlights
+from .sweep import marked_text
 from .trees import fold_up, with_paths
 
 PAGE = ["doc_id", "Page"]
@@ -200,6 +202,19 @@ def page_html(found: DataFrame, html: str | None = None) -> DataFrame:
     return pages.select(*page, F.concat(head, "html", F.lit("</section>")).alias("html"))
 
 
+def marked_pages(found: DataFrame, findings: DataFrame) -> DataFrame:
+    """doc_id, page_number and html of pages whose nodes show their findings.
+
+    ``findings`` has doc_id, node_id, finding_id, component, start, end, removed and evidence, as ``findings.project``
+    gives them; what is removed, or has no evidence in a node, shows nothing. A page without findings is as it was.
+    """
+    node = ["doc_id", "page_number", "node_id"]
+    shown = active_highlights(findings).select("doc_id", "node_id", "finding_id", "category", "start", "end")
+    spans = shown.join(found.select(*node), ["doc_id", "node_id"])
+    html = marked_text(found.select(*node, "text"), spans, node).select(*node, F.col("html").alias("inner"))
+    return page_html(found.join(html, node), "inner")
+
+
 def document_html(pages: DataFrame, facts: DataFrame) -> DataFrame:
     """doc_id and html of whole reviewed documents; ``facts`` has doc_id, revision_id, generation and status."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "html"))), lambda x: x["html"]), "\n")

@@ -7,6 +7,7 @@ one dataset; a reader sees a run only through its manifest.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from dataclasses import dataclass, field
@@ -15,10 +16,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.units import fixed_unit_table
+from ..functions import values
+from ..functions.units import fixed_spellings, fixed_unit_table
 from ..functions.values import value_expressions
-from ..operators import aggregation, fuzzy, matching
+from ..operators import aggregation, fuzzy, matching, merging
 from ..operators.terms import COMPONENTS, NEEDS, eligible_terms
+from ..session import stage
 
 # Presets and their components.
 PRESETS = {
@@ -54,6 +57,46 @@ class Request:
         return [c for c in COMPONENTS if c in chosen]
 
 
+    def fingerprint(self) -> str:
+        """The hex digest of what is run and by which fixed rules; pages count as restricted or not."""
+        chosen = {"components": self.resolved(), "fuzzy": self.fuzzy, "restricted": self.pages is not None, "rules": fixed_rules()}
+        return hashlib.sha256(json.dumps(chosen, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+#: What a request's mapping may hold, and of which kinds.
+KEYS = {"presets": list, "components": list, "fuzzy": bool}
+
+
+def load_request(text: str, pages: DataFrame | None = None) -> Request:
+    """A request from JSON text: one object, known keys alone, none twice, each of its kind."""
+
+    def once(pairs: list[tuple]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("INVALID_CONFIGURATION: a key is there twice")
+        return dict(pairs)
+
+    try:
+        given = json.loads(text, object_pairs_hook=once)
+    except json.JSONDecodeError:
+        raise ValueError("INVALID_CONFIGURATION: no JSON") from None
+    if not isinstance(given, dict) or set(given) - set(KEYS) or any(type(v) is not KEYS[k] for k, v in given.items()):
+        raise ValueError("INVALID_CONFIGURATION: unknown keys or kinds")
+    if any(type(x) is not str for k in ("presets", "components") for x in given.get(k, [])):
+        raise ValueError("INVALID_CONFIGURATION: names are texts")
+    request = Request(**given, pages=pages)
+    request.resolved()
+    return request
+
+
+def fixed_rules() -> dict:
+    """The fixed values that decide what a run finds."""
+    return {
+        "components": COMPONENTS, "needs": NEEDS, "presets": PRESETS, "units": [list(x) for x in fixed_spellings()], "methods": aggregation.METHODS,
+        "least_term": fuzzy.LEAST_TERM, "least_word": fuzzy.LEAST_WORD, "number": values.NUMBER, "page_words": values.PAGE_WORDS,
+        "comparators": list(values.COMPARATORS), "categories": list(values.CATEGORIES),
+    }
+
+
 def vocabulary_terms(spark: SparkSession) -> DataFrame:
     """The fixed units as terms."""
     return fixed_unit_table(spark).select(
@@ -112,6 +155,31 @@ def _counters(found: DataFrame) -> list:
     return times
 
 
+def _stream(hits: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
+    """Every block with the spans of its hits, each once."""
+    key = ["doc_id", "block_order", "node_id"]
+    span = F.struct(F.col("start"), F.col("end"), F.col("matched_text"), F.col(name).alias("name"))
+    spans = hits.groupBy(*key).agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    return blocks.join(spans, key, "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{merging.SPAN}>")))
+
+
+def parameter_unit_values(tables: dict[str, DataFrame], blocks: DataFrame) -> DataFrame:
+    """Values of the blocks with the unit that stands in each and the parameter name ahead of it.
+
+    Parameter names and units are found in streams of their own, which are merged with the blocks in document order; a
+    document whose streams do not agree with its blocks gives nothing.
+    """
+    slim = stage(blocks.select("doc_id", "block_order", "node_id", "text"), "blocks")
+    names = None
+    if "equipment" in tables:
+        names = _stream(matching.exact_hits(eligible_terms(tables, ["parameter_names"]), slim), slim, "literal")
+    terms = vocabulary_terms(slim.sparkSession)
+    if "equipment" in tables:
+        terms = terms.unionByName(eligible_terms(tables, ["units"]))
+    units = _stream(matching.unit_hits(terms, slim), slim, "literal")
+    return merging.with_values(merging.merge_streams(slim, names, units))
+
+
 def run(tables: dict[str, DataFrame], blocks: DataFrame, request: Request, path: str, run_id: str) -> dict:
     """Run, write each component under ``path/run_id`` and return the manifest, which is written last.
 
@@ -135,7 +203,7 @@ def run(tables: dict[str, DataFrame], blocks: DataFrame, request: Request, path:
             results.append({"component": component, "outcome": "failed", "occurrences": 0, "counts": {}, "error": code})
     done = sum(r["outcome"] == "completed" for r in results)
     overall = "completed" if done == len(results) else "partial" if done else "failed"
-    manifest = {"run_id": run_id, "outcome": overall, "components": results, "fuzzy": request.fuzzy}
+    manifest = {"run_id": run_id, "outcome": overall, "components": results, "fuzzy": request.fuzzy, "configuration_sha256": request.fingerprint()}
     text = json.dumps(manifest, sort_keys=True)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/{run_id}/_manifest")
     return manifest
