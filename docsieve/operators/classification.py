@@ -157,8 +157,8 @@ def failed_calls(calls: DataFrame, reason: Column) -> DataFrame:
 
 
 def classify(pages: DataFrame, outcomes: DataFrame, unverified: DataFrame | None = None) -> DataFrame:
-    """Every page's merged result and eligibility, in document order; absent calls count as missing."""
-    return eligibility(merge_pages(with_missing_calls(pages, outcomes), unverified)).orderBy(*PAGE)
+    """Every page's merged result and eligibility; absent calls count as missing. Whoever shows them sorts them."""
+    return eligibility(merge_pages(with_missing_calls(pages, outcomes), unverified))
 
 
 def classification_tsv(pages: DataFrame, decided: DataFrame) -> DataFrame:

@@ -22,7 +22,10 @@ def disagreeing_artifacts(outcomes: DataFrame, artifacts: DataFrame) -> DataFram
 
 
 def broken_artifacts(spark: SparkSession, artifacts: DataFrame, root: str) -> DataFrame:
-    """component, relative_path, code of artifacts (component, relative_path, byte_size, sha256) whose files differ."""
+    """component, relative_path, code of artifacts (component, relative_path, byte_size, sha256) whose files differ.
+
+    A file is hashed as one cell, so files of 2 GB or more fail; write a component's results in parts below that.
+    """
     base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(
         F.element_at(F.split("path", F.lit(r"\Q" + base.split(":", 1)[-1].lstrip("/") + r"\E")), -1).alias("relative_path"),
