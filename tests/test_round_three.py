@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from docsieve.functions import text as T
+from docsieve.operators import matching
+from docsieve.operators.scanning import FILTER_BITS
+from docsieve.plans import queries as plans
 from docsieve.sources import history
 
 
@@ -33,3 +36,16 @@ def test_many_histories_make_few_files(spark, tmp_path):
     (tmp_path / "h" / "job_id=j7" / "part.txt").write_bytes(b"{}\n")
     state, _ = history.read_histories(spark, str(tmp_path / "h"), kinds)
     assert [r.job_id for r in state.filter("error_code is not null").collect()] == ["j7"]
+
+
+def test_a_large_catalogue_reaches_the_driver_as_bitmaps(spark, sf_dir, monkeypatch):
+    keys = matching.keyed_terms(plans.lot_terms(spark, sf_dir)).select("collapse", "key")
+    made = matching._filters(keys.mapInArrow(matching._numbered, "collapse boolean, length long, head long, whole long"))
+    assert all(b.nbytes == 1 << FILTER_BITS - 3 for f in made.values() for b in f.bits.values())
+    notes = plans.order_notes(spark, sf_dir)
+    some = lambda n: sorted(tuple(r) for r in matching.exact_hits(plans.lot_terms(spark, sf_dir), notes, n).select("doc_id", "literal", "start", "method").collect())
+    few = some(10)
+    monkeypatch.setattr(matching, "_dictionaries", None)  # no dictionary is made of many keys
+    assert few == some(100) and few
+    monkeypatch.undo()
+    assert few == some(10**6)
