@@ -1,19 +1,16 @@
 """Ordered merge of block streams: blocks, parameter names and units of the same blocks, read side by side.
 
-The streams are laid together, ranged once by document and place, and each range is one ordered pass that holds the
-records of one block. A stream that leaves a block out, repeats one, has one that is not there, or disagrees on its node
-or text, is an error of its document: nothing of such a document is given as if it were whole.
+The streams are laid together and grouped once by document and place, in a sort by these keys; the records of one block
+meet there. A stream that leaves a block out, repeats one, has one that is not there, or disagrees on its node or text,
+is an error of its document: nothing of such a document is given as if it were whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.values import value_expressions
 from ..session import stage
@@ -24,43 +21,8 @@ MERGED = f"doc_id string, block_order int, node_id string, text string, paramete
 MISMATCH = "BLOCK_IDENTITY_MISMATCH"
 
 
-def _checked(records: list[dict], wanted: int) -> str | None:
-    """What is wrong with the records of one place: one of each stream, of one node and text."""
-    base = records[0]
-    same = all(r["node_id"] == base["node_id"] and r["said"] == base["said"] for r in records)
-    return None if [r["stream"] for r in records] == list(range(wanted)) and same else MISMATCH
-
-
-def _side_by_side(wanted: int, schema: pa.Schema):
-    """Merged blocks of rows sorted by document, place and stream."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def close() -> dict:
-            at = {r["stream"]: r["spans"] for r in held}
-            first = held[0]
-            return {
-                "doc_id": first["doc_id"], "block_order": first["block_order"], "node_id": first["node_id"], "text": first["text"],
-                "parameters": at.get(1) or [], "units": at.get(2) or [], "error_code": _checked(held, wanted),
-            }
-
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if held and (r["doc_id"], r["block_order"]) != (held[0]["doc_id"], held[0]["block_order"]):
-                    out.append(close())
-                    held = []
-                held.append(r)
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if held:
-            yield pa.RecordBatch.from_pylist([close()], schema=schema)
-
-    return run
-
-
 def merge_streams(blocks: DataFrame, parameters: DataFrame | None, units: DataFrame | None) -> DataFrame:
-    """Blocks with the spans of both streams, in document order within partitions; MERGED.
+    """Blocks with the spans of both streams; MERGED.
 
     ``blocks`` has doc_id, block_order, node_id and text; a stream has these and ``spans``, an array of SPAN, for every
     block, also for those in which it found nothing. A stream that was not asked for is None. Documents with a mismatch
@@ -74,13 +36,17 @@ def merge_streams(blocks: DataFrame, parameters: DataFrame | None, units: DataFr
         spans = F.col("spans").cast(f"array<{SPAN}>").alias("spans") if k else none
         text = F.col("text") if k == 0 else F.lit(None).cast("string").alias("text")
         rows.append(table.select(F.col("doc_id").cast("string").alias("doc_id"), "block_order", F.lit(k).alias("stream"), "node_id", text, F.sha2(F.coalesce("text", F.lit("")), 256).alias("said"), spans))
-    laid = reduce(DataFrame.unionByName, rows).repartitionByRange("doc_id", "block_order").sortWithinPartitions("doc_id", "block_order", "stream")
-    if kinds == [0, 2]:  # streams count from the blocks on
-        laid = laid.withColumn("stream", F.when(F.col("stream") == 2, 1).otherwise(F.col("stream")))
-    schema = to_arrow_schema(blocks.sparkSession.createDataFrame([], MERGED).schema)
-    merged = stage(laid.mapInArrow(_side_by_side(len(kinds), schema), MERGED), "merged")
-    if kinds == [0, 2]:
-        merged = merged.withColumn("units", F.col("parameters")).withColumn("parameters", F.array().cast(f"array<{SPAN}>"))
+    key = ["doc_id", "block_order"]
+    of = lambda k, c: F.max(F.when(F.col("stream") == k, F.col(c)))
+    spans = lambda k: F.coalesce(of(k, "spans"), F.array().cast(f"array<{SPAN}>"))
+    one = (F.count("*") == len(kinds)) & (F.sum(F.pow(F.lit(4), "stream")) == sum(4**k for k in kinds))  # each stream once
+    nodes = F.min("node_id").eqNullSafe(F.max("node_id")) & F.count("node_id").isin(0, len(kinds))
+    good = one & nodes & (F.min("said") == F.max("said"))
+    merged = reduce(DataFrame.unionByName, rows).repartition(*key).groupBy(*key).agg(
+        F.min_by("node_id", "stream").alias("node_id"), of(0, "text").alias("text"), spans(1).alias("parameters"), spans(2).alias("units"),
+        F.when(~good, MISMATCH).alias("error_code"),
+    )
+    merged = stage(merged, "merged")
     wrong = merged.filter("error_code is not null").groupBy("doc_id").agg(F.min_by(F.struct("block_order", "node_id"), "block_order").alias("at"))
     whole = merged.join(wrong.select("doc_id"), "doc_id", "left_anti")
     broken = wrong.select("doc_id", "at.*", F.lit(MISMATCH).alias("error_code"))
