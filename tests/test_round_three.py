@@ -3,6 +3,9 @@
 import inspect
 import os
 
+import pandas as pd
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -11,7 +14,7 @@ from docsieve.functions import values
 from docsieve.operators import matching, merging
 from docsieve.operators.scanning import FILTER_BITS
 from docsieve.plans import queries as plans
-from docsieve.sources import history
+from docsieve.sources import history, reviewed_html
 
 
 def test_capitals_keep_length(spark):
@@ -68,3 +71,30 @@ def test_streams_merge_without_python(spark):
     rows = merging.merge_streams(b, s, s).collect()
     assert len(rows) == 2 and all(r.error_code is None and r.units == [] == r.parameters for r in rows)
     assert [r.error_code for r in merging.merge_streams(b, s, s.withColumn("node_id", F.lit("n"))).collect()] == [merging.MISMATCH]
+
+
+def test_texts_are_scanned_in_slices():
+    text = pa.array(["ab", None, "c" * 50, "", "é"])
+    assert [s.to_pylist() for s in matching._slices(text, 10)] == [["ab", None], ["c" * 50], ["", "é"]]
+    assert [s.to_pylist() for s in matching._slices(text.slice(3), 10)] == [["", "é"]] and list(matching._slices(text.slice(0, 0), 10)) == []
+
+
+def test_unit_blocks_need_no_identity(spark):
+    terms = plans._unit_terms(spark)
+    blocks = spark.createDataFrame([("a", "1", "5 g and 6 g of 7 ml"), ("a", "1", "5 g"), ("b", "2", "none")], "doc_id string, node_id string, text string")
+    assert {tuple(r) for r in matching.unit_blocks(terms, blocks).collect()} == {("g", 2), ("mL", 1), ("ml", 1)}
+
+
+def test_html_leaves_in_small_frames(spark, monkeypatch):
+    sizes = []
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            sizes.extend(len(x) for x in run(iter([pd.DataFrame({"doc_id": ["d"] * 50, "content": [b"x" * 9] * 50})])))
+
+    monkeypatch.setattr(reviewed_html, "FRAME_ROWS", 10)
+    reviewed_html._rows(Files(), lambda d, c: [{"doc_id": d}] * 3, "doc_id string, text string")
+    assert sum(sizes) == 150 and max(sizes) <= 12
