@@ -28,22 +28,23 @@ NO_BOX = 2.0
 
 
 def layout_forest(table: DataFrame) -> DataFrame:
-    """Layout blocks and lines with depth, path and text: doc_id, Page, id, BlockType, parent, place, path, text.
+    """Layout blocks and lines with depth and path: doc_id, Page, id, BlockType, parent, place, path, pieces.
 
     A block of several layouts belongs to the first. A root's place is its position in the response, so the first entry
-    of a path tells the root.
+    of a path tells the root. ``pieces`` are the ids of the blocks whose texts, in this order, make a block's text; the
+    texts themselves stay where they are.
     """
     own = table.filter(F.col("BlockType").startswith("LAYOUT") | (F.col("BlockType") == "LINE"))
-    own = own.select(*PAGE, F.col("Id").alias("id"), "BlockType", "position", F.col("Text").alias("said"))
-    layouts = own.filter(F.col("BlockType") != "LINE").select("doc_id", F.col("id").alias("parent"), F.col("position").alias("at"))
-    of = ocr.edges(table).join(layouts, ["doc_id", "parent"]).groupBy("doc_id", F.col("child").alias("id")).agg(
-        F.min(F.struct("at", "order", "parent")).alias("first")
+    said = F.when(F.col("Text") != "", F.array("Id")).when(F.col("Text") == "", F.array().cast("array<string>"))
+    own = own.select(*PAGE, F.col("Id").alias("id"), "BlockType", "position", said.alias("said"))
+    of = ocr.edges(table.filter(F.col("BlockType").startswith("LAYOUT")), "position").groupBy("doc_id", F.col("child").alias("id")).agg(
+        F.min(F.struct(F.col("position").alias("at"), "order", "parent")).alias("first")
     )
     nodes = own.join(of, ["doc_id", "id"], "left").select(
         *PAGE, "id", "BlockType", "said", F.col("first.parent").alias("parent"), F.coalesce("first.order", "position").cast("int").alias("place")
     )
-    below = F.array_join(F.filter("children", lambda t: t != ""), " ")
-    return fold_up(with_paths(nodes, ["doc_id"]), ["doc_id"], F.coalesce("said", below), "text").drop("said")
+    paths = with_paths(stage(nodes, "layout"), ["doc_id"])
+    return fold_up(paths, ["doc_id"], F.coalesce("said", F.flatten("children")), "pieces", "array<string>").drop("said")
 
 
 def _box(table: DataFrame) -> DataFrame:
@@ -56,24 +57,19 @@ def _box(table: DataFrame) -> DataFrame:
 def free_lines(table: DataFrame, represented: DataFrame) -> DataFrame:
     """Lines (doc_id, id) that are not ``represented`` and have a word that is in no table's cell."""
     of = ocr.edges(table)
-    kind = lambda k: table.filter(F.col("BlockType") == k).select("doc_id", F.col("Id").alias("parent"))
-    cells = of.join(kind("TABLE"), ["doc_id", "parent"], "left_semi").select("doc_id", F.col("child").alias("parent"))
+    cells = ocr.edges(table.filter("BlockType = 'TABLE'")).select("doc_id", F.col("child").alias("parent"))
     in_cells = of.join(cells.distinct(), ["doc_id", "parent"], "left_semi").select("doc_id", "child").distinct()
-    words = of.join(kind("LINE"), ["doc_id", "parent"], "left_semi").join(in_cells, ["doc_id", "child"], "left_anti")
+    words = ocr.edges(table.filter("BlockType = 'LINE'")).join(in_cells, ["doc_id", "child"], "left_anti")
     return words.select("doc_id", F.col("parent").alias("id")).distinct().join(represented, ["doc_id", "id"], "left_anti")
 
 
-def elements(table: DataFrame) -> DataFrame:
-    """doc_id, page_number, element_order (from 0), kind, block_id, text of each page's elements in reading order.
-
-    ``table`` is as ``ocr.blocks`` gives it, best from a written table, as several joins read it. Elements without text
-    are left out, tables have none of their own.
-    """
+def _placed_elements(table: DataFrame) -> DataFrame:
+    """The elements of ``elements`` with ``pieces``, as ``layout_forest`` has them, instead of texts; tables have none."""
     forest = stage(layout_forest(table), "forest")
     roots = forest.filter((F.col("depth") == 0) & (F.col("BlockType") != "LINE"))
-    roots = roots.select(*PAGE, "id", "BlockType", F.col("place").alias("position"), "text")
+    roots = roots.select(*PAGE, "id", "BlockType", F.col("place").alias("position"), "pieces")
     tables = table.filter("BlockType = 'TABLE'").select(*PAGE, F.col("Id").alias("id"))
-    held = ocr.edges(table).select("doc_id", F.col("parent").alias("layout"), F.col("child").alias("id"), "order").join(tables, ["doc_id", "id"])
+    held = ocr.edges(table.filter("BlockType = 'LAYOUT_TABLE'")).select("doc_id", F.col("parent").alias("layout"), F.col("child").alias("id"), "order").join(tables, ["doc_id", "id"])
     held = held.join(roots.filter("BlockType = 'LAYOUT_TABLE'").select("doc_id", F.col("id").alias("layout"), "position"), ["doc_id", "layout"])
     first = Window.partitionBy("doc_id", "id").orderBy("position", "order")
     placed = held.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
@@ -82,26 +78,61 @@ def elements(table: DataFrame) -> DataFrame:
     speaks = (F.col("BlockType") != "LAYOUT_FIGURE") & ~F.col("has_table")
     kind = F.coalesce(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[F.col("BlockType")], F.lit("text"))
     kind = F.when(F.col("BlockType") == "LAYOUT_TABLE", "table_region").otherwise(kind)
-    zero, none = F.lit(0.0), F.lit(None).cast("string")
+    zero, none = F.lit(0.0), F.lit(None).cast("array<string>")
 
-    def part(df: DataFrame, phase: int, a: Column, b: Column, c: Column, kind: Column, text: Column) -> DataFrame:
+    def part(df: DataFrame, phase: int, a: Column, b: Column, c: Column, kind: Column, pieces: Column) -> DataFrame:
         key = F.struct(F.lit(phase).alias("phase"), a.cast("double").alias("a"), b.cast("double").alias("b"), c.cast("long").alias("c"))
-        return df.select(*PAGE, key.alias("key"), kind.alias("kind"), F.col("id").alias("block_id"), text.alias("text"))
+        return df.select(*PAGE, key.alias("key"), kind.alias("kind"), F.col("id").alias("block_id"), pieces.alias("pieces"))
 
-    position = F.col("position")
-    said = part(roots.filter(speaks & (F.col("text") != "")), 0, position, zero, position, kind, F.col("text"))
+    position, pieces = F.col("position"), F.col("pieces")
+    said = part(roots.filter(speaks & (F.size("pieces") > 0)), 0, position, zero, position, kind, pieces)
     laid = part(placed, 0, position, zero, F.col("order"), F.lit("table"), none)
     box = _box(table)
     loose = tables.join(placed.select("doc_id", "id"), ["doc_id", "id"], "left_anti").join(box, ["doc_id", "id"])
     loose = part(loose, 1, F.col("top"), F.col("left"), position, F.lit("table"), none)
     speaking = roots.filter(speaks).select("doc_id", F.col("position").alias("root"))
     represented = forest.filter("BlockType = 'LINE'").withColumn("root", F.element_at("path", 1)).join(speaking, ["doc_id", "root"], "left_semi")
-    lines = free_lines(table, represented.select("doc_id", "id")).join(forest.filter("BlockType = 'LINE' AND text <> ''"), ["doc_id", "id"])
-    lines = lines.select(*PAGE, "id", "text").join(box, ["doc_id", "id"])
-    lines = part(lines, 2, F.col("top"), F.col("left"), position, F.lit("text"), F.col("text"))
+    lines = free_lines(table, represented.select("doc_id", "id")).join(forest.filter("BlockType = 'LINE' AND size(pieces) > 0"), ["doc_id", "id"])
+    lines = lines.select(*PAGE, "id", "pieces").join(_box(table.filter("BlockType = 'LINE'")), ["doc_id", "id"])
+    lines = part(lines, 2, F.col("top"), F.col("left"), position, F.lit("text"), pieces)
     every = said.unionByName(laid).unionByName(loose).unionByName(lines)
     nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("key", "block_id")) - 1
-    return every.select("doc_id", F.col("Page").alias("page_number"), nth.alias("element_order"), "kind", "block_id", "text")
+    return every.select("doc_id", F.col("Page").alias("page_number"), nth.alias("element_order"), "kind", "block_id", "pieces")
+
+
+def _with_texts(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, id and more) with ``t``, the own text or mark of block ``id``, null where it has none.
+
+    Texts move once, to the rows of their document; what comes after groups by doc_id and more where they are.
+    """
+    own = F.coalesce("Text", ocr.mark(F.col("BlockType"), F.col("SelectionStatus")))
+    said = table.select("doc_id", F.col("Id").alias("id"), own.alias("t")).filter("t is not null")
+    rest = [c for c in wanted.columns if c not in ("doc_id", "id")]
+    rows = wanted.select("doc_id", "id", F.struct(*rest).alias("to")).unionByName(said, allowMissingColumns=True).repartition("doc_id")
+    met = rows.withColumn("t", F.max("t").over(Window.partitionBy("doc_id", "id"))).filter("to is not null")
+    return met.select("doc_id", "id", "to.*", "t")
+
+
+def _joined(*order: str) -> Column:
+    """The texts of a group, in the order of these columns, with spaces between."""
+    return F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x[order[-1]]), lambda t: t.isNotNull()), " ")
+
+
+def _piece_rows(found: DataFrame) -> DataFrame:
+    """A row for each piece: doc_id, id, n, and the columns of its element; an element without pieces has one without id."""
+    return found.select("*", F.posexplode_outer("pieces").alias("n", "id")).drop("pieces")
+
+
+def elements(table: DataFrame) -> DataFrame:
+    """doc_id, page_number, element_order (from 0), kind, block_id, text of each page's elements in reading order.
+
+    ``table`` is as ``ocr.blocks`` gives it, best from a written table, as several joins read it. Elements without text
+    are left out, tables have none of their own.
+    """
+    found = stage(_placed_elements(table), "placed")
+    speakers = table.filter(F.col("BlockType").startswith("LAYOUT") | (F.col("BlockType") == "LINE"))
+    rows = _with_texts(_piece_rows(found), speakers).groupBy("doc_id", "page_number", "element_order", "kind", "block_id").agg(_joined("n", "t").alias("text"))
+    return rows.withColumn("text", F.when(F.col("kind") != "table", F.col("text")))
 
 
 def warnings(table: DataFrame) -> DataFrame:
@@ -155,23 +186,30 @@ def nodes(table: DataFrame, version: str = "1") -> DataFrame:
     doc_id, page_number, element_order, cell_order (null for elements), kind, element_id, node_id, block_id, text, row,
     column, row_span, column_span.
     """
-    found = elements(table).withColumn("path", F.format_string("pages[%d].elements[%d]", "page_number", "element_order"))
-    found = stage(ocr.node_ids(found, version).withColumnRenamed("node_id", "element_id"), "elements")
+    found = stage(_placed_elements(table), "placed")
+    place = ["row", "column", "row_span", "column_span"]
     nothing = F.lit(None).cast("int")
-    plain = found.filter("kind <> 'table'").select(
-        "doc_id", "page_number", "element_order", nothing.alias("cell_order"), "kind", "element_id", F.col("element_id").alias("node_id"),
-        "block_id", "text", *(nothing.alias(c) for c in ("row", "column", "row_span", "column_span")),
-    )
-    cells = placed_cells(ocr.cells(table), ["doc_id", "Page", "table_id"]).filter("state <> 'hidden'")
-    cells = cells.select("doc_id", F.col("table_id").alias("block_id"), F.col("merge_id").alias("cell_id"), "row", "column", "row_span", "column_span", F.col("text").alias("said"))
-    cells = found.filter("kind = 'table'").join(cells, ["doc_id", "block_id"])
-    nth = F.row_number().over(Window.partitionBy("doc_id", "element_id").orderBy("row", "column", "cell_id")) - 1
-    cells = cells.withColumn("cell_order", nth).withColumn("path", F.concat("path", F.format_string(".cells[%d]", "cell_order")))
-    cells = ocr.node_ids(cells, version).select(
-        "doc_id", "page_number", "element_order", "cell_order", F.lit("CELL").alias("kind"), "element_id", "node_id", F.col("cell_id").alias("block_id"),
-        F.col("said").alias("text"), "row", "column", "row_span", "column_span",
-    )
-    return plain.unionByName(cells)
+    node = ["doc_id", "page_number", "element_order", "cell_order", "kind", "block_id", *place]
+    plain = _piece_rows(found.filter("kind <> 'table'")).select(
+        *(nothing.alias(c) if c in ("cell_order", *place) else c for c in node), nothing.alias("r"), nothing.alias("c"), F.lit(None).cast("string").alias("cell"), "n", "id"
+    )
+    grid = stage(ocr.cell_grid(table), "grid")
+    shown = placed_cells(ocr.merged_cells(grid), ["doc_id", "Page", "table_id"]).filter("state <> 'hidden'").drop("Page", "state")
+    cells = found.filter("kind = 'table'").select("doc_id", "page_number", "element_order", F.col("block_id").alias("table_id")).join(shown, ["doc_id", "table_id"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "page_number", "element_order").orderBy("row", "column", "merge_id")) - 1
+    parts = grid.select("doc_id", "table_id", "merge_id", F.col("RowIndex").alias("r"), F.col("ColumnIndex").alias("c"), F.col("Id").alias("cell"), "own")
+    cells = cells.withColumn("cell_order", nth).join(parts, ["doc_id", "table_id", "merge_id"])
+    words = ocr.edges(table.filter("BlockType = 'CELL' AND Text IS NULL")).select("doc_id", F.col("parent").alias("cell"), F.col("order").alias("n"), "child")
+    cells = cells.join(words, ["doc_id", "cell"], "left")
+    cells = cells.withColumn("id", F.when(F.col("own"), F.col("cell")).otherwise(F.col("child"))).withColumn("kind", F.lit("CELL"))
+    cells = cells.withColumn("block_id", F.col("merge_id")).select(*node, "r", "c", "cell", "n", "id")
+    rows = _with_texts(plain.unionByName(cells), table).groupBy(*node, "r", "c", "cell").agg(_joined("n", "t").alias("t"))
+    said = F.when(F.col("t") != "", F.col("t"))
+    rows = rows.withColumn("t", said).groupBy(*node).agg(_joined("r", "c", "t").alias("text"))
+    out = ocr.node_ids(rows.withColumn("path", F.format_string("pages[%d].elements[%d]", "page_number", "element_order")), version)
+    in_table = F.when(F.col("cell_order").isNotNull(), F.concat("path", F.format_string(".cells[%d]", "cell_order"))).otherwise(F.col("path"))
+    out = ocr.node_ids(out.withColumnRenamed("node_id", "element_id").withColumn("path", in_table), version)
+    return out.select(*node[:4], "kind", "element_id", "node_id", "block_id", "text", *place)
 
 
 def _attr(name: str, value: Column) -> Column:
@@ -188,7 +226,8 @@ def page_html(found: DataFrame, html: str | None = None) -> DataFrame:
     cell = F.concat(F.lit("<td"), spans, named, F.lit(">"), inner, F.lit("</td>"))
     joined = lambda c, *keys: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, c))), lambda x: x[c]), "")
     page = ["doc_id", "page_number"]
-    found = found.withColumn("piece", F.when(F.col("cell_order").isNull(), plain).otherwise(cell))
+    # All groupings below, and the documents made of pages, are of rows that this one exchange has brought together.
+    found = found.repartition("doc_id").withColumn("piece", F.when(F.col("cell_order").isNull(), plain).otherwise(cell))
     rows = found.groupBy(*page, "element_order", "element_id", "row").agg(joined("piece", "cell_order").alias("piece"), F.first("kind").alias("kind"))
     rows = rows.withColumn("piece", F.when(F.col("row").isNotNull(), F.concat(F.lit("<tr>"), "piece", F.lit("</tr>"))).otherwise(F.col("piece")))
     whole = rows.groupBy(*page, "element_order", "element_id").agg(joined("piece", "row").alias("piece"), F.first("kind").alias("kind"), F.max("row").alias("row"))

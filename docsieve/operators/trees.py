@@ -63,24 +63,24 @@ def cyclic_trees(edges: DataFrame, tree: list[str], most: int = MOST_DEPTH) -> D
     return left.select(*tree).distinct()
 
 
-def fold_up(nodes: DataFrame, tree: list[str], value: Column, name: str) -> DataFrame:
+def fold_up(nodes: DataFrame, tree: list[str], value: Column, name: str, kind: str = "string") -> DataFrame:
     """``nodes`` (as ``with_paths`` gives them) with a value for each, folded from the deepest level up.
 
-    ``value`` is an expression over a node's columns and ``children``, the values of its children in their order.
+    ``value`` is an expression over a node's columns and ``children``, the values (of type ``kind``) of its children in their order.
     """
     depths = sorted((r[0] for r in nodes.select("depth").distinct().collect()), reverse=True)
     out, below = [], None
     for depth in depths:
         level = nodes.filter(F.col("depth") == depth)
         if below is None:
-            level = level.withColumn("children", F.array().cast("array<string>"))
+            level = level.withColumn("children", F.array().cast(f"array<{kind}>"))
         else:
             given = below.groupBy(*tree, F.col("parent").alias("id")).agg(
                 F.transform(F.array_sort(F.collect_list(F.struct("place", "id", name))), lambda x: x[name]).alias("children")
             )
-            level = level.join(given, [*tree, "id"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+            level = level.join(given, [*tree, "id"], "left").withColumn("children", F.coalesce("children", F.array().cast(f"array<{kind}>")))
         below = stage(level.withColumn(name, value).select(*nodes.columns, name), "fold")
         out.append(below)
     if not out:
-        return nodes.withColumn(name, F.lit(None).cast("string"))
+        return nodes.withColumn(name, F.lit(None).cast(kind))
     return reduce(DataFrame.unionByName, out)

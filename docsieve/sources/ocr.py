@@ -25,10 +25,10 @@ def blocks(responses: DataFrame) -> DataFrame:
     return out.withColumn("Page", F.coalesce("Page", F.lit(1)))
 
 
-def edges(table: DataFrame) -> DataFrame:
-    """Child relationships: doc_id, parent, child, order."""
-    rel = table.select("doc_id", F.col("Id").alias("parent"), F.explode("Relationships").alias("r")).filter("r.Type = 'CHILD'")
-    return rel.select("doc_id", "parent", F.posexplode("r.Ids").alias("order", "child"))
+def edges(table: DataFrame, *more: str) -> DataFrame:
+    """Child relationships: doc_id, parent, child, order, and ``more`` columns of the parents."""
+    rel = table.select("doc_id", F.col("Id").alias("parent"), *more, F.explode("Relationships").alias("r")).filter("r.Type = 'CHILD'")
+    return rel.select("doc_id", "parent", *more, F.posexplode("r.Ids").alias("order", "child"))
 
 
 def mark(kind: Column, status: Column) -> Column:
@@ -48,26 +48,30 @@ def texts(table: DataFrame) -> DataFrame:
     )
 
 
-def cells(table: DataFrame) -> DataFrame:
-    """Cells of tables in row-major order with their text; cells merged into one keep its anchor alone."""
-    grid = table.filter("BlockType = 'CELL'").drop("Text").join(texts(table), ["doc_id", "Id"])
-    of = edges(table)
-    tables = of.join(table.filter("BlockType = 'TABLE'").select("doc_id", F.col("Id").alias("parent")), ["doc_id", "parent"])
-    grid = grid.join(tables.select("doc_id", F.col("parent").alias("table_id"), F.col("child").alias("Id")), ["doc_id", "Id"])
-    merged = table.filter("BlockType = 'MERGED_CELL'").select("doc_id", F.col("Id").alias("parent"))
-    merged = of.join(merged, ["doc_id", "parent"]).select("doc_id", F.col("parent").alias("merge_id"), F.col("child").alias("Id"))
-    grid = grid.join(merged, ["doc_id", "Id"], "left").withColumn("merge_id", F.coalesce("merge_id", "Id"))
+def cell_grid(table: DataFrame) -> DataFrame:
+    """Cells of tables with table_id, merge_id (their own id where they are not merged) and whether they have own text."""
+    grid = table.filter("BlockType = 'CELL'").select("doc_id", "Page", "Id", "RowIndex", "ColumnIndex", "RowSpan", "ColumnSpan", F.col("Text").isNotNull().alias("own"))
+    of = lambda kind, name: edges(table.filter(F.col("BlockType") == kind)).select("doc_id", F.col("parent").alias(name), F.col("child").alias("Id"))
+    grid = grid.join(of("TABLE", "table_id"), ["doc_id", "Id"]).join(of("MERGED_CELL", "merge_id"), ["doc_id", "Id"], "left")
+    return grid.withColumn("merge_id", F.coalesce("merge_id", "Id"))
+
+
+def merged_cells(grid: DataFrame, *more: Column) -> DataFrame:
+    """Of the cells that are merged into one its anchor and spans; ``more`` are other aggregates."""
     end = lambda i, s: F.max(F.col(i) + F.coalesce(s, F.lit(1)) - 1)
-    rows = F.array_sort(F.collect_list(F.struct("RowIndex", "ColumnIndex", "text")))
     out = grid.groupBy("doc_id", "Page", "table_id", "merge_id").agg(
-        F.min("RowIndex").alias("row"), F.min("ColumnIndex").alias("column"), end("RowIndex", "RowSpan").alias("_r"),
-        end("ColumnIndex", "ColumnSpan").alias("_c"), rows.alias("parts"),
-    )
+        F.min("RowIndex").alias("row"), F.min("ColumnIndex").alias("column"), end("RowIndex", "RowSpan").alias("_r"), end("ColumnIndex", "ColumnSpan").alias("_c"), *more
+    )
+    out = out.withColumn("row_span", F.col("_r") - F.col("row") + 1).withColumn("column_span", F.col("_c") - F.col("column") + 1)
+    return out.drop("_r", "_c")
+
+
+def cells(table: DataFrame) -> DataFrame:
+    """Cells of tables in row-major order with their text; cells merged into one keep its anchor alone."""
+    grid = cell_grid(table).join(texts(table), ["doc_id", "Id"])
+    out = merged_cells(grid, F.array_sort(F.collect_list(F.struct("RowIndex", "ColumnIndex", "text"))).alias("parts"))
     said = F.array_join(F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != ""), " ")
-    return out.select(
-        "doc_id", "Page", "table_id", "merge_id", "row", "column", (F.col("_r") - F.col("row") + 1).alias("row_span"),
-        (F.col("_c") - F.col("column") + 1).alias("column_span"), said.alias("text"),
-    )
+    return out.withColumn("text", said).drop("parts")
 
 
 def uncovered_lines(table: DataFrame) -> DataFrame:

@@ -181,3 +181,20 @@ def test_nodes_read_back(spark, response):
     cells = {r.block_id: (r.row, r.column, r.row_span, r.column_span, r.text) for r in want if r.row}
     assert cells["m"] == (1, 1, 2, 1, "word1 word3") and cells["c2"] == (1, 2, 1, 1, "word2")
     assert len({r.node_id for r in want}) == len(want)
+
+
+def test_layout_moves_ids_not_texts(response):
+    forest = assembly.layout_forest(response)
+    assert "text" not in forest.columns and "said" not in forest.columns
+    got = {r.id: r.pieces for r in forest.collect()}
+    assert (got["h"], got["list"], got["e"], got["l5"]) == (["l1", "l2"], ["l6", "l7", "l5"], [], ["l5"])
+
+
+def test_cells_with_own_texts_and_marks(spark):
+    rows = [
+        block("d", 0, "t", "TABLE", children=["c1", "c2", "c3"], top=0.1), block("d", 1, "c1", "CELL", text="own", row=1, column=1, children=["w1", "w2"]),
+        block("d", 2, "c2", "CELL", row=1, column=2, children=["w2", "s"]), block("d", 3, "c3", "CELL", row=2, column=1),
+        block("d", 4, "w1", "WORD", text="a"), block("d", 5, "w2", "WORD", text="b"), block("d", 6, "s", "SELECTION_ELEMENT"),
+    ]
+    got = {r.block_id: r.text for r in assembly.nodes(spark.createDataFrame(rows, BLOCKS)).collect()}
+    assert got == {"c1": "own", "c2": "b ☐", "c3": ""}
