@@ -50,7 +50,7 @@ def _bytes(path: str, start: int, stop: int) -> bytes:
 def _edge(path: str, at: int, size: int) -> int:
     """``at``, or the first place after it that no backslash stands before; so no chunk begins with an escaped sign."""
     while 0 < at < size:
-        some = _bytes(path, at - 1, min(size, at + 1 << 10))
+        some = _bytes(path, at - 1, min(size, at + (1 << 10)))
         for k, b in enumerate(some):
             if b != 0x5C:
                 return at + k

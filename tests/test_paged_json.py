@@ -98,3 +98,13 @@ def test_broken_files(spark, tmp_path, monkeypatch, chunk):
             raise AssertionError(name)
     with pytest.raises(paged_json.ArtifactError, match="ARTIFACT_MISSING"):
         paged_json.read_artifact(spark, str(tmp_path / "gone.json"))
+
+
+def test_edges_read_little(tmp_path, monkeypatch):
+    path = tmp_path / "a.json"
+    path.write_bytes(b"x" * 5000 + b"\\" * 3000 + b"y" * 2_000_000)
+    read, plain = [], paged_json._bytes
+    monkeypatch.setattr(paged_json, "_bytes", lambda p, a, b: read.append(b - a) or plain(p, a, b))
+    assert paged_json._edge(str(path), 1000, 2_008_000) == 1000
+    assert paged_json._edge(str(path), 6000, 2_008_000) == 8001
+    assert max(read) <= 1025
