@@ -2,15 +2,18 @@
 
 The decoder reads simple and normal prefix codes, code groups chosen by an entropy image, back-references with
 the short-distance map, the colour cache, and inverts the predictor, cross-colour, subtract-green and palette
-transforms. Where a group's codes all have one length and neither back-references nor cache can occur, its
-pixels are read with array operations; otherwise symbol by symbol.
+transforms. Where one group's red, blue and alpha are constant and there is no cache, its pixels are
+read with array operations; otherwise symbol by symbol.
 
-``encode_samples`` stores bytes as the green channel of images of 64 samples in a row with codes of eight bits;
-payloads of more than ``MAX_ROWS`` rows become several images, one after the other.
+``encode_samples`` stores bytes as the green channel of images of 64 samples in a row: repeats become back-references,
+literals, lengths and distances get prefix codes made of their own counts. Payloads of more than ``MAX_ROWS`` rows become
+several images, one after the other. Such pixel data is read by array operations too: what each place of the bit stream
+would decode to is looked up at once, then the true places are walked.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import struct
 
@@ -18,6 +21,9 @@ import numpy as np
 
 WIDTH, MAX_ROWS = 64, 16384
 SIGNATURE = 0x2F
+#: Bytes of a bit stream that are looked up at once; repeats of fewer samples stay literals; bits of the longest codes.
+STRIDE, LEAST_REPEAT, MOST_BITS = 1 << 15, 6, 11
+LONGEST, FARTHEST = 4096, (1 << 20) - 120
 # Fixed values of the format: order of code-length codes, alphabet sizes.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 GREEN_SIZE, CHANNEL_SIZE, DISTANCE_SIZE = 256 + 24, 256, 40
@@ -54,6 +60,10 @@ class Bits:
             raise ValueError("the image data ends early")
         return (word >> shift) & ((1 << n) - 1)
 
+    def ahead(self, n: int) -> int:
+        """The next ``n`` bits or more, which stay to be read; zeros from the end on."""
+        return int.from_bytes(self.data[self.pos >> 3 : (self.pos + n >> 3) + 1], "little") >> (self.pos & 7)
+
     def peek15(self) -> int:
         at, shift = divmod(self.pos, 8)
         return (int.from_bytes(self.data[at : at + 3], "little") >> shift) & 0x7FFF
@@ -63,6 +73,15 @@ def _reverse(code: int, n: int) -> int:
     return int(f"{code:0{n}b}"[::-1], 2) if n else 0
 
 
+@functools.lru_cache(maxsize=16)
+def _backwards(n: int) -> np.ndarray:
+    """Of each number of ``n`` bits the one with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for k in range(n):
+        out = np.concatenate([out, out + (1 << (n - 1 - k))])
+    return out
+
+
 class Code:
     """A canonical prefix code as a table over the next bits."""
 
@@ -77,26 +96,27 @@ class Code:
             return
         if sum(2.0**-n for n, _ in used) != 1:
             raise ValueError("a prefix code is not complete")
-        self.bits = max(n for n, _ in used)
-        self.symbols, self.sizes = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
-        code, last = 0, 0
-        for n, s in sorted(used):
-            code <<= n - last
-            last = n
-            self.symbols[_reverse(code, n) :: 1 << n] = s
-            self.sizes[_reverse(code, n) :: 1 << n] = n
-            code += 1
+        sizes, symbols = np.array(sorted(used), np.int32).T
+        self.bits = int(sizes[-1])
+        back, room = _backwards(self.bits), 1 << (self.bits - sizes)
+        self.symbols, self.sizes = np.repeat(symbols, room)[back], np.repeat(sizes, room)[back]
         self.mask = (1 << self.bits) - 1
-        self.symbol_list, self.size_list = self.symbols.tolist(), self.sizes.tolist()
+        self.lists = None
 
     def next(self, b: Bits) -> int:
         if self.only is not None:
             return self.only
+        if self.lists is None:
+            self.lists = self.symbols.tolist(), self.sizes.tolist()
         at = b.peek15() & self.mask
-        b.pos += self.size_list[at]
+        b.pos += self.lists[1][at]
         if b.pos > b.end:
             raise ValueError("the image data ends early")
-        return self.symbol_list[at]
+        return self.lists[0][at]
+
+
+#: Of the symbols for runs of code lengths the further bits and the shortest run.
+_RUNS = {16: (2, 3), 17: (3, 3), 18: (7, 11)}
 
 
 def _read_code(b: Bits, size: int) -> Code:
@@ -114,27 +134,29 @@ def _read_code(b: Bits, size: int) -> Code:
     how = Code(kinds)
     most = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
     lengths: list[int] = []
-    last = 8
+    last, n = 8, 0
+    word = b.ahead(14 * size)  # a length takes seven bits and up to seven more
+    symbols, sizes, mask = ([how.only], [0], 0) if how.only is not None else (how.symbols.tolist(), how.sizes.tolist(), how.mask)
     while len(lengths) < size and most:
         most -= 1
-        s = how.next(b)
+        s, n = symbols[word & mask], sizes[word & mask]
+        word >>= n
+        b.pos += n
         if s < 16:
             lengths.append(s)
             last = s or last
         else:
-            n, value = _repeat(b, s, last)
-            lengths += [value] * n
+            more, base = _RUNS[s]
+            lengths += [last if s == 16 else 0] * (base + (word & (1 << more) - 1))
+            word >>= more
+            b.pos += more
+    if b.pos > b.end:
+        raise ValueError("the image data ends early")
     if len(lengths) > size:
         raise ValueError("a run of code lengths is too long")
     return Code(lengths + [0] * (size - len(lengths)))
 
 
-def _repeat(b: Bits, s: int, last: int) -> tuple[int, int]:
-    if s == 16:
-        return 3 + b.read(2), last
-    return (3 + b.read(3), 0) if s == 17 else (11 + b.read(7), 0)
-
-
 _KNOWN: dict[tuple[int, ...], list[tuple[int, int, list[Code]]]] = {}
 
 
@@ -178,6 +200,8 @@ def _image(b: Bits, w: int, h: int, top: bool) -> np.ndarray:
     codes = [_read_group(b, sizes) for _ in range(groups)]
     if which is None and _plain(codes[0]):
         return _read_plain(b, w * h, codes[0])
+    if which is None and not cache_bits and all(c.only is not None for c in codes[0][1:4]) and codes[0][0].only is None:
+        return _read_green(b, w, w * h, codes[0])
     out = [0] * (w * h)
     cache = [0] * (1 << cache_bits) if cache_bits else []
     at, shift = 0, 32 - cache_bits
@@ -235,6 +259,89 @@ def _read_plain(b: Bits, n: int, g: list[Code]) -> np.ndarray:
     return g[0].symbols[raw].astype(np.uint32) << 8 | rest
 
 
+@functools.lru_cache(maxsize=64)
+def _near(w: int) -> np.ndarray:
+    """The distances in pixels that the short distances 0 (unused) to 120 stand for."""
+    return np.array([0, *(max(1, dx + dy * w) for dx, dy in NEAR)], np.int64)
+
+
+def _values(words: np.ndarray, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefix symbols and the bits at ``at``; how many bits each takes."""
+    extra = np.maximum(s - 2, 0) >> 1
+    bits = (words[at >> 3] >> (at & 7)) & ((1 << extra) - 1)
+    return np.where(s < 4, s, ((2 + (s & 1)) << extra) + bits) + 1, extra
+
+
+def _read_green(b: Bits, w: int, n: int, g: list[Code]) -> np.ndarray:
+    """Pixels of one group whose red, blue and alpha are constant: literals and back-references of green."""
+    green, far = g[0], g[4]
+    both = green.symbols << 4 | green.sizes
+    out, at = bytearray(n), 0
+    while at < n:
+        if b.pos >= b.end:
+            raise ValueError("the image data ends early")
+        base, span = b.pos >> 3, min(STRIDE, (b.end + 7 >> 3) - (b.pos >> 3))
+        raw = np.zeros(span + 16, np.int64)
+        some = np.frombuffer(b.data, np.uint8, min(span + 16, len(b.data) - base), base)
+        raw[: len(some)] = some
+        words = raw[:-5] | raw[1:-4] << 8 | raw[2:-3] << 16 | raw[3:-2] << 24 | raw[4:-1] << 32  # from each byte on, 40 bits
+        index = ((words[:span].astype(np.int32)[:, None] >> np.arange(8, dtype=np.int32)) & green.mask).reshape(-1)
+        found = both[index]
+        after = (found & 15) + np.arange(8 * span, dtype=np.int32)
+        copies = np.flatnonzero(found >= 256 << 4)
+        place = after[copies].astype(np.int64)
+        length, extra = _values(words, place, (found[copies] >> 4).astype(np.int64) - 256)
+        place = place + extra
+        if far.only is None:
+            index = (words[place >> 3] >> (place & 7)) & far.mask
+            s, place = far.symbols[index].astype(np.int64), place + far.sizes[index]
+        else:
+            s = np.full(len(copies), far.only, np.int64)
+        # A distance has up to 18 bits more; these lie in the next five bytes of the place.
+        distance, extra = _values(words, np.minimum(place, 8 * len(words) - 1), s)
+        after[copies] = place + extra
+        # The walk takes four symbols at a time; places from ``stop`` on stay where they are.
+        stop = min(8 * span, b.end - 8 * base)
+        after = np.concatenate([after[:stop], np.arange(stop, stop + 64, dtype=np.int32)])
+        two = after[after]
+        steps, p, walked = memoryview(two[two]), b.pos & 7, []
+        while p < stop:
+            walked.append(p)
+            p = steps[p]
+        walked = np.array(walked, np.int64)
+        walked = np.stack([walked, after[walked], two[walked], after[two[walked]]], 1).reshape(-1)
+        walked = walked[walked < stop]
+        taken, which = found[walked] >> 4, np.searchsorted(copies, walked)
+        is_copy = taken >= 256
+        which = which[is_copy]
+        sizes = np.ones(len(walked), np.int64)
+        sizes[is_copy] = length[which]
+        ends = at + np.cumsum(sizes)
+        last = int(np.searchsorted(ends, n))  # bits after the last pixel are no pixels
+        if last < len(ends):
+            if ends[last] > n:
+                raise ValueError("a back-reference leaves the image")
+            p = int(after[walked[last]])
+            taken, is_copy, sizes, ends = taken[: last + 1], is_copy[: last + 1], sizes[: last + 1], ends[: last + 1]
+            which = which[: int(is_copy.sum())]
+        if 8 * base + p > b.end:
+            raise ValueError("the image data ends early")
+        starts = ends - sizes
+        np.frombuffer(out, np.uint8)[starts[~is_copy]] = taken[~is_copy]
+        d = distance[which]
+        d = np.where(d > 120, d - 120, _near(w)[np.minimum(d, 120)])
+        if (d > starts[is_copy]).any():
+            raise ValueError("a back-reference leaves the image")
+        for k, m, back in zip(starts[is_copy].tolist(), sizes[is_copy].tolist(), d.tolist(), strict=True):
+            if back >= m:
+                out[k : k + m] = out[k - back : k - back + m]
+            else:
+                out[k : k + m] = (out[k - back : k] * (m // back + 1))[:m]
+        at, b.pos = int(ends[-1]), 8 * base + p
+    rest = np.uint32(g[3].only << 24 | g[1].only << 16 | g[2].only)
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << 8 | rest
+
+
 def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) & 255
 
@@ -367,32 +474,169 @@ class Writer:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
 
-_REVERSED = np.array([_reverse(x, 8) for x in range(256)], np.uint8)
+def code_lengths(counts: np.ndarray, most: int) -> list[int]:
+    """Lengths of a prefix code for these counts, none above ``most``; small counts are raised until that holds."""
+    used = np.flatnonzero(counts)
+    lengths, m, floor = [0] * len(counts), len(used), 1
+    if m == 1:
+        lengths[used[0]] = 1
+    while m > 1:
+        weights = np.maximum(counts[used], floor)
+        order = np.argsort(weights, kind="stable")
+        weights = [*weights[order].tolist(), *[0] * (m - 1)]
+        above, leaf, inner = [0] * (2 * m - 1), 0, m
+        for k in range(m, 2 * m - 1):  # the two lightest of the leaves and of the inner nodes, which are in order too
+            for _ in range(2):
+                if leaf < m and (inner >= k or weights[leaf] <= weights[inner]):
+                    one, leaf = leaf, leaf + 1
+                else:
+                    one, inner = inner, inner + 1
+                weights[k] += weights[one]
+                above[one] = k
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= most:
+            for k, symbol in enumerate(used[order].tolist()):
+                lengths[symbol] = depth[k]
+            break
+        floor *= 2
+    return lengths
+
+
+def _codes(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol its code, as it is written, and the bits that it takes: none where it is the only one."""
+    sizes = np.array(lengths, np.int64)
+    used = np.flatnonzero(sizes)
+    codes = np.zeros(len(sizes), np.int64)
+    if len(used) < 2:
+        return codes, codes
+    used = used[np.argsort(sizes[used], kind="stable")]
+    bits = int(sizes[used[-1]])
+    room = 1 << (bits - sizes[used])
+    codes[used] = _backwards(bits)[np.cumsum(room) - room]
+    return codes, sizes
+
+
+def _put_symbol(out: Writer, symbol: int) -> None:
+    """Write a code of one symbol below 256, which takes no bits."""
+    for value, n in ((1, 1), (0, 1), (symbol > 1, 1), (symbol, 8 if symbol > 1 else 1)):
+        out.put(value, n)
 
 
-@functools.lru_cache(maxsize=1024)
-def _head(w: int, h: int) -> Writer:
-    """Header and codes of an image whose green samples take eight bits each; the rest is constant."""
-    out = Writer()
-    for value, n in ((SIGNATURE, 8), (w - 1, 14), (h - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        out.put(value, n)
-    # Green: 256 lengths of 8, then 24 of 0, written with a code of the lengths 8 (one bit) and 0-runs (one bit).
+def _put_code(out: Writer, lengths: list[int]) -> None:
+    """Write a code: one symbol below 256 as such, others by their lengths, runs of none in short."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) < 2:
+        _put_symbol(out, used[0] if used else 0)
+        return
+    said, at = [], 0  # symbol, further bits, how many
+    for s in [*used, len(lengths)]:
+        while s - at >= 3:
+            run = min(s - at, 138)
+            said.append((17, run - 3, 3) if run < 11 else (18, run - 11, 7))
+            at += run
+        said += [(0, 0, 0)] * (s - at)
+        if s < len(lengths):
+            said.append((lengths[s], 0, 0))
+        at = s + 1
+    kinds = code_lengths(np.bincount([s for s, _, _ in said], minlength=19), 7)
+    n = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if kinds[s]))
     out.put(0, 1)
-    kinds = {8: 1, 18: 1}
-    out.put(12 - 4, 4)
-    for k in CODE_LENGTH_ORDER[:12]:
-        out.put(kinds.get(k, 0), 3)
+    out.put(n - 4, 4)
+    for k in CODE_LENGTH_ORDER[:n]:
+        out.put(kinds[k], 3)
     out.put(0, 1)
-    for _ in range(256):
-        out.put(0, 1)
-    out.put(1, 1)
-    out.put(24 - 11, 7)
-    for value in (0, 0, 255, 0):  # red, blue, alpha, distance: one symbol each
-        out.put(1, 1)
-        out.put(0, 1)
-        out.put(value > 1, 1)
-        out.put(value, 8 if value > 1 else 1)
-    return out
+    codes, sizes = (x.tolist() for x in _codes(kinds))
+    for s, more, bits in said:
+        out.put(codes[s] | more << sizes[s], sizes[s] + bits)
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, further bits and how many of them for lengths or distances."""
+    x = values - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + (x >> np.maximum(extra, 0) & 1)), x & ((1 << extra) - 1), extra
+
+
+def _repeats(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of back-references, taken greedily from the left.
+
+    A place may refer to the last one with the same four samples; while the distance stays, the repeat goes on.
+    """
+    wide, n = data.astype(np.uint64), len(data) - 3
+    keys = np.sort((wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24) << 32 | np.arange(n, dtype=np.uint64))
+    gap = np.diff(keys).view(np.int64)  # under 2^32 where the samples are the same: then the distance
+    gap[gap > FARTHEST] = 0
+    back = np.zeros(n + 1, np.int64)
+    back[(keys[1:] & 0xFFFFFFFF).astype(np.int64)] = gap
+    ends = np.flatnonzero(back[1:] != back[:-1]) + 1
+    begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+    long = (ends - begins + 3 >= LEAST_REPEAT) & (back[begins] > 0) if len(ends) else np.zeros(0, bool)
+    begins, room = begins[: len(ends)][long], (ends - begins[: len(ends)])[long] + 4 - LEAST_REPEAT
+    # Places whose repeat is long enough: of each run of one distance all but the last few.
+    nth = np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room)
+    at, sizes = (np.repeat(begins, room) + nth).tolist(), (np.repeat(room, room) - nth + LEAST_REPEAT - 1).tolist()
+    starts, lengths, k = [], [], 0
+    while k < len(at):
+        n = min(sizes[k], LONGEST)
+        starts.append(at[k])
+        lengths.append(n)
+        k = bisect.bisect_left(at, at[k] + n, k + 1)
+    starts = np.array(starts, np.int64)
+    return starts, np.array(lengths, np.int64), back[starts]
+
+
+def _stored(part: np.ndarray) -> bytes:
+    """The data of one image whose green samples these are."""
+    starts, lengths, back = _repeats(part)
+    near = np.zeros(WIDTH * 8, np.int64)
+    near[_near(WIDTH)[:0:-1]] = np.arange(120, 0, -1)
+    short = near[np.minimum(back, len(near) - 1)] * (back < len(near))
+    size_symbol, size_more, size_bits = _prefixed(lengths)
+    far_symbol, far_more, far_bits = _prefixed(np.where(short > 0, short, back + 120))
+    covered = np.zeros(len(part) + 1, np.int64)
+    covered[starts] += 1
+    covered[starts + lengths] -= 1
+    literal = np.cumsum(covered[:-1]) == 0
+    symbols = part.astype(np.int64)
+    symbols[starts] = 256 + size_symbol
+    literal[starts] = True
+    places = np.flatnonzero(literal)
+    symbols = symbols[places]
+    copies = np.searchsorted(places, starts)
+    greens = code_lengths(np.bincount(symbols, minlength=GREEN_SIZE), MOST_BITS)
+    fars = code_lengths(np.bincount(far_symbol, minlength=DISTANCE_SIZE), MOST_BITS)
+    out = Writer()
+    for value, n in ((SIGNATURE, 8), (WIDTH - 1, 14), (len(part) // WIDTH - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+        out.put(value, n)
+    _put_code(out, greens)
+    for value in (0, 0, 255):  # red, blue, alpha: one symbol each
+        _put_symbol(out, value)
+    _put_code(out, fars)
+    (codes, bits), (far_codes, far_sizes) = _codes(greens), _codes(fars)
+    values, widths = codes[symbols], bits[symbols]
+    for more, n in ((size_more, size_bits), (far_codes[far_symbol], far_sizes[far_symbol]), (far_more, far_bits)):
+        values[copies] |= more << widths[copies]
+        widths[copies] += n
+    at = out.n + np.cumsum(widths) - widths
+    total = out.n + int(widths.sum())
+    body = np.zeros(total + 7 >> 3, np.uint8)
+    head = np.frombuffer(out.done(), np.uint8)
+    body[: len(head)] = head
+    values <<= at & 7
+    for k in range(8):  # byte by byte of each value; bits of different values do not meet
+        if k == 3:
+            values, at = values[copies], at[copies]
+        piece = values >> 8 * k & 255
+        if k > 1:  # most values end before
+            full = np.flatnonzero(piece)
+            piece, to = piece[full], (at[full] >> 3) + k
+        else:
+            to = np.minimum((at >> 3) + k, len(body) - 1)
+        body += np.bincount(to, piece, len(body)).astype(np.uint8)
+    return body.tobytes()
 
 
 def encode_samples(payload: bytes) -> bytes:
@@ -401,17 +645,7 @@ def encode_samples(payload: bytes) -> bytes:
         raise ValueError("the payload must fill whole rows")
     out = []
     for at in range(0, len(payload), WIDTH * MAX_ROWS):
-        part = np.frombuffer(payload, np.uint8, min(WIDTH * MAX_ROWS, len(payload) - at), at)
-        head = _head(WIDTH, len(part) // WIDTH)
-        shift = head.n % 8
-        codes = _REVERSED[part].astype(np.uint16) << shift
-        body = np.zeros(len(part) + 1, np.uint8)
-        body[:-1] = codes & 255
-        body[1:] |= (codes >> 8).astype(np.uint8)
-        start = bytearray(head.done())
-        if shift:
-            body[0] |= start.pop()
-        data = bytes(start) + body.tobytes()
+        data = _stored(np.frombuffer(payload, np.uint8, min(WIDTH * MAX_ROWS, len(payload) - at), at))
         data += b"\0" * (len(data) & 1)
         out.append(b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data)
     return b"".join(out)

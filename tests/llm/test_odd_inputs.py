@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,55 @@ def test_mix_query_meets_its_contract(spark, sf_dir):
         assert g["size"] == r.size and g.source_size == sizes[r.source] and abs(g.target - target[r.source]) < 1e-6 * max(1, target[r.source]) and g.taken <= 3 * r.size
     taken = got.join(docs.set_index("doc_id").source).groupby("source").taken.sum()
     assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 64 for s in names)
+
+
+def test_payloads_are_read_through_their_codes(monkeypatch):
+    from docsieve.llm import media, webp
+
+    seen, plain = [], webp._read_green
+
+    def watched(b, w, n, g):
+        seen.append((len(g[0].uniform), any(g[0].lengths[256:])))
+        return plain(b, w, n, g)
+
+    monkeypatch.setattr(webp, "_read_green", watched)
+    rng = random.Random(6)
+    for n in (1, 63, 500, 20_000):
+        words = ["".join(rng.choice("etaoin shrdlu") for _ in range(9)) for _ in range(20)]
+        payload = media.payload_of(" ".join(rng.choice(words) for _ in range(n)))[0]
+        stored = webp.encode_samples(payload)
+        assert webp.decode_samples(stored).tobytes() == payload and len(stored) < len(payload) + 64
+    assert len(seen) == 4 and all(kinds > 1 for kinds, _ in seen[1:]) and all(copies for _, copies in seen)
+
+
+def test_array_reader_equals_the_walk_by_symbols(monkeypatch):
+    from docsieve.llm import webp
+
+    rng = random.Random(7)
+    data = bytes(rng.choice(b"abcdefghij" * 3 + bytes(range(256))) for _ in range(64 * 40)) * 3 + b"q" * 64 * 90 + b"ab" * 640
+    stored = webp.encode_samples(data)
+    monkeypatch.setattr(webp, "STRIDE", 97)
+    quick = webp.decode(stored)[0]
+    monkeypatch.setattr(webp, "_image", lambda b, w, h, top: by_symbols(b, w, h))
+
+    def by_symbols(b, w, h):
+        b.read(1), b.read(1)
+        g = webp._read_group(b, (webp.GREEN_SIZE, *[webp.CHANNEL_SIZE] * 3, webp.DISTANCE_SIZE))
+        out = []
+        while len(out) < w * h:
+            s = g[0].next(b)
+            if s < 256:
+                out.append(s)
+                continue
+            n, d = webp._extended(b, s - 256), webp._extended(b, g[4].next(b))
+            if d > 120:
+                d -= 120
+            else:
+                dx, dy = webp.NEAR[d - 1]
+                d = max(1, dx + dy * w)
+            for _ in range(n):
+                out.append(out[-d])
+        return np.array(out, np.uint32) << 8 | np.uint32(0xFF000000)
+
+    assert (webp.decode(stored)[0] == quick).all()
+    assert (quick >> 8 & 255).astype(np.uint8).tobytes() == data
