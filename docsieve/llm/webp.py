@@ -13,7 +13,6 @@ would decode to is looked up at once, then the true places are walked.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import struct
 
@@ -86,18 +85,17 @@ class Code:
     """A canonical prefix code as a table over the next bits."""
 
     def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.only = used[0][1] if len(used) == 1 else None
-        self.lengths = lengths
-        if not used:
-            self.only = 0
-        self.uniform = {n for n, _ in used}
+        self.lengths, self.uniform = lengths, set(lengths) - {0}
+        symbols = np.frombuffer(bytes(lengths), np.uint8).nonzero()[0].astype(np.int32)
+        self.only = None if len(symbols) > 1 else int(symbols[0]) if len(symbols) else 0
         if self.only is not None:
             return
-        if sum(2.0**-n for n, _ in used) != 1:
-            raise ValueError("a prefix code is not complete")
-        sizes, symbols = np.array(sorted(used), np.int32).T
+        sizes = np.frombuffer(bytes(lengths), np.uint8)[symbols].astype(np.int32)
+        order = sizes.argsort(kind="stable")
+        sizes, symbols = sizes[order], symbols[order]
         self.bits = int(sizes[-1])
+        if int((1 << self.bits - sizes).sum()) != 1 << self.bits:
+            raise ValueError("a prefix code is not complete")
         back, room = _backwards(self.bits), 1 << (self.bits - sizes)
         self.symbols, self.sizes = np.repeat(symbols, room)[back], np.repeat(sizes, room)[back]
         self.mask = (1 << self.bits) - 1
@@ -115,6 +113,15 @@ class Code:
         return self.lists[0][at]
 
 
+@functools.lru_cache(maxsize=1024)
+def _simple(size: int, *symbols: int) -> Code:
+    """The code of one or two symbols."""
+    lengths = [0] * size
+    for s in symbols:
+        lengths[s] = 1
+    return Code(lengths)
+
+
 #: Of the symbols for runs of code lengths the further bits and the shortest run.
 _RUNS = {16: (2, 3), 17: (3, 3), 18: (7, 11)}
 
@@ -122,15 +129,13 @@ _RUNS = {16: (2, 3), 17: (3, 3), 18: (7, 11)}
 def _read_code(b: Bits, size: int) -> Code:
     if b.read(1):  # simple: one or two symbols
         two = b.read(1)
-        lengths = [0] * size
         first = b.read(8 if b.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[b.read(8)] = 1
-        return Code(lengths)
-    kinds = [0] * 19
-    for k in CODE_LENGTH_ORDER[: 4 + b.read(4)]:
-        kinds[k] = b.read(3)
+        return _simple(size, first, b.read(8)) if two else _simple(size, first)
+    kinds, n = [0] * 19, 4 + b.read(4)
+    word = b.read(3 * n)
+    for k in CODE_LENGTH_ORDER[:n]:
+        kinds[k] = word & 7
+        word >>= 3
     how = Code(kinds)
     most = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
     lengths: list[int] = []
@@ -164,10 +169,11 @@ def _read_group(b: Bits, sizes: tuple[int, ...]) -> list[Code]:
     """The five codes of a group; one that was read before is known again by its bits."""
     known = _KNOWN.setdefault(sizes, [])
     at, left = b.pos, b.end - b.pos
+    word = b.ahead(max((n for n, _, _ in known), default=0))
     for n, bits, codes in known:
-        if n <= left and b.read(n) == bits:
+        if n <= left and word & (1 << n) - 1 == bits:
+            b.pos += n
             return codes
-        b.pos = at
     codes = [_read_code(b, n) for n in sizes]
     n, b.pos = b.pos - at, at
     known.insert(0, (n, b.read(n), codes))
@@ -275,7 +281,7 @@ def _values(words: np.ndarray, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarra
 def _read_green(b: Bits, w: int, n: int, g: list[Code]) -> np.ndarray:
     """Pixels of one group whose red, blue and alpha are constant: literals and back-references of green."""
     green, far = g[0], g[4]
-    both = green.symbols << 4 | green.sizes
+    both = (green.symbols << 4 | green.sizes).astype(np.int64)
     out, at = bytearray(n), 0
     while at < n:
         if b.pos >= b.end:
@@ -286,11 +292,11 @@ def _read_green(b: Bits, w: int, n: int, g: list[Code]) -> np.ndarray:
         raw[: len(some)] = some
         words = raw[:-5] | raw[1:-4] << 8 | raw[2:-3] << 16 | raw[3:-2] << 24 | raw[4:-1] << 32  # from each byte on, 40 bits
         index = ((words[:span].astype(np.int32)[:, None] >> np.arange(8, dtype=np.int32)) & green.mask).reshape(-1)
-        found = both[index]
-        after = (found & 15) + np.arange(8 * span, dtype=np.int32)
+        found = both[index.astype(np.int64)]  # 64 bits: numpy looks up other indices at twice the time
+        after = (found & 15) + np.arange(8 * span)
         copies = np.flatnonzero(found >= 256 << 4)
-        place = after[copies].astype(np.int64)
-        length, extra = _values(words, place, (found[copies] >> 4).astype(np.int64) - 256)
+        place = after[copies]
+        length, extra = _values(words, place, (found[copies] >> 4) - 256)
         place = place + extra
         if far.only is None:
             index = (words[place >> 3] >> (place & 7)) & far.mask
@@ -302,7 +308,7 @@ def _read_green(b: Bits, w: int, n: int, g: list[Code]) -> np.ndarray:
         after[copies] = place + extra
         # The walk takes four symbols at a time; places from ``stop`` on stay where they are.
         stop = min(8 * span, b.end - 8 * base)
-        after = np.concatenate([after[:stop], np.arange(stop, stop + 64, dtype=np.int32)])
+        after = np.concatenate([after[:stop], np.arange(stop, stop + 64)])
         two = after[after]
         steps, p, walked = memoryview(two[two]), b.pos & 7, []
         while p < stop:
@@ -486,13 +492,16 @@ def code_lengths(counts: np.ndarray, most: int) -> list[int]:
         weights = [*weights[order].tolist(), *[0] * (m - 1)]
         above, leaf, inner = [0] * (2 * m - 1), 0, m
         for k in range(m, 2 * m - 1):  # the two lightest of the leaves and of the inner nodes, which are in order too
-            for _ in range(2):
-                if leaf < m and (inner >= k or weights[leaf] <= weights[inner]):
-                    one, leaf = leaf, leaf + 1
-                else:
-                    one, inner = inner, inner + 1
-                weights[k] += weights[one]
-                above[one] = k
+            if leaf < m and (inner >= k or weights[leaf] <= weights[inner]):
+                one, leaf = leaf, leaf + 1
+            else:
+                one, inner = inner, inner + 1
+            if leaf < m and (inner >= k or weights[leaf] <= weights[inner]):
+                two, leaf = leaf, leaf + 1
+            else:
+                two, inner = inner, inner + 1
+            weights[k] = weights[one] + weights[two]
+            above[one] = above[two] = k
         depth = [0] * (2 * m - 1)
         for k in range(2 * m - 3, -1, -1):
             depth[k] = depth[above[k]] + 1
@@ -520,8 +529,7 @@ def _codes(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _put_symbol(out: Writer, symbol: int) -> None:
     """Write a code of one symbol below 256, which takes no bits."""
-    for value, n in ((1, 1), (0, 1), (symbol > 1, 1), (symbol, 8 if symbol > 1 else 1)):
-        out.put(value, n)
+    out.put(1 | (4 | symbol << 3 if symbol > 1 else symbol << 3), 11 if symbol > 1 else 4)
 
 
 def _put_code(out: Writer, lengths: list[int]) -> None:
@@ -544,12 +552,13 @@ def _put_code(out: Writer, lengths: list[int]) -> None:
     n = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if kinds[s]))
     out.put(0, 1)
     out.put(n - 4, 4)
-    for k in CODE_LENGTH_ORDER[:n]:
-        out.put(kinds[k], 3)
-    out.put(0, 1)
+    out.put(sum(kinds[k] << 3 * i for i, k in enumerate(CODE_LENGTH_ORDER[:n])), 3 * n + 1)  # the last bit: all symbols
     codes, sizes = (x.tolist() for x in _codes(kinds))
+    value = n = 0
     for s, more, bits in said:
-        out.put(codes[s] | more << sizes[s], sizes[s] + bits)
+        value |= (codes[s] | more << sizes[s]) << n
+        n += sizes[s] + bits
+    out.put(value, n)
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -565,34 +574,45 @@ def _repeats(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A place may refer to the last one with the same four samples; while the distance stays, the repeat goes on.
     """
-    wide, n = data.astype(np.uint64), len(data) - 3
-    keys = np.sort((wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24) << 32 | np.arange(n, dtype=np.uint64))
-    gap = np.diff(keys).view(np.int64)  # under 2^32 where the samples are the same: then the distance
+    n = len(data) - 3
+    four = np.empty(n, np.uint64)
+    for k in range(4):
+        some = data[k : k + (n - k + 3) // 4 * 4].view("<u4")
+        four[k::4] = some
+    keys = four << 32
+    keys |= np.arange(n, dtype=np.uint64)
+    keys.sort()
+    gap = (keys[1:] - keys[:-1]).view(np.int64)  # under 2^32 where the samples are the same: then the distance
     gap[gap > FARTHEST] = 0
     back = np.zeros(n + 1, np.int64)
     back[(keys[1:] & 0xFFFFFFFF).astype(np.int64)] = gap
     ends = np.flatnonzero(back[1:] != back[:-1]) + 1
     begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
     long = (ends - begins + 3 >= LEAST_REPEAT) & (back[begins] > 0) if len(ends) else np.zeros(0, bool)
-    begins, room = begins[: len(ends)][long], (ends - begins[: len(ends)])[long] + 4 - LEAST_REPEAT
-    # Places whose repeat is long enough: of each run of one distance all but the last few.
-    nth = np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room)
-    at, sizes = (np.repeat(begins, room) + nth).tolist(), (np.repeat(room, room) - nth + LEAST_REPEAT - 1).tolist()
-    starts, lengths, k = [], [], 0
-    while k < len(at):
-        n = min(sizes[k], LONGEST)
-        starts.append(at[k])
-        lengths.append(n)
-        k = bisect.bisect_left(at, at[k] + n, k + 1)
+    begins, ends = begins[: len(ends)][long], ends[long]
+    starts, lengths, free = [], [], 0
+    for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+        begin = max(begin, free)
+        while end + 3 - begin >= LEAST_REPEAT:
+            starts.append(begin)
+            lengths.append(min(end + 3 - begin, LONGEST))
+            begin = free = begin + lengths[-1]
     starts = np.array(starts, np.int64)
     return starts, np.array(lengths, np.int64), back[starts]
 
 
+@functools.lru_cache(maxsize=1)
+def _short() -> np.ndarray:
+    """The short distances that stand for distances in pixels, 0 where none does."""
+    near = np.zeros(WIDTH * 8, np.int64)
+    near[_near(WIDTH)[:0:-1]] = np.arange(120, 0, -1)
+    return near
+
+
 def _stored(part: np.ndarray) -> bytes:
     """The data of one image whose green samples these are."""
     starts, lengths, back = _repeats(part)
-    near = np.zeros(WIDTH * 8, np.int64)
-    near[_near(WIDTH)[:0:-1]] = np.arange(120, 0, -1)
+    near = _short()
     short = near[np.minimum(back, len(near) - 1)] * (back < len(near))
     size_symbol, size_more, size_bits = _prefixed(lengths)
     far_symbol, far_more, far_bits = _prefixed(np.where(short > 0, short, back + 120))
@@ -622,21 +642,17 @@ def _stored(part: np.ndarray) -> bytes:
         widths[copies] += n
     at = out.n + np.cumsum(widths) - widths
     total = out.n + int(widths.sum())
-    body = np.zeros(total + 7 >> 3, np.uint8)
-    head = np.frombuffer(out.done(), np.uint8)
+    # Words of 64 bits: a value adds to the word where it begins, and what is over to the next; bits do not meet.
+    body = np.zeros((total >> 6) + 2, np.uint64)
+    head = np.frombuffer(out.done() + b"\0" * (-(out.n + 7 >> 3) % 8), "<u8")
     body[: len(head)] = head
-    values <<= at & 7
-    for k in range(8):  # byte by byte of each value; bits of different values do not meet
-        if k == 3:
-            values, at = values[copies], at[copies]
-        piece = values >> 8 * k & 255
-        if k > 1:  # most values end before
-            full = np.flatnonzero(piece)
-            piece, to = piece[full], (at[full] >> 3) + k
-        else:
-            to = np.minimum((at >> 3) + k, len(body) - 1)
-        body += np.bincount(to, piece, len(body)).astype(np.uint8)
-    return body.tobytes()
+    word, shift, values = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
+    begins = np.flatnonzero(word[1:] != word[:-1]) + 1
+    begins = np.concatenate([np.zeros(1, np.int64), begins])
+    body[word[begins]] += np.add.reduceat(values << shift, begins)
+    over = np.flatnonzero((at & 63) + widths > 64)
+    body[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
+    return body.astype("<u8").tobytes()[: total + 7 >> 3]
 
 
 def encode_samples(payload: bytes) -> bytes:

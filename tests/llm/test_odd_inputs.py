@@ -177,3 +177,24 @@ def test_array_reader_equals_the_walk_by_symbols(monkeypatch):
 
     assert (webp.decode(stored)[0] == quick).all()
     assert (quick >> 8 & 255).astype(np.uint8).tobytes() == data
+
+
+def test_codes_of_images_are_read_and_written_in_one_go(monkeypatch):
+    """A code's lengths and words are moved as whole numbers, not a few bits a call; single symbols share their codes."""
+    import numpy as np
+
+    from docsieve.llm import webp
+
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(60)]
+    payload = b" ".join(words[k] for k in rng.integers(0, 60, 900))
+    payload += b"\0" * (-len(payload) % 64)
+    reads, puts, read, put = [], [], webp.Bits.read, webp.Writer.put
+    monkeypatch.setattr(webp.Bits, "read", lambda b, n: reads.append(n) or read(b, n))
+    monkeypatch.setattr(webp.Writer, "put", lambda w, v, n: puts.append(n) or put(w, v, n))
+    stored = webp.encode_samples(payload)
+    assert webp.decode_samples(stored).tobytes() == payload and len(stored) < len(payload) / 2
+    assert len(puts) < 40 and len(reads) < 60
+    assert webp._simple(256, 0) is webp._simple(256, 0) and webp._simple(256, 255).only == 255
+    for odd in (b"\0" * 64, bytes(range(256)), b"ab" * 3200, bytes(rng.integers(0, 256, 6400).astype(np.uint8)), b"\7" * 64 * 16385):
+        assert webp.decode_samples(webp.encode_samples(odd)).tobytes() == odd
