@@ -23,6 +23,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from . import webp
 from .batches import parts, table_of
 
+#: Stored bytes that are read together, single rows aside.
+READ_BYTES = 1 << 21
+
 DECODED = "width int, height int, pixels array<long>, error string"
 STORED = "doc_id long, n_bytes long, media binary"
 DIGESTS = (
@@ -54,7 +57,7 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             made = [payload_of(x) for x in b.column("text").to_pylist()]
-            yield table_of(STORED, (b.column("doc_id"), [n for _, n in made], [webp.encode_samples(p) for p, _ in made]))
+            yield table_of(STORED, (b.column("doc_id"), [n for _, n in made], webp.encode_many([p for p, _ in made])))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STORED)
 
@@ -63,10 +66,10 @@ def read_payloads(stored: DataFrame) -> DataFrame:
     """Read stored payloads back: digests of payload and stored form, and features of the samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches, text="media"):
+        for b in parts(batches, READ_BYTES, text="media"):
             rows = []
-            for doc_id, n, media in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                samples = webp.decode_samples(media)
+            doc_ids, sizes, stored = (b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))
+            for doc_id, n, media, samples in zip(doc_ids, sizes, stored, webp.decode_many(stored), strict=True):
                 data = samples.tobytes()
                 rows.append(
                     (doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media),

@@ -8,7 +8,8 @@ read with array operations; otherwise symbol by symbol.
 ``encode_samples`` stores bytes as the green channel of images of 64 samples in a row: repeats become back-references,
 literals, lengths and distances get prefix codes made of their own counts. Payloads of more than ``MAX_ROWS`` rows become
 several images, one after the other. Such pixel data is read by array operations too: what each place of the bit stream
-would decode to is looked up at once, then the true places are walked.
+would decode to is looked up at once, then the true places are walked. ``encode_many`` and ``decode_many`` do this for many
+payloads together: one set of array operations writes them, and a step of the reader takes a symbol of each image.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ SIGNATURE = 0x2F
 #: Bytes of a bit stream that are looked up at once; repeats of fewer samples stay literals; bits of the longest codes.
 STRIDE, LEAST_REPEAT, MOST_BITS = 1 << 15, 6, 11
 LONGEST, FARTHEST = 4096, (1 << 20) - 120
+#: Symbols of each image between two looks at which images are left; the fewest images read together; zeros after them.
+BLOCK, FEW, AHEAD = 16, 48, 256
+#: Samples that are written in one go, single images aside.
+GROUP = 1 << 18
 # Fixed values of the format: order of code-length codes, alphabet sizes.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 GREEN_SIZE, CHANNEL_SIZE, DISTANCE_SIZE = 256 + 24, 256, 40
@@ -81,36 +86,56 @@ def _backwards(n: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=4096)
+def _short_code(lengths: tuple[int, ...]) -> tuple[list[int], list[int], int]:
+    """Of a code of few symbols: table over the next bits (symbol and, in four bits, its length), each symbol's code, mask."""
+    order = sorted([n << 12 | s for s, n in enumerate(lengths) if n])
+    codes = [0] * len(lengths)
+    if len(order) < 2:
+        return [(order[0] & 0xFFF) << 4 if order else 0], codes, 0
+    bits, at = order[-1] >> 12, 0
+    table, back = [0] * (1 << bits), _backwards(bits)
+    for x in order:
+        n, s = x >> 12, x & 0xFFF
+        if at >= 1 << bits:
+            raise ValueError("a prefix code is not complete")
+        codes[s] = int(back[at])
+        table[codes[s] :: 1 << n] = [s << 4 | n] * (1 << bits - n)
+        at += 1 << bits - n
+    if at != 1 << bits:
+        raise ValueError("a prefix code is not complete")
+    return table, codes, (1 << bits) - 1
+
+
 class Code:
     """A canonical prefix code as a table over the next bits."""
 
     def __init__(self, lengths: list[int]):
         self.lengths, self.uniform = lengths, set(lengths) - {0}
-        symbols = np.frombuffer(bytes(lengths), np.uint8).nonzero()[0].astype(np.int32)
-        self.only = None if len(symbols) > 1 else int(symbols[0]) if len(symbols) else 0
+        order = sorted([n << 12 | s for s, n in enumerate(lengths) if n])  # by length, then symbol
+        self.only = None if len(order) > 1 else order[0] & 0xFFF if order else 0
         if self.only is not None:
             return
-        sizes = np.frombuffer(bytes(lengths), np.uint8)[symbols].astype(np.int32)
-        order = sizes.argsort(kind="stable")
-        sizes, symbols = sizes[order], symbols[order]
+        order = np.array(order, np.int64)
+        sizes = order >> 12
         self.bits = int(sizes[-1])
-        if int((1 << self.bits - sizes).sum()) != 1 << self.bits:
+        room = 1 << (self.bits - sizes)
+        if int(room.sum()) != 1 << self.bits:
             raise ValueError("a prefix code is not complete")
-        back, room = _backwards(self.bits), 1 << (self.bits - sizes)
-        self.symbols, self.sizes = np.repeat(symbols, room)[back], np.repeat(sizes, room)[back]
+        self.both = ((order & 0xFFF) << 4 | sizes).repeat(room)[_backwards(self.bits)]  # symbol and, in four bits, its length
         self.mask = (1 << self.bits) - 1
-        self.lists = None
+        self.list = None
 
     def next(self, b: Bits) -> int:
         if self.only is not None:
             return self.only
-        if self.lists is None:
-            self.lists = self.symbols.tolist(), self.sizes.tolist()
-        at = b.peek15() & self.mask
-        b.pos += self.lists[1][at]
+        if self.list is None:
+            self.list = self.both.tolist()
+        found = self.list[b.peek15() & self.mask]
+        b.pos += found & 15
         if b.pos > b.end:
             raise ValueError("the image data ends early")
-        return self.lists[0][at]
+        return found >> 4
 
 
 @functools.lru_cache(maxsize=1024)
@@ -136,15 +161,15 @@ def _read_code(b: Bits, size: int) -> Code:
     for k in CODE_LENGTH_ORDER[:n]:
         kinds[k] = word & 7
         word >>= 3
-    how = Code(kinds)
+    both, _, mask = _short_code(tuple(kinds))
     most = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
     lengths: list[int] = []
     last, n = 8, 0
     word = b.ahead(14 * size)  # a length takes seven bits and up to seven more
-    symbols, sizes, mask = ([how.only], [0], 0) if how.only is not None else (how.symbols.tolist(), how.sizes.tolist(), how.mask)
     while len(lengths) < size and most:
         most -= 1
-        s, n = symbols[word & mask], sizes[word & mask]
+        s = both[word & mask]
+        s, n = s >> 4, s & 15
         word >>= n
         b.pos += n
         if s < 16:
@@ -262,7 +287,7 @@ def _read_plain(b: Bits, n: int, g: list[Code]) -> np.ndarray:
     raw = np.frombuffer(b.data, np.uint8, n + 1 if shift else n, at).astype(np.uint16)
     if shift:
         raw = (raw[:-1] >> shift | raw[1:] << (8 - shift)) & 255
-    return g[0].symbols[raw].astype(np.uint32) << 8 | rest
+    return (g[0].both[raw] >> 4).astype(np.uint32) << 8 | rest
 
 
 @functools.lru_cache(maxsize=64)
@@ -278,11 +303,43 @@ def _values(words: np.ndarray, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarra
     return np.where(s < 4, s, ((2 + (s & 1)) << extra) + bits) + 1, extra
 
 
-def _read_green(b: Bits, w: int, n: int, g: list[Code]) -> np.ndarray:
-    """Pixels of one group whose red, blue and alpha are constant: literals and back-references of green."""
+def _fill(out: bytearray, at: int, w: int, taken: np.ndarray, copies: np.ndarray, length: np.ndarray, distance: np.ndarray) -> tuple[int, int]:
+    """Write symbols from pixel ``at`` on; those at ``copies`` are back-references. The pixel and symbol where this ends.
+
+    Symbols after the last pixel are no pixels.
+    """
+    n = len(out)
+    sizes = np.ones(len(taken), np.int64)
+    sizes[copies] = length
+    ends = at + sizes.cumsum()
+    last = int(ends.searchsorted(n))
+    if last < len(ends):
+        if ends[last] > n:
+            raise ValueError("a back-reference leaves the image")
+        taken, ends = taken[: last + 1], ends[: last + 1]
+        some = int(copies.searchsorted(last, "right"))
+        copies, length, distance = copies[:some], length[:some], distance[:some]
+    np.frombuffer(out, np.uint8)[ends - 1] = taken  # of a back-reference any value, as it is written next
+    starts = ends[copies] - length
+    d = np.where(distance > 120, distance - 120, _near(w)[np.minimum(distance, 120)])
+    if (d > starts).any():
+        raise ValueError("a back-reference leaves the image")
+    for k, m, back in zip(starts.tolist(), length.tolist(), d.tolist(), strict=True):
+        if back >= m:
+            out[k : k + m] = out[k - back : k - back + m]
+        else:
+            out[k : k + m] = (out[k - back : k] * (m // back + 1))[:m]
+    return int(ends[-1]) if len(ends) else at, len(ends)
+
+
+def _read_green(b: Bits, w: int, n: int, g: list[Code], out: bytearray | None = None, at: int = 0) -> np.ndarray:
+    """Pixels of one group whose red, blue and alpha are constant: literals and back-references of green.
+
+    ``out`` has those before ``at``, where some were read before.
+    """
     green, far = g[0], g[4]
-    both = (green.symbols << 4 | green.sizes).astype(np.int64)
-    out, at = bytearray(n), 0
+    both = green.both
+    out = bytearray(n) if out is None else out
     while at < n:
         if b.pos >= b.end:
             raise ValueError("the image data ends early")
@@ -299,8 +356,8 @@ def _read_green(b: Bits, w: int, n: int, g: list[Code]) -> np.ndarray:
         length, extra = _values(words, place, (found[copies] >> 4) - 256)
         place = place + extra
         if far.only is None:
-            index = (words[place >> 3] >> (place & 7)) & far.mask
-            s, place = far.symbols[index].astype(np.int64), place + far.sizes[index]
+            s = far.both[(words[place >> 3] >> (place & 7)) & far.mask]
+            s, place = s >> 4, place + (s & 15)
         else:
             s = np.full(len(copies), far.only, np.int64)
         # A distance has up to 18 bits more; these lie in the next five bytes of the place.
@@ -317,37 +374,99 @@ def _read_green(b: Bits, w: int, n: int, g: list[Code]) -> np.ndarray:
         walked = np.array(walked, np.int64)
         walked = np.stack([walked, after[walked], two[walked], after[two[walked]]], 1).reshape(-1)
         walked = walked[walked < stop]
-        taken, which = found[walked] >> 4, np.searchsorted(copies, walked)
-        is_copy = taken >= 256
-        which = which[is_copy]
-        sizes = np.ones(len(walked), np.int64)
-        sizes[is_copy] = length[which]
-        ends = at + np.cumsum(sizes)
-        last = int(np.searchsorted(ends, n))  # bits after the last pixel are no pixels
-        if last < len(ends):
-            if ends[last] > n:
-                raise ValueError("a back-reference leaves the image")
-            p = int(after[walked[last]])
-            taken, is_copy, sizes, ends = taken[: last + 1], is_copy[: last + 1], sizes[: last + 1], ends[: last + 1]
-            which = which[: int(is_copy.sum())]
+        taken = found[walked] >> 4
+        is_copy = np.flatnonzero(taken >= 256)
+        which = np.searchsorted(copies, walked[is_copy])
+        at, some = _fill(out, at, w, taken.astype(np.uint8), is_copy, length[which], distance[which])
+        if at == n:
+            p = int(after[walked[some - 1]])
         if 8 * base + p > b.end:
             raise ValueError("the image data ends early")
-        starts = ends - sizes
-        np.frombuffer(out, np.uint8)[starts[~is_copy]] = taken[~is_copy]
-        d = distance[which]
-        d = np.where(d > 120, d - 120, _near(w)[np.minimum(d, 120)])
-        if (d > starts[is_copy]).any():
-            raise ValueError("a back-reference leaves the image")
-        for k, m, back in zip(starts[is_copy].tolist(), sizes[is_copy].tolist(), d.tolist(), strict=True):
-            if back >= m:
-                out[k : k + m] = out[k - back : k - back + m]
-            else:
-                out[k : k + m] = (out[k - back : k] * (m // back + 1))[:m]
-        at, b.pos = int(ends[-1]), 8 * base + p
+        b.pos = 8 * base + p
     rest = np.uint32(g[3].only << 24 | g[1].only << 16 | g[2].only)
     return np.frombuffer(out, np.uint8).astype(np.uint32) << 8 | rest
 
 
+def _read_greens(images: list[tuple[Bits, int, int, list[Code]]]) -> list[np.ndarray]:
+    """Green samples of many images as ``_read_green`` reads them, a symbol of each image in one step.
+
+    A distance's symbol is a step of its own, where its image reads through another code. Further bits are stepped over and
+    taken for all images at once. Images that are left when there are fewer than ``FEW`` are read on one by one.
+    """
+    starts = 8 * np.cumsum([0, *(len(b.data) for b, *_ in images)])
+    raw = b"".join([*(b.data for b, *_ in images), bytes(AHEAD)])
+    words = np.ascontiguousarray(np.ndarray((len(raw) - 8,), "<i8", raw, strides=(1,)))  # from each byte on, 64 bits
+    tables, known, size = [], {}, 0
+    base, mask = np.zeros((2, len(images)), np.int64), np.zeros((2, len(images)), np.int64)  # of greens and of distances
+    for k, (*_, g) in enumerate(images):
+        for far, c in enumerate((g[0], g[4])):
+            if id(c) not in known:
+                both = c.both if c.only is None else np.array([c.only << 4], np.int64)
+                s = np.maximum((both >> 4) - (0 if far else 256), 0)
+                known[id(c)] = size
+                tables.append((both >> 4 << 6) + (both & 15) + (np.maximum(s - 2, 0) >> 1) + (512 << 6 if far else 0))
+                size += len(both)
+            base[far, k], mask[far, k] = known[id(c)], c.mask if c.only is None else 0
+    table = np.concatenate(tables)  # symbol, 512 more for distances; in six bits all bits that it takes
+    n = np.array([x[2] for x in images], np.int64)
+    most = n + (n >> 3)
+    room = np.cumsum([0, *(most + BLOCK)])  # where each image's symbols lie
+    symbols, behind = np.full(int(room[-1]) + 1, -1, np.int16), np.zeros(int(room[-1]) + 1, np.int64)
+    after = starts[:-1] + np.array([x[0].pos for x in images], np.int64)
+    end = starts[:-1] + np.array([x[0].end for x in images], np.int64)
+    left, step, far = np.arange(len(images)), 0, np.zeros(len(images), np.int64)
+    while True:
+        left = left[(after[left] < end[left]) & (step < most[left])]
+        if len(left) < FEW:
+            break
+        p, at, green = after[left], room[left] + step, (base[0, left], mask[0, left])
+        other, bits = (base[1, left], mask[1, left])
+        these, few = base[far[left], left], mask[far[left], left]
+        c = np.flatnonzero(far[left])
+        found, places = np.empty((BLOCK, len(left)), np.int64), np.empty((BLOCK, len(left)), np.int64)
+        for k in range(BLOCK):
+            s = table[((words[p >> 3] >> (p & 7)) & few) + these]
+            found[k] = s
+            p += s & 63
+            places[k] = p
+            if len(c):
+                these[c], few[c] = green[0][c], green[1][c]
+            s >>= 14
+            c = (s == 1).nonzero()[0]
+            if len(c):
+                these[c], few[c] = other[c], bits[c]
+        far[left] = s == 1
+        at = at[:, None] + np.arange(BLOCK)
+        symbols[at], behind[at] = (found >> 6).T, places.T
+        after[left] = p
+        step += BLOCK
+    copies = np.flatnonzero(symbols >> 8 == 1)
+    whole = symbols[copies + 1] >= 512
+    symbols[copies[~whole]] = -1
+    copies = copies[whole]
+    values = []
+    for more, s in ((0, symbols[copies].astype(np.int64) - 256), (1, symbols[copies + 1].astype(np.int64) - 512)):
+        values.append(_values(words, behind[copies + more] - (np.maximum(s - 2, 0) >> 1), s)[0])
+    length, distance = values
+    behind[copies] = behind[copies + 1]
+    kept = np.flatnonzero((symbols >= 0) & (symbols < 512))
+    symbols, behind, copies = symbols[kept].astype(np.uint8), behind[kept], np.searchsorted(kept, copies)
+    room = np.searchsorted(kept, room)
+    of, out = np.searchsorted(copies, room).tolist(), []
+    room = room.tolist()
+    for k, (b, w, m, g) in enumerate(images):
+        made, some, here = bytearray(m), slice(of[k], of[k + 1]), room[k]
+        at, count = _fill(made, 0, w, symbols[here : room[k + 1]], copies[some] - here, length[some], distance[some])
+        if count:
+            b.pos = int(behind[here + count - 1] - starts[k])
+        if b.pos > b.end:
+            raise ValueError("the image data ends early")
+        if at < m:
+            _read_green(b, w, m, g, made, at)
+        out.append(np.frombuffer(made, np.uint8))
+    return out
+
+
 def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) & 255
 
@@ -419,12 +538,17 @@ def _palette(pixels: np.ndarray, w: int, h: int, colours: np.ndarray, pack: int)
     return table[index.reshape(-1)]
 
 
-def decode(data: bytes) -> tuple[np.ndarray, int]:
-    """The first image in ``data`` as an array (height, width) of ARGB values, and the bytes it took."""
+def _open(data: bytes) -> tuple[Bits, int]:
+    """A reader of the first image's data, and the bytes that the image takes."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP image")
     total, size = struct.unpack("<I", data[4:8])[0] + 8, struct.unpack("<I", data[16:20])[0]
-    b = Bits(data[20 : 20 + size])
+    return Bits(data[20 : 20 + size]), total + (total & 1)
+
+
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """The first image in ``data`` as an array (height, width) of ARGB values, and the bytes it took."""
+    b, total = _open(data)
     if b.read(8) != SIGNATURE:
         raise ValueError("not a lossless WebP image")
     w, h = b.read(14) + 1, b.read(14) + 1
@@ -463,7 +587,7 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
             px = px & 0xFF00FF00 | ((px >> 16 & 255) + green & 255) << 16 | (px + green & 255)
         else:
             px = _palette(px, width, h, side, bits)
-    return px.reshape(h, w), total + (total & 1)
+    return px.reshape(h, w), total
 
 
 class Writer:
@@ -513,17 +637,16 @@ def code_lengths(counts: np.ndarray, most: int) -> list[int]:
     return lengths
 
 
-def _codes(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each symbol its code, as it is written, and the bits that it takes: none where it is the only one."""
+def _codes(lengths: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each code's symbols, in one array, the codes as they are written and their bits: none in codes of one symbol."""
     sizes = np.array(lengths, np.int64)
-    used = np.flatnonzero(sizes)
+    sizes[np.count_nonzero(sizes, 1) < 2] = 0
+    width, sizes = sizes.shape[1], sizes.reshape(-1)
     codes = np.zeros(len(sizes), np.int64)
-    if len(used) < 2:
-        return codes, codes
-    used = used[np.argsort(sizes[used], kind="stable")]
-    bits = int(sizes[used[-1]])
-    room = 1 << (bits - sizes[used])
-    codes[used] = _backwards(bits)[np.cumsum(room) - room]
+    used = np.flatnonzero(sizes)
+    used = used[np.argsort((used // width << 4) + sizes[used], kind="stable")]  # by code, length, symbol
+    room = 1 << (15 - sizes[used])  # of each code 2^15 in all
+    codes[used] = _backwards(15)[(np.cumsum(room) - room) & 0x7FFF]
     return codes, sizes
 
 
@@ -553,7 +676,7 @@ def _put_code(out: Writer, lengths: list[int]) -> None:
     out.put(0, 1)
     out.put(n - 4, 4)
     out.put(sum(kinds[k] << 3 * i for i, k in enumerate(CODE_LENGTH_ORDER[:n])), 3 * n + 1)  # the last bit: all symbols
-    codes, sizes = (x.tolist() for x in _codes(kinds))
+    codes, sizes = _short_code(tuple(kinds))[1], kinds if sum(map(bool, kinds)) > 1 else [0] * 19
     value = n = 0
     for s, more, bits in said:
         value |= (codes[s] | more << sizes[s]) << n
@@ -569,10 +692,10 @@ def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(x < 4, x, 2 * high + (x >> np.maximum(extra, 0) & 1)), x & ((1 << extra) - 1), extra
 
 
-def _repeats(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and distances of back-references, taken greedily from the left.
+def _repeats(data: np.ndarray, images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of back-references, taken greedily from the left; ``images`` is where images begin and end.
 
-    A place may refer to the last one with the same four samples; while the distance stays, the repeat goes on.
+    A place may refer to the last one of its image with the same four samples; while the distance stays, the repeat goes on.
     """
     n = len(data) - 3
     four = np.empty(n, np.uint64)
@@ -583,9 +706,11 @@ def _repeats(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys |= np.arange(n, dtype=np.uint64)
     keys.sort()
     gap = (keys[1:] - keys[:-1]).view(np.int64)  # under 2^32 where the samples are the same: then the distance
-    gap[gap > FARTHEST] = 0
     back = np.zeros(n + 1, np.int64)
     back[(keys[1:] & 0xFFFFFFFF).astype(np.int64)] = gap
+    back[(back > FARTHEST) | (back > np.arange(n + 1) - images[:-1].repeat(images[1:] - images[:-1])[: n + 1])] = 0
+    for k in range(1, 4):  # what begins there leaves its image
+        back[images[1:-1] - k] = 0
     ends = np.flatnonzero(back[1:] != back[:-1]) + 1
     begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
     long = (ends - begins + 3 >= LEAST_REPEAT) & (back[begins] > 0) if len(ends) else np.zeros(0, bool)
@@ -609,9 +734,10 @@ def _short() -> np.ndarray:
     return near
 
 
-def _stored(part: np.ndarray) -> bytes:
-    """The data of one image whose green samples these are."""
-    starts, lengths, back = _repeats(part)
+def _stored(part: np.ndarray, images: np.ndarray) -> list[bytes]:
+    """The data of images whose green samples these are, one after the other; ``images`` is where each begins and the last ends."""
+    count = len(images) - 1
+    starts, lengths, back = _repeats(part, images)
     near = _short()
     short = near[np.minimum(back, len(near) - 1)] * (back < len(near))
     size_symbol, size_more, size_bits = _prefixed(lengths)
@@ -626,45 +752,69 @@ def _stored(part: np.ndarray) -> bytes:
     places = np.flatnonzero(literal)
     symbols = symbols[places]
     copies = np.searchsorted(places, starts)
-    greens = code_lengths(np.bincount(symbols, minlength=GREEN_SIZE), MOST_BITS)
-    fars = code_lengths(np.bincount(far_symbol, minlength=DISTANCE_SIZE), MOST_BITS)
-    out = Writer()
-    for value, n in ((SIGNATURE, 8), (WIDTH - 1, 14), (len(part) // WIDTH - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        out.put(value, n)
-    _put_code(out, greens)
-    for value in (0, 0, 255):  # red, blue, alpha: one symbol each
-        _put_symbol(out, value)
-    _put_code(out, fars)
+    first = np.searchsorted(places, images)  # of each image the first symbol
+    symbols += GREEN_SIZE * np.arange(count).repeat(first[1:] - first[:-1])
+    far_symbol += DISTANCE_SIZE * (np.searchsorted(images, starts, "right") - 1)
+    greens = [code_lengths(x, MOST_BITS) for x in np.bincount(symbols, minlength=count * GREEN_SIZE).reshape(count, -1)]
+    fars = [code_lengths(x, MOST_BITS) for x in np.bincount(far_symbol, minlength=count * DISTANCE_SIZE).reshape(count, -1)]
+    heads = []
+    for k, (green, far) in enumerate(zip(greens, fars, strict=True)):
+        out = Writer()
+        out.put(SIGNATURE | WIDTH - 1 << 8 | (int(images[k + 1] - images[k]) // WIDTH - 1) << 22, 8 + 14 + 14 + 1 + 3 + 3)
+        _put_code(out, green)
+        for value in (0, 0, 255):  # red, blue, alpha: one symbol each
+            _put_symbol(out, value)
+        _put_code(out, far)
+        heads.append(out)
     (codes, bits), (far_codes, far_sizes) = _codes(greens), _codes(fars)
     values, widths = codes[symbols], bits[symbols]
     for more, n in ((size_more, size_bits), (far_codes[far_symbol], far_sizes[far_symbol]), (far_more, far_bits)):
         values[copies] |= more << widths[copies]
         widths[copies] += n
-    at = out.n + np.cumsum(widths) - widths
-    total = out.n + int(widths.sum())
     # Words of 64 bits: a value adds to the word where it begins, and what is over to the next; bits do not meet.
-    body = np.zeros((total >> 6) + 2, np.uint64)
-    head = np.frombuffer(out.done() + b"\0" * (-(out.n + 7 >> 3) % 8), "<u8")
-    body[: len(head)] = head
+    ahead = np.array([x.n for x in heads])
+    totals = ahead + np.add.reduceat(widths, first[:-1])
+    words = np.cumsum([0, *((totals >> 6) + 2)])
+    at = np.cumsum(widths) - widths
+    at += (64 * words[:-1] + ahead - at[first[:-1]]).repeat(first[1:] - first[:-1])
+    body = np.zeros(words[-1], np.uint64)
+    for x, k in zip(heads, words.tolist(), strict=False):
+        head = np.frombuffer(x.done() + b"\0" * (-(x.n + 7 >> 3) % 8), "<u8")
+        body[k : k + len(head)] = head
     word, shift, values = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
     begins = np.flatnonzero(word[1:] != word[:-1]) + 1
     begins = np.concatenate([np.zeros(1, np.int64), begins])
     body[word[begins]] += np.add.reduceat(values << shift, begins)
     over = np.flatnonzero((at & 63) + widths > 64)
     body[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
-    return body.astype("<u8").tobytes()[: total + 7 >> 3]
+    body = body.astype("<u8").tobytes()
+    return [body[8 * k : 8 * k + (n + 7 >> 3)] for k, n in zip(words.tolist(), totals.tolist(), strict=False)]
 
 
 def encode_samples(payload: bytes) -> bytes:
     """Store bytes (a multiple of 64 of them) as the green samples of one or more images."""
-    if not payload or len(payload) % WIDTH:
+    return encode_many([payload])[0]
+
+
+def encode_many(payloads: list[bytes]) -> list[bytes]:
+    """``encode_samples`` of each, where images are made together, in groups of at most ``GROUP`` samples or of one image."""
+    if not all(payloads) or any(len(p) % WIDTH for p in payloads):
         raise ValueError("the payload must fill whole rows")
-    out = []
-    for at in range(0, len(payload), WIDTH * MAX_ROWS):
-        data = _stored(np.frombuffer(payload, np.uint8, min(WIDTH * MAX_ROWS, len(payload) - at), at))
-        data += b"\0" * (len(data) & 1)
-        out.append(b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data)
-    return b"".join(out)
+    pieces = [(k, at, min(WIDTH * MAX_ROWS, len(p) - at)) for k, p in enumerate(payloads) for at in range(0, len(p), WIDTH * MAX_ROWS)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    group, size = [], 0
+    for piece in [*pieces, None]:
+        if group and (piece is None or size + piece[2] > GROUP):
+            part = np.frombuffer(b"".join(payloads[k][at : at + n] for k, at, n in group), np.uint8)
+            stored = _stored(part, np.cumsum([0, *(n for _, _, n in group)]))
+            for (k, _, _), data in zip(group, stored, strict=True):
+                data += b"\0" * (len(data) & 1)
+                out[k].append(b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data)
+            group, size = [], 0
+        if piece is not None:
+            group.append(piece)
+            size += piece[2]
+    return [b"".join(x) for x in out]
 
 
 def decode_samples(data: bytes) -> np.ndarray:
@@ -675,3 +825,33 @@ def decode_samples(data: bytes) -> np.ndarray:
         parts.append((px >> 8 & 255).astype(np.uint8).reshape(-1))
         at += n
     return np.concatenate(parts)
+
+
+#: What an image without transforms, colour cache and entropy image begins with, sides and the alpha flag aside.
+_HEAD = (1 << 42) - 1 ^ ((1 << 29) - 1) << 8
+_SIZES = (GREEN_SIZE, CHANNEL_SIZE, CHANNEL_SIZE, CHANNEL_SIZE, DISTANCE_SIZE)
+
+
+def decode_many(stored: list[bytes]) -> list[np.ndarray]:
+    """``decode_samples`` of each, where images of green alone are read together."""
+    images, made = [], []  # of each file its images: samples, or the number among those that are read together
+    for data in stored:
+        at, parts, view = 0, [], memoryview(data)
+        while at < len(data):
+            one = bytes(view[at:]) if at else data
+            b, n = _open(one)
+            word, g = b.ahead(42), None
+            if word & _HEAD == SIGNATURE and b.end >= 43:
+                b.pos = 43
+                g = _read_group(b, _SIZES)
+            if g and all(c.only is not None for c in g[1:4]) and g[0].only is None:
+                w, h = (word >> 8 & 0x3FFF) + 1, (word >> 22 & 0x3FFF) + 1
+                parts.append(len(images))
+                images.append((b, w, w * h, g))
+            else:
+                parts.append((decode(one)[0] >> 8 & 255).astype(np.uint8).reshape(-1))
+            at += n
+        made.append(parts)
+    samples = _read_greens(images) if images else []
+    made = [[samples[x] if isinstance(x, int) else x for x in parts] for parts in made]
+    return [parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in made]

@@ -198,3 +198,50 @@ def test_codes_of_images_are_read_and_written_in_one_go(monkeypatch):
     assert webp._simple(256, 0) is webp._simple(256, 0) and webp._simple(256, 255).only == 255
     for odd in (b"\0" * 64, bytes(range(256)), b"ab" * 3200, bytes(rng.integers(0, 256, 6400).astype(np.uint8)), b"\7" * 64 * 16385):
         assert webp.decode_samples(webp.encode_samples(odd)).tobytes() == odd
+
+
+def test_many_images_are_written_and_read_together(monkeypatch):
+    """Payloads of a batch share the array operations: the same bytes as one by one, and few symbols are read alone."""
+    import numpy as np
+    import pytest
+
+    from docsieve.llm import webp
+
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(80)]
+    texts = [b" ".join(words[k] for k in rng.integers(0, 80, n)) for n in rng.integers(1, 700, 150)]
+    texts += [b"", b"", b"a" * 5000, bytes(range(256)) * 3, bytes(rng.integers(0, 256, 6400).astype(np.uint8)), b"ab" * 64 * 16400]
+    payloads = [t + b"\0" * (64 - len(t) % 64 if len(t) % 64 or not t else 0) for t in texts]
+    alone = [webp.encode_samples(p) for p in payloads]
+    groups, stored, pixels, read = [], webp._stored, [], webp._read_green
+    monkeypatch.setattr(webp, "_stored", lambda part, images: groups.append(len(images) - 1) or stored(part, images))
+    monkeypatch.setattr(webp, "_read_green", lambda b, w, n, g, out=None, at=0: pixels.append(n - at) or read(b, w, n, g, out, at))
+    made = webp.encode_many(payloads)
+    assert made == alone and len(groups) < 8 and max(groups) > 60
+    many = webp.decode_many(made)
+    assert [x.tobytes() for x in many] == payloads
+    assert len(pixels) < 60
+    assert [webp.decode_samples(x).tobytes() for x in made] == payloads
+    assert webp.encode_many([]) == [] == webp.decode_many([])
+    # A file cut short is an error among others, too.
+    cut = made[3][:-64]
+    size = len(cut) - 20
+    cut = cut[:4] + (12 + size).to_bytes(4, "little") + cut[8:16] + size.to_bytes(4, "little") + cut[20:]
+    for files in ([cut], [*made[:100], cut, *made[100:150]]):
+        with pytest.raises(ValueError):
+            webp.decode_many(files)
+    with pytest.raises(ValueError):
+        webp.encode_many([b"a" * 64, b"a" * 63])
+
+
+def test_short_codes_must_be_complete():
+    import pytest
+
+    from docsieve.llm import webp
+
+    table, codes, mask = webp._short_code((0, 1, 2, 0, 2))
+    assert mask == 3 and [x >> 4 for x in table] == [1, 2, 1, 4] and [x & 15 for x in table] == [1, 2, 1, 2]
+    assert codes == [0, 0, 1, 0, 3]
+    for lengths in ((1, 2), (1, 1, 1), (2, 2, 2)):
+        with pytest.raises(ValueError):
+            webp._short_code(lengths)
