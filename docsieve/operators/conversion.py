@@ -77,9 +77,15 @@ def review_findings(warnings: DataFrame, nodes: DataFrame, blocks: DataFrame, pr
     ``warnings`` has doc_id, position, code, block_ids and pages; ``nodes`` doc_id, node_id, block_id and text; ``blocks``
     doc_id, Id and Page; ``previous`` doc_id, finding_id, region_hash and decision of an earlier review. Ids follow from
     what a warning says and, among equal ones, their order. A decision stays on its finding; it is ``resolved`` while the
-    texts that it was made on are as they were.
+    texts that it was made on are as they were. For several reviews of the same texts, make ``current_findings`` once and
+    ``carry_decisions`` for each.
     """
-    listed = F.concat_ws(",", F.array_sort("block_ids")), F.concat_ws(",", F.transform(F.array_sort("pages"), lambda p: p.cast("string")))
+    return carry_decisions(current_findings(warnings, nodes, blocks), previous)
+
+
+def current_findings(warnings: DataFrame, nodes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The findings of ``review_findings`` before any decision."""
+    listed = F.concat_ws(",", F.sort_array("block_ids")), F.concat_ws(",", F.sort_array("pages").cast("array<string>"))
     identity = F.sha2(F.concat_ws("\n", "code", *listed), 256)
     rows = warnings.withColumn("identity", identity)
     ordinal = F.row_number().over(Window.partitionBy("doc_id", "identity").orderBy("position")) - 1
@@ -87,22 +93,26 @@ def review_findings(warnings: DataFrame, nodes: DataFrame, blocks: DataFrame, pr
     rows = stage(rows.withColumn("finding_id", name).drop("identity"), "warnings")
     named = rows.select("doc_id", "finding_id", F.explode(F.array_distinct("block_ids")).alias("block_id"))
     text = F.coalesce("text", F.lit(""))
-    met = named.join(nodes.select("doc_id", "block_id", "node_id", text.alias("text")), ["doc_id", "block_id"])
-    met = met.groupBy("doc_id", "finding_id").agg(F.array_sort(F.collect_set(F.struct("node_id", "text"))).alias("met"))
-    raw = named.join(blocks.select("doc_id", F.col("Id").alias("block_id"), F.col("Page").alias("page")), ["doc_id", "block_id"])
-    raw = raw.groupBy("doc_id", "finding_id").agg(F.collect_set("page").alias("raw_pages"))
-    rows = rows.join(met, ["doc_id", "finding_id"], "left").join(raw, ["doc_id", "finding_id"], "left")
+    # Nodes and pages of blocks go as rows of one table through one join and one grouping.
+    held = nodes.select("doc_id", "block_id", F.struct("node_id", text.alias("text")).alias("node"))
+    held = held.unionByName(blocks.select("doc_id", F.col("Id").alias("block_id"), F.col("Page").alias("page")), allowMissingColumns=True)
+    held = named.join(held, ["doc_id", "block_id"]).groupBy("doc_id", "finding_id")
+    held = held.agg(F.sort_array(F.collect_set("node")).alias("met"), F.collect_set("page").alias("raw_pages"))
+    rows = rows.join(held, ["doc_id", "finding_id"], "left")
     rows = rows.withColumn("met", F.coalesce("met", F.array().cast("array<struct<node_id:string,text:string>>")))
     rows = rows.withColumn("pages", F.array_sort(F.array_union("pages", F.coalesce("raw_pages", F.array().cast("array<int>")))))
     said = F.transform("met", lambda n: F.concat(n["node_id"], F.lit(":"), F.length(n["text"]).cast("string"), F.lit(":"), n["text"]))
     region = F.concat_ws("|", F.array_join(said, ","), listed[0], listed[1])
     plus = lambda t: F.length(t) - F.length(F.replace(t, F.lit("+"), F.lit("")))
-    one = F.filter("met", lambda n: (plus(n["text"]) == 1) & ~n["text"].contains("±"))
-    every = F.aggregate("met", F.lit(0), lambda a, n: a + plus(n["text"]))
-    clear = (F.col("code") == TOLERANCE) & (F.size(one) == 1) & (every == 1)
-    out = rows.withColumn("region_hash", F.sha2(region, 256)).withColumn("suggested_node", F.when(clear, one[0]["node_id"]))
-    out = out.withColumn("_text", F.when(clear, one[0]["text"])).withColumn("suggested_text", suggested_text(F.col("_text")))
-    out = out.withColumn("node_ids", F.transform("met", lambda n: n["node_id"])).drop("met", "raw_pages", "_text")
+    alone = (F.col("code") == TOLERANCE) & (plus(F.array_join("met.text", "")) == 1)  # one plus sign in all that is met
+    one = F.when(alone, F.get(F.filter("met", lambda n: n["text"].contains("+") & ~n["text"].contains("±")), F.lit(0)))
+    out = rows.withColumn("region_hash", F.sha2(region, 256)).withColumn("_one", one).withColumn("suggested_node", F.col("_one.node_id"))
+    out = out.withColumn("suggested_text", suggested_text(F.col("_one.text")))
+    return out.withColumn("node_ids", F.col("met.node_id")).drop("met", "raw_pages", "_one")
+
+
+def carry_decisions(out: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Findings with the decisions of an earlier review, and whether these still hold."""
     if previous is None:
         return out.withColumn("decision", F.lit(None).cast("string")).withColumn("resolved", F.lit(False))
     before = previous.select("doc_id", "finding_id", F.col("region_hash").alias("_was"), "decision")
