@@ -77,32 +77,41 @@ def review_findings(warnings: DataFrame, nodes: DataFrame, blocks: DataFrame, pr
     ``warnings`` has doc_id, position, code, block_ids and pages; ``nodes`` doc_id, node_id, block_id and text; ``blocks``
     doc_id, Id and Page; ``previous`` doc_id, finding_id, region_hash and decision of an earlier review. Ids follow from
     what a warning says and, among equal ones, their order. A decision stays on its finding; it is ``resolved`` while the
-    texts that it was made on are as they were. For several reviews of the same texts, make ``current_findings`` once and
-    ``carry_decisions`` for each.
+    texts that it was made on are as they were. For several reviews of the same warnings, make ``named_findings`` once,
+    ``current_findings`` of those that are wanted, and ``carry_decisions``.
     """
-    return carry_decisions(current_findings(warnings, nodes, blocks), previous)
+    return carry_decisions(current_findings(named_findings(warnings), nodes, blocks), previous)
 
 
-def current_findings(warnings: DataFrame, nodes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The findings of ``review_findings`` before any decision."""
-    listed = F.concat_ws(",", F.sort_array("block_ids")), F.concat_ws(",", F.sort_array("pages").cast("array<string>"))
-    identity = F.sha2(F.concat_ws("\n", "code", *listed), 256)
+def _listed() -> tuple[Column, Column]:
+    """Block ids and pages of a warning as texts."""
+    return F.concat_ws(",", F.sort_array("block_ids")), F.concat_ws(",", F.sort_array("pages").cast("array<string>"))
+
+
+def named_findings(warnings: DataFrame) -> DataFrame:
+    """The warnings and, of each, the ``finding_id``; staged."""
+    identity = F.sha2(F.concat_ws("\n", "code", *_listed()), 256)
     rows = warnings.withColumn("identity", identity)
     ordinal = F.row_number().over(Window.partitionBy("doc_id", "identity").orderBy("position")) - 1
     name = F.concat(F.lit("finding_"), F.substring(F.sha2(F.concat_ws("\0", "identity", ordinal.cast("string")), 256), 1, 32))
-    rows = stage(rows.withColumn("finding_id", name).drop("identity"), "warnings")
+    return stage(rows.withColumn("finding_id", name).drop("identity"), "warnings")
+
+
+def current_findings(rows: DataFrame, nodes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Named findings with what they point to, before any decision; each needs its own warning alone."""
     named = rows.select("doc_id", "finding_id", F.explode(F.array_distinct("block_ids")).alias("block_id"))
     text = F.coalesce("text", F.lit(""))
     # Nodes and pages of blocks go as rows of one table through one join and one grouping.
     held = nodes.select("doc_id", "block_id", F.struct("node_id", text.alias("text")).alias("node"))
     held = held.unionByName(blocks.select("doc_id", F.col("Id").alias("block_id"), F.col("Page").alias("page")), allowMissingColumns=True)
     held = named.join(held, ["doc_id", "block_id"]).groupBy("doc_id", "finding_id")
-    held = held.agg(F.sort_array(F.collect_set("node")).alias("met"), F.collect_set("page").alias("raw_pages"))
+    held = held.agg(F.collect_set(F.struct("node", "page")).alias("held"))  # one set: a row has a node or a page
+    held = held.select("doc_id", "finding_id", F.sort_array(F.array_compact("held.node")).alias("met"), F.array_compact("held.page").alias("raw_pages"))
     rows = rows.join(held, ["doc_id", "finding_id"], "left")
     rows = rows.withColumn("met", F.coalesce("met", F.array().cast("array<struct<node_id:string,text:string>>")))
     rows = rows.withColumn("pages", F.array_sort(F.array_union("pages", F.coalesce("raw_pages", F.array().cast("array<int>")))))
     said = F.transform("met", lambda n: F.concat(n["node_id"], F.lit(":"), F.length(n["text"]).cast("string"), F.lit(":"), n["text"]))
-    region = F.concat_ws("|", F.array_join(said, ","), listed[0], listed[1])
+    region = F.concat_ws("|", F.array_join(said, ","), *_listed())
     plus = lambda t: F.length(t) - F.length(F.replace(t, F.lit("+"), F.lit("")))
     alone = (F.col("code") == TOLERANCE) & (plus(F.array_join("met.text", "")) == 1)  # one plus sign in all that is met
     one = F.when(alone, F.get(F.filter("met", lambda n: n["text"].contains("+") & ~n["text"].contains("±")), F.lit(0)))

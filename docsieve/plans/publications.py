@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conversion, digests, findings, merging
-from ..session import read_table, stage, stage_path
+from ..session import read_table, stage_path
 from ..sources import paged_json
 from ..streaming import jobs
 from .queries import _quantities, query
@@ -169,12 +169,12 @@ def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tolerance = conversion.TOLERANCE
     some = F.array(one(1, tolerance, ["b3"], [3]), one(2, tolerance, ["b2", "b1"], []), one(3, tolerance, ["b3"], [3]), one(4, "AWS_X", [], [2, 1]))
     warnings = nodes.select("doc_id").distinct().select("doc_id", F.explode(some).alias("w")).select("doc_id", "w.*")
-    said = ("doc_id", "position", "finding_id", "region_hash", "node_ids", "pages", "suggested_text")
-    first = stage(conversion.current_findings(warnings, nodes, blocks).select(*said), "findings")  # both reviews are of the same texts
     order = F.col("doc_id").cast("long")
-    before = first.filter((order % 3 == 0) & (F.col("position") == 1)).select(
+    named = conversion.named_findings(warnings)
+    first = conversion.current_findings(named.filter((order % 3 == 0) & (F.col("position") == 1)), nodes, blocks)  # those that were decided
+    before = first.select(
         "doc_id", "finding_id", F.when(order % 6 == 3, F.col("region_hash")).otherwise("other").alias("region_hash"), F.lit("DISMISSED").alias("decision")
     )
-    out = conversion.carry_decisions(first, before)
+    out = conversion.carry_decisions(conversion.current_findings(named, nodes, blocks), before)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return out.select("doc_id", "position", "finding_id", "region_hash", joined("node_ids").alias("node_ids"), joined("pages").alias("pages"), "suggested_text", "decision", "resolved")
